@@ -108,4 +108,5 @@ def recommendations(r2, rmse, training_time) -> Column:
 
 def fmt(x, digits: int, suffix: str = "") -> Column:
     """Fixed-decimal text, e.g. fmt(r2, 4) -> '0.8736'; null -> 'N/A'."""
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", _c(x)), F.lit(suffix)), F.lit("N/A"))
+    v = _c(x)
+    return F.when(v.isNull(), F.lit("N/A")).otherwise(F.concat(F.format_string(f"%.{digits}f", v), F.lit(suffix)))

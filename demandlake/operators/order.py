@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _PID_SHIFT = 33  # monotonically_increasing_id = (partition id << 33) + position
 
 
@@ -35,6 +37,12 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "idx", num_parti
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = ranged.select("*", F.spark_partition_id().alias("_pid"),
                            F.monotonically_increasing_id().alias("_mid"))
+    # Range bounds are sampled with a per-run seed, so partition ids and
+    # positions are not reproducible across evaluations (or task retries
+    # after a lost executor). Materialise them once in the shared checkpoint
+    # folder so the counts and the rows always agree.
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -353,3 +353,335 @@ SELECT CAST(n AS INTEGER) AS n, insight FROM (
                    || CASE WHEN d > 0 THEN 'higher' ELSE 'lower' END || ' than weekdays' FROM wk)""")
 def insights(spark, sf):
     return PR.insights(_demand(spark, sf))
+
+
+# ---------------------------------------------------------------- features (M1)
+
+@query("calendar_parts", """
+SELECT event_id, CAST(hour(datetime) AS INTEGER) AS hour, CAST(day(datetime) AS INTEGER) AS day,
+  CAST(month(datetime) AS INTEGER) AS month, CAST(year(datetime) AS INTEGER) AS year,
+  CAST(isodow(datetime) - 1 AS INTEGER) AS weekday FROM demand""")
+def calendar_parts(spark, sf):
+    return _demand(spark, sf).select("event_id", *[v.alias(k) for k, v in FE.calendar_parts().items()])
+
+
+@query("calendar_names", """
+SELECT event_id, dayname(datetime) AS day_of_week, CAST(dayofyear(datetime) AS INTEGER) AS day_of_year FROM demand""")
+def calendar_names(spark, sf):
+    return _demand(spark, sf).select("event_id", *[v.alias(k) for k, v in FE.calendar_names().items()])
+
+
+def _cyc_sql(expr: str, period: int, name: str) -> str:
+    return (f"sin(2 * pi() * {expr} / {period}) AS {name}_sin, cos(2 * pi() * {expr} / {period}) AS {name}_cos")
+
+
+@query("cyclic_features", f"""
+SELECT event_id, {_cyc_sql('hour(datetime)', 24, 'hour')}, {_cyc_sql('day(datetime)', 31, 'day')},
+  {_cyc_sql('month(datetime)', 12, 'month')}, {_cyc_sql('(isodow(datetime) - 1)', 7, 'weekday')} FROM demand""")
+def cyclic_features(spark, sf):
+    cols = FE.engineered_columns(as_float=False)
+    names = [f"{p}_{f}" for p in FE.CYCLE_PERIODS for f in ("sin", "cos")]
+    return _demand(spark, sf).select("event_id", *[cols[n].alias(n) for n in names])
+
+
+@query("rush_flag", """
+SELECT event_id,
+  CAST(CASE WHEN hour(datetime) BETWEEN 7 AND 9 OR hour(datetime) BETWEEN 17 AND 19 THEN 1 ELSE 0 END AS INTEGER) AS is_rush_hour,
+  CAST(CASE WHEN isodow(datetime) - 1 IN (5, 6) THEN 1 ELSE 0 END AS INTEGER) AS is_weekend FROM demand""")
+def rush_flag(spark, sf):
+    return _demand(spark, sf).select("event_id", FE.rush_hour_flag(F.hour("datetime")).alias("is_rush_hour"),
+                                     FE.weekend_flag(F.weekday("datetime")).alias("is_weekend"))
+
+
+@query("interactions", """
+SELECT event_id, temp * humidity / 100 AS temp_humidity, temp * windspeed AS temp_windspeed FROM demand""")
+def interactions(spark, sf):
+    cols = FE.engineered_columns(as_float=False)
+    return _demand(spark, sf).select("event_id", cols["temp_humidity"].alias("temp_humidity"),
+                                     cols["temp_windspeed"].alias("temp_windspeed"))
+
+
+_ENG = ["hour", "day", "month", "year", "weekday", "hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin",
+        "month_cos", "weekday_sin", "weekday_cos", "is_rush_hour", "is_weekend", "temp_humidity", "temp_windspeed"]
+
+
+@query("float32_cast", f"SELECT event_id, {', '.join(_ENG)} FROM features")
+def float32_cast(spark, sf):
+    return FE.engineer_features(_demand(spark, sf)).select("event_id", *_ENG)
+
+
+@query("feature_table", f"SELECT event_id, {', '.join(FEATURE_COLS)}, cnt FROM features")
+def feature_table(spark, sf):
+    return FE.feature_table(_demand(spark, sf), keep=["event_id"])
+
+
+@query("coerce_numeric", """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS humidity,
+  TRY_CAST(event_type AS DOUBLE) AS weather, CAST(CAST(value > 20 AS INTEGER) AS DOUBLE) AS is_windy FROM events""")
+def coerce_numeric(spark, sf):
+    e = FX.table(spark, sf, "events")
+    raw = e.select("event_id", F.get_json_object("props", "$.k").alias("humidity"),
+                   F.col("event_type").alias("weather"), (F.col("value") > 20).alias("is_windy"))
+    return FE.coerce_numeric(raw, ["humidity", "weather", "is_windy"])
+
+
+@query("fill_nulls", """
+SELECT job_id, coalesce(r2, (SELECT avg(r2) FROM jobs)) AS r2, coalesce(r2, 0) AS r2_feature FROM jobs""")
+def fill_nulls(spark, sf):
+    j = FX.jobs(spark, sf).select("job_id", "r2", F.col("r2").alias("r2_feature"))
+    return SC.fill_nulls(j, ["r2_feature"], "r2")
+
+
+def _scaled_sql() -> str:
+    cols = ", ".join(
+        f"({c}::DOUBLE - avg({c}::DOUBLE) OVER ()) / coalesce(nullif(stddev_pop({c}::DOUBLE) OVER (), 0), 1) AS {c}"
+        for c in SCALED_COLS)
+    return f"SELECT event_id, {cols} FROM features"
+
+
+@query("scale_numeric", _scaled_sql())
+def scale_numeric(spark, sf):
+    ft = FE.feature_table(_demand(spark, sf), keep=["event_id"]).select("event_id", *SCALED_COLS)
+    return SC.scale_numeric(ft, SCALED_COLS)
+
+
+@query("code_labels", f"""
+SELECT event_id, {_label_case('season', R.SEASON_LABELS)} AS season_label,
+  {_label_case('weather', R.WEATHER_LABELS)} AS weather_label,
+  {_mult_case('season', R.SEASON_MULT)} AS season_mult, {_mult_case('weather', R.WEATHER_MULT)} AS weather_mult
+FROM demand""")
+def code_labels(spark, sf):
+    return _demand(spark, sf).select(
+        "event_id", R.lookup("season", R.SEASON_LABELS).alias("season_label"),
+        R.lookup("weather", R.WEATHER_LABELS).alias("weather_label"),
+        R.lookup("season", R.SEASON_MULT).alias("season_mult"),
+        R.lookup("weather", R.WEATHER_MULT).alias("weather_mult"))
+
+
+def _demand_index_sql() -> str:
+    h = "hour(datetime)"
+    hour_f = (f"CASE WHEN {h} BETWEEN 7 AND 9 THEN 1.8::DOUBLE WHEN {h} BETWEEN 17 AND 19 THEN 1.6::DOUBLE "
+              f"WHEN {h} BETWEEN 10 AND 16 THEN 1.2::DOUBLE ELSE 0.4::DOUBLE END")
+    temp_f = "greatest(0.2::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - abs(temp - 25.0::DOUBLE) / 50.0::DOUBLE))"
+    wd = "CASE WHEN workingday = 1 THEN 2.0::DOUBLE ELSE 1.2::DOUBLE END"
+    raw = (f"50.0::DOUBLE * {_mult_case('season', R.SEASON_MULT)} * {hour_f} * {_mult_case('weather', R.WEATHER_MULT)}"
+           f" * {temp_f} * {wd}")
+    return f"SELECT event_id, CAST(greatest(CAST(trunc({raw}) AS INTEGER), 0) AS INTEGER) AS demand_index FROM demand"
+
+
+@query("demand_index", _demand_index_sql())
+def demand_index(spark, sf):
+    return _demand(spark, sf).select("event_id", R.demand_index().alias("demand_index"))
+
+
+def _violations_sql() -> str:
+    checks = ", ".join(f"CASE WHEN NOT coalesce({c} BETWEEN {lo} AND {hi}, false) THEN '{c}' END"
+                       for c, lo, hi in R.RANGE_RULES)
+    return f"""SELECT event_id, CAST(len(v) AS INTEGER) AS n_violations, array_to_string(v, ',') AS violations,
+  len(v) = 0 AS is_valid
+FROM (SELECT event_id, list_filter([{checks}], lambda x: x IS NOT NULL) AS v FROM (
+  SELECT event_id, season, holiday, workingday, weather, temp - 10.0::DOUBLE AS temp, atemp, humidity,
+         value AS windspeed FROM fx JOIN events USING (event_id)))"""
+
+
+@query("validate_rows", _violations_sql())
+def validate_rows_q(spark, sf):
+    fx = FX.demand_covariates(spark, sf)
+    raw = FX.table(spark, sf, "events").select("event_id", "value")
+    # score requests: raw (uncapped) wind and shifted temperatures make some rows invalid
+    req = fx.join(raw, "event_id").withColumns({"temp": F.col("temp") - 10.0, "windspeed": F.col("value")})
+    v = validate_rows(req)
+    return v.select("event_id", F.size("violations").alias("n_violations"),
+                    F.concat_ws(",", "violations").alias("violations"), "is_valid")
+
+
+# ---------------------------------------------------------------- ordering (M2)
+
+@query("row_index", "SELECT event_id, idx FROM indexed")
+def row_index(spark, sf):
+    return OR.with_row_index(_demand(spark, sf).select("event_id", "datetime"), ORDER).select("event_id", "idx")
+
+
+_SPLIT_SQL = """
+SELECT event_id, idx, CASE WHEN idx < n_train THEN 'train' WHEN idx < n_train + n_val THEN 'val' ELSE 'test' END AS split
+FROM indexed, (SELECT n - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS n_train,
+                      CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS n_val FROM (SELECT count(*) AS n FROM demand))"""
+
+
+@query("time_split", _SPLIT_SQL)
+def time_split(spark, sf):
+    return OR.time_split(_demand(spark, sf).select("event_id", "datetime"), ORDER).select("event_id", "idx", "split")
+
+
+@query("union_train_val", f"SELECT event_id, split FROM ({_SPLIT_SQL}) WHERE split IN ('train', 'val')")
+def union_train_val(spark, sf):
+    s = OR.time_split(_demand(spark, sf).select("event_id", "datetime"), ORDER)
+    return s.filter(F.col("split") == "train").unionByName(s.filter(F.col("split") == "val")).select("event_id", "split")
+
+
+_FOLDS_SQL = """
+SELECT event_id, idx, test_fold, CAST(CASE WHEN idx < st THEN 0 WHEN test_fold + 1 < 5 THEN test_fold + 1 END AS INTEGER)
+  AS train_from_fold FROM (
+  SELECT event_id, idx, st, CAST(CASE WHEN idx >= st THEN (idx - st) // b END AS INTEGER) AS test_fold
+  FROM indexed, (SELECT n // 6 AS b, n - 5 * (n // 6) AS st FROM (SELECT count(*) AS n FROM demand)))"""
+
+
+@query("ts_folds", _FOLDS_SQL)
+def ts_folds(spark, sf):
+    return OR.ts_folds(_demand(spark, sf).select("event_id", "datetime"), ORDER, k=5).select(
+        "event_id", "idx", "test_fold", "train_from_fold")
+
+
+@query("tail_slice", "SELECT event_id, datetime, cnt FROM demand ORDER BY datetime DESC, event_id DESC LIMIT 5000")
+def tail_slice(spark, sf):
+    return OR.tail_slice(_demand(spark, sf).select("event_id", "datetime", "cnt"), ORDER, 5000)
+
+
+@query("first_week", "SELECT event_id, datetime, cnt FROM demand ORDER BY datetime, event_id LIMIT 168")
+def first_week(spark, sf):
+    return OR.head_slice(_demand(spark, sf).select("event_id", "datetime", "cnt"), ORDER, 168)
+
+
+@query("scan_sorted", "SELECT event_id, datetime, cnt FROM demand")
+def scan_sorted(spark, sf):
+    return _demand(spark, sf).select("event_id", "datetime", "cnt").orderBy(*ORDER)
+
+
+@query("synth_datetime", """
+SELECT event_id, TIMESTAMP '2011-01-01 00:00:00' + to_hours(CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT))
+  AS datetime FROM demand""")
+def synth_datetime(spark, sf):
+    no_ts = _demand(spark, sf).select("event_id", "cnt")
+    return OR.synth_datetime(no_ts, ["event_id"]).select("event_id", "datetime")
+
+
+@query("exact_sample")
+def exact_sample(spark, sf):
+    return OR.exact_sample(_demand(spark, sf).select("event_id", "cnt"), "event_id", n=500, seed=42)
+
+
+# ---------------------------------------------------------------- evaluation (M4)
+
+@query("residuals", "SELECT event_id, model, y_true - y_pred AS residual, abs(y_true - y_pred) AS abs_error FROM predictions")
+def residuals(spark, sf):
+    return EV.residuals(FX.predictions(spark, sf), ["event_id", "model"])
+
+
+_METRICS_SQL = """
+SELECT model, count(*) AS n, avg((y_true - y_pred) * (y_true - y_pred)) AS mse,
+  sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse, avg(abs(y_true - y_pred)) AS mae,
+  CASE WHEN var_pop(y_true) * count(*) = 0 THEN CASE WHEN sum((y_true - y_pred) * (y_true - y_pred)) = 0 THEN 1.0 ELSE 0.0 END
+       ELSE 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(*)) END AS r2,
+  coalesce(avg(CASE WHEN y_true <> 0 THEN abs((y_true - y_pred) / y_true) END) * 100, 0.0) AS mape
+FROM predictions GROUP BY model"""
+
+
+@query("regression_metrics", _METRICS_SQL)
+def regression_metrics(spark, sf):
+    return EV.regression_metrics(FX.predictions(spark, sf), ["model"])
+
+
+def _level_sql(r2: str, rmse: str) -> str:
+    return (f"CASE WHEN {r2} > 0.9 AND {rmse} < 10 THEN 'Excellent' WHEN {r2} > 0.8 AND {rmse} < 20 THEN 'Good' "
+            f"WHEN {r2} > 0.7 AND {rmse} < 30 THEN 'Fair' ELSE 'Poor' END")
+
+
+def _rec_sql(r2: str, rmse: str) -> str:
+    def lst(lines):
+        return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in lines) + "]"
+    fired = (f"list_concat(list_concat(CASE WHEN {r2} < 0.8 THEN {lst(R.REC_LOW_R2)} ELSE []::VARCHAR[] END, "
+             f"CASE WHEN {rmse} > 25 THEN {lst(R.REC_HIGH_RMSE)} ELSE []::VARCHAR[] END), "
+             f"CASE WHEN {r2} > 0.9 THEN {lst(R.REC_EXCELLENT)} ELSE []::VARCHAR[] END)")
+    return f"array_to_string(CASE WHEN len({fired}) = 0 THEN {lst(R.REC_DEFAULT)} ELSE {fired} END, chr(10))"
+
+
+@query("performance_level", f"SELECT model, r2, rmse, {_level_sql('r2', 'rmse')} AS performance_level FROM ({_METRICS_SQL})")
+def performance_level(spark, sf):
+    m = EV.regression_metrics(FX.predictions(spark, sf), ["model"])
+    return m.select("model", "r2", "rmse", R.performance_level("r2", "rmse").alias("performance_level"))
+
+
+@query("recommendations", f"SELECT model, {_rec_sql('r2', 'rmse')} AS recommendations FROM ({_METRICS_SQL})")
+def recommendations(spark, sf):
+    m = EV.regression_metrics(FX.predictions(spark, sf), ["model"])
+    return m.select("model", R.recommendations("r2", "rmse", F.lit(None).cast("double")).alias("recommendations"))
+
+
+def _fmt_sql(x: str, d: int, suffix: str = "") -> str:
+    return f"coalesce(printf('%.{d}f', {x}) || '{suffix}', 'N/A')"
+
+
+_SUMMARY_COLS_SQL = (f"upper(model) AS model, {_fmt_sql('r2', 4)} AS r2_text, {_fmt_sql('rmse', 2)} AS rmse_text, "
+                     f"{_fmt_sql('mae', 2)} AS mae_text, {_fmt_sql('mape', 2, '%')} AS mape_text, 'N/A' AS time_text")
+
+
+@query("summary_format", f"SELECT {_SUMMARY_COLS_SQL} FROM ({_METRICS_SQL})")
+def summary_format(spark, sf):
+    m = EV.regression_metrics(FX.predictions(spark, sf), ["model"])
+    return EV.summary_rows(m, "model", None)
+
+
+_ENSEMBLE_SQL = """
+SELECT 'ensemble' AS model, count(*) AS n, avg((y_true - y_pred) * (y_true - y_pred)) AS mse,
+  sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse, avg(abs(y_true - y_pred)) AS mae,
+  CASE WHEN var_pop(y_true) * count(*) = 0 THEN CASE WHEN sum((y_true - y_pred) * (y_true - y_pred)) = 0 THEN 1.0 ELSE 0.0 END
+       ELSE 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(*)) END AS r2,
+  coalesce(avg(CASE WHEN y_true <> 0 THEN abs((y_true - y_pred) / y_true) END) * 100, 0.0) AS mape
+FROM (SELECT event_id, any_value(y_true) AS y_true, avg(y_pred) AS y_pred FROM predictions GROUP BY event_id)"""
+
+
+@query("ensemble_mean", _ENSEMBLE_SQL)
+def ensemble_mean(spark, sf):
+    ens = EV.ensemble_mean(FX.predictions(spark, sf))
+    return EV.regression_metrics(ens).select(F.lit("ensemble").alias("model"), "*")
+
+
+@query("training_summary", f"""
+SELECT {_SUMMARY_COLS_SQL}, upper(model) = (SELECT upper(model) FROM ({_METRICS_SQL}) ORDER BY r2 DESC LIMIT 1) AS is_best
+FROM ({_METRICS_SQL})
+UNION ALL SELECT {_SUMMARY_COLS_SQL}, false FROM ({_ENSEMBLE_SQL})""")
+def training_summary(spark, sf):
+    preds = FX.predictions(spark, sf)
+    per_model = EV.regression_metrics(preds, ["model"])
+    ens = EV.regression_metrics(EV.ensemble_mean(preds))
+    return EV.training_summary(per_model, ens)
+
+
+@query("pair_predictions", """
+SELECT d.event_id, CAST(greatest(d.cnt - 5, 0) AS DOUBLE) AS y_true, p.rule, p.flat, p.hour FROM demand d LEFT JOIN (
+  SELECT event_id, max(CASE WHEN model = 'rule' THEN y_pred END) AS rule, max(CASE WHEN model = 'flat' THEN y_pred END) AS flat,
+         max(CASE WHEN model = 'hour' THEN y_pred END) AS hour FROM predictions GROUP BY event_id) p USING (event_id)""")
+def pair_predictions(spark, sf):
+    truth = _demand(spark, sf).select("event_id", F.greatest(F.col("cnt") - 5, F.lit(0)).cast("double").alias("y_true"))
+    return EV.pair_predictions(truth, FX.predictions(spark, sf), "event_id", ["rule", "flat", "hour"])
+
+
+@query("stack_predictions", "SELECT event_id, model, y_true, y_pred FROM predictions")
+def stack_predictions(spark, sf):
+    p = FX.predictions(spark, sf)
+    frames = {m: p.filter(F.col("model") == m).drop("model") for m in ("rule", "flat", "hour")}
+    return EV.stack_predictions(frames).select("event_id", "model", "y_true", "y_pred")
+
+
+@query("clamp_round", """
+SELECT event_id, model, greatest((y_pred - y_true) / 2, 0.0) AS clamped,
+  CAST(round_even(greatest((y_pred - y_true) / 2, 0.0), 0) AS BIGINT) AS rounded FROM predictions""")
+def clamp_round(spark, sf):
+    p = FX.predictions(spark, sf)
+    clamped, rounded = R.clamp_round((F.col("y_pred") - F.col("y_true")) / 2)
+    return p.select("event_id", "model", clamped.alias("clamped"), rounded.alias("rounded"))
+
+
+@query("cv_summary", """
+WITH f AS (""" + _FOLDS_SQL + """),
+s AS (SELECT f.test_fold AS fold, p.y_true, p.y_pred FROM f JOIN predictions p USING (event_id)
+      WHERE p.model = 'hour' AND f.test_fold IS NOT NULL),
+r AS (SELECT fold, 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(*)) AS r2 FROM s GROUP BY fold)
+SELECT count(*) AS n_folds, avg(r2) AS mean_score, stddev_pop(r2) AS std_score, min(r2) AS min_score,
+  max(r2) AS max_score FROM r""")
+def cv_summary(spark, sf):
+    folds = OR.ts_folds(_demand(spark, sf).select("event_id", "datetime"), ORDER, k=5)
+    hour = FX.predictions(spark, sf).filter(F.col("model") == "hour")
+    scored = folds.filter(F.col("test_fold").isNotNull()).join(hour, "event_id")
+    per_fold = EV.regression_metrics(scored, ["test_fold"]).select(F.col("test_fold").alias("fold"), "r2")
+    return EV.cv_summary(per_fold)

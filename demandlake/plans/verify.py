@@ -18,7 +18,7 @@ def duck_connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
@@ -40,7 +40,12 @@ def _norm(v):
 def canonical(df: pd.DataFrame) -> tuple[list[str], list[tuple]]:
     cols = sorted(df.columns)
     rows = [tuple(_norm(v) for v in rec) for rec in df[cols].itertuples(index=False, name=None)]
-    rows.sort(key=lambda r: tuple((x is None, str(x)) for x in r))
+    def key(x):
+        if isinstance(x, (int, float)) and not isinstance(x, bool):
+            return (x is None, repr(float(x)))
+        return (x is None, str(x))
+
+    rows.sort(key=lambda r: tuple(key(x) for x in r))
     return cols, rows
 
 
