@@ -171,6 +171,9 @@ def running_agg(df: DataFrame, keys: list[str], order: list, specs: list[tuple[s
     """
     n = _partitions(df, num_partitions)
     ranged = df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
+    # chunk ids come from sampled range bounds: fix them once (see with_row_index)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
     frame_end = {True: Window.currentRow, False: -1}
     w_local = Window.partitionBy(*keys, "_pid").orderBy(*order)
     local_cols, tot_cols, pre_cols = {}, [], []

@@ -685,3 +685,219 @@ def cv_summary(spark, sf):
     scored = folds.filter(F.col("test_fold").isNotNull()).join(hour, "event_id")
     per_fold = EV.regression_metrics(scored, ["test_fold"]).select(F.col("test_fold").alias("fold"), "r2")
     return EV.cv_summary(per_fold)
+
+
+# ---------------------------------------------------------------- runs and trials (M4)
+
+@query("epoch_loss", """
+SELECT job_id, epoch, avg(loss) AS epoch_loss, count(*) AS n_batches FROM batch_loss GROUP BY 1, 2""")
+def epoch_loss(spark, sf):
+    return RU.epoch_loss(FX.batch_loss(spark, sf))
+
+
+_BEST_SQL = """
+SELECT job_id, epoch, val_loss, best_val_loss, (prev IS NULL OR val_loss < prev) AS is_best FROM (
+  SELECT job_id, epoch, val_loss,
+    min(val_loss) OVER (PARTITION BY job_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_val_loss,
+    min(val_loss) OVER (PARTITION BY job_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM epoch_log)"""
+
+
+@query("best_so_far", _BEST_SQL)
+def best_so_far(spark, sf):
+    log = FX.epoch_log(spark, sf).select("job_id", "epoch", "val_loss")
+    return RU.best_so_far(log).select("job_id", "epoch", "val_loss", "best_val_loss", "is_best")
+
+
+@query("early_stop", f"""
+WITH b AS ({_BEST_SQL}),
+c AS (SELECT job_id, epoch, CAST(epoch - max(CASE WHEN is_best THEN epoch END) OVER (PARTITION BY job_id ORDER BY epoch
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS patience_counter FROM b),
+s AS (SELECT job_id, min(epoch) AS stop_epoch FROM c WHERE patience_counter >= 20 GROUP BY job_id)
+SELECT c.job_id, c.epoch, c.patience_counter, s.stop_epoch, coalesce(c.epoch = s.stop_epoch, false) AS stopped
+FROM c LEFT JOIN s USING (job_id) WHERE s.stop_epoch IS NULL OR c.epoch <= s.stop_epoch""")
+def early_stop(spark, sf):
+    log = FX.epoch_log(spark, sf).select("job_id", "epoch", "val_loss")
+    return RU.early_stop(log, patience=20).select("job_id", "epoch", "patience_counter", "stop_epoch", "stopped")
+
+
+@query("early_stop_delta")
+def early_stop_delta(spark, sf):
+    return RU.early_stop_delta(FX.epoch_log(spark, sf), patience=10, min_delta=1e-4)
+
+
+_STATUS_SQL = """
+SELECT job_id, coalesce(CASE terminal_event WHEN 'done' THEN 'COMPLETED' WHEN 'cancelled' THEN 'CANCELLED'
+                                            WHEN 'error' THEN 'FAILED' END,
+                        CASE WHEN n_events > 0 THEN 'RUNNING' ELSE 'PENDING' END) AS status,
+  terminal_event, terminal_seq, terminal_ts FROM (
+  SELECT job_id, count(*) AS n_events,
+    arg_min(CASE WHEN event IN ('done', 'cancelled', 'error') THEN event END,
+            CASE WHEN event IN ('done', 'cancelled', 'error') THEN (ts, seq) END) AS terminal_event,
+    min(CASE WHEN event IN ('done', 'cancelled', 'error') THEN (ts, seq) END) AS tk,
+    tk.seq AS terminal_seq, tk.ts AS terminal_ts
+  FROM job_events GROUP BY job_id)"""
+
+
+@query("job_status", """
+WITH t AS (SELECT job_id, ts, seq, event, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS r
+           FROM job_events WHERE event IN ('done', 'cancelled', 'error')),
+a AS (SELECT job_id, count(*) AS n_events FROM job_events GROUP BY job_id)
+SELECT a.job_id, coalesce(CASE t.event WHEN 'done' THEN 'COMPLETED' WHEN 'cancelled' THEN 'CANCELLED'
+                                       WHEN 'error' THEN 'FAILED' END,
+                          CASE WHEN a.n_events > 0 THEN 'RUNNING' ELSE 'PENDING' END) AS status,
+  t.event AS terminal_event, t.seq AS terminal_seq, t.ts AS terminal_ts
+FROM a LEFT JOIN (SELECT * FROM t WHERE r = 1) t USING (job_id)""")
+def job_status(spark, sf):
+    return RU.job_status(FX.job_events(spark, sf))
+
+
+_FEED_SQL = """
+SELECT e.job_id, e.seq, e.ts, e.event, e.data FROM job_events e LEFT JOIN (
+  SELECT job_id, ts AS tts, seq AS tseq FROM (
+    SELECT job_id, ts, seq, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS r
+    FROM job_events WHERE event IN ('done', 'cancelled', 'error')) WHERE r = 1) t USING (job_id)
+WHERE t.tts IS NULL OR e.ts < t.tts OR (e.ts = t.tts AND e.seq <= t.tseq)"""
+
+
+@query("progress_feed", _FEED_SQL)
+def progress_feed(spark, sf):
+    return RU.progress_feed(FX.job_events(spark, sf)).select("job_id", "seq", "ts", "event", "data")
+
+
+@query("event_payload", f"""
+SELECT job_id, epoch, val_loss * 0.9::DOUBLE AS train_loss, val_loss, best_val_loss, is_best,
+  CAST(json_extract_string(d.data, '$.k') AS INTEGER) AS k
+FROM ({_BEST_SQL}) b JOIN (SELECT user_id AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1
+  AS INTEGER) AS epoch, props AS data FROM events) d USING (job_id, epoch)""")
+def event_payload(spark, sf):
+    log = FX.epoch_log(spark, sf)
+    best = RU.best_so_far(log)
+    fields = ["epoch", "train_loss", "val_loss", "best_val_loss", "is_best"]
+    schema = "epoch int, train_loss double, val_loss double, best_val_loss double, is_best boolean"
+    enc = RU.event_payload(best, fields, schema)
+    # data payloads of the lifecycle feed decode the same way
+    k = FX.epoch_log(spark, sf, with_data=True).select(
+        "job_id", "epoch", F.get_json_object("data", "$.k").cast("int").alias("k"))
+    return enc.select("job_id", *[F.col(f"decoded.{f}").alias(f) for f in fields]).join(k, ["job_id", "epoch"])
+
+
+@query("jobs_newest", "SELECT job_id, row_number() OVER (ORDER BY created_at DESC, job_id DESC) - 1 AS position FROM jobs")
+def jobs_newest(spark, sf):
+    return RU.jobs_newest(FX.jobs(spark, sf)).select("job_id", "position")
+
+
+@query("current_metrics", """
+SELECT job_id, model_type, r2, created_at FROM jobs WHERE status = 'completed' AND r2 IS NOT NULL
+ORDER BY created_at DESC, job_id DESC LIMIT 1""")
+def current_metrics(spark, sf):
+    return RU.current_metrics(FX.jobs(spark, sf))
+
+
+@query("trial_rank", "SELECT trial_id, r2, row_number() OVER (ORDER BY r2 DESC, trial_id) AS rank FROM trials")
+def trial_rank(spark, sf):
+    return TR.trial_rank(FX.trials(spark, sf)).select("trial_id", "r2", "rank")
+
+
+@query("best_trial", """
+SELECT model_type, arg_max(trial_id, (r2, -trial_id)) AS best_trial_id, max(r2) AS best_score, count(*) AS n_trials
+FROM trials GROUP BY model_type""")
+def best_trial(spark, sf):
+    return TR.best_trial(FX.trials(spark, sf), ["model_type"])
+
+
+def _param_sql() -> str:
+    parts = []
+    for p in ("hidden", "dropout", "batch_size"):
+        parts.append(f"SELECT '{p}' AS param, CAST({p} AS VARCHAR) AS value, r2 FROM trials")
+    long = " UNION ALL ".join(parts)
+    return f"""SELECT param, value, rank, mean_score, n, n_values,
+  CASE WHEN n_values < 10 THEN q1 END AS q1, CASE WHEN n_values < 10 THEN med END AS median,
+  CASE WHEN n_values < 10 THEN q3 END AS q3 FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY param ORDER BY mean_score DESC, value) AS INTEGER) AS rank,
+    count(*) OVER (PARTITION BY param) AS n_values FROM (
+    SELECT param, value, avg(r2) AS mean_score, count(*) AS n, quantile_cont(r2, 0.25) AS q1,
+      quantile_cont(r2, 0.5) AS med, quantile_cont(r2, 0.75) AS q3 FROM ({long}) GROUP BY 1, 2))
+WHERE rank <= 5"""
+
+
+@query("param_impact", _param_sql())
+def param_impact(spark, sf):
+    return TR.param_impact(FX.trials(spark, sf), ["hidden", "dropout", "batch_size"])
+
+
+@query("tuning_convergence", """
+SELECT trial_id, model_type, r2, max(r2) OVER (PARTITION BY model_type ORDER BY trial_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_so_far FROM trials""")
+def tuning_convergence(spark, sf):
+    t = FX.trials(spark, sf).select("trial_id", "model_type", "r2")
+    return TR.tuning_convergence(t, ["model_type"], "trial_id")
+
+
+@query("expand_params", """
+SELECT trial_id, hidden, CAST(dropout AS VARCHAR) AS dropout, CAST(batch_size AS VARCHAR) AS batch_size,
+  NULL::VARCHAR AS learning_rate FROM trials""")
+def expand_params(spark, sf):
+    t = FX.trials(spark, sf)
+    packed = t.select("trial_id", F.to_json(F.struct("hidden", "dropout", "batch_size")).alias("params"))
+    return TR.expand_params(packed, "params", ["hidden", "dropout", "batch_size", "learning_rate"]).drop("params")
+
+
+_BRAND_METRICS_SQL = "SELECT brand AS model, avg(r2) AS r2 FROM trials GROUP BY 1"
+_BRAND_TIMES_SQL = "SELECT brand AS model, sum(training_time) AS training_time FROM trials WHERE brand LIKE 'Brand#1%' GROUP BY 1"
+
+
+@query("metrics_with_time", f"SELECT m.model, m.r2, t.training_time FROM ({_BRAND_METRICS_SQL}) m LEFT JOIN ({_BRAND_TIMES_SQL}) t USING (model)")
+def metrics_with_time(spark, sf):
+    t = FX.trials(spark, sf)
+    metrics = t.groupBy(F.col("brand").alias("model")).agg(F.avg("r2").alias("r2"))
+    times = (t.filter(F.col("brand").like("Brand#1%")).groupBy(F.col("brand").alias("model"))
+             .agg(F.sum("training_time").alias("training_time")))
+    return TR.metrics_with_time(metrics, times)
+
+
+_BOARD_SQL = """
+SELECT model, r2, training_time, row_number() OVER (ORDER BY r2 DESC, model) AS rank FROM (
+  SELECT upper(model_type) || ' ' || brand AS model, avg(r2) AS r2, sum(training_time) AS training_time
+  FROM trials GROUP BY 1)"""
+
+
+def _board(spark, sf):
+    t = FX.trials(spark, sf)
+    m = t.groupBy(F.concat(F.upper("model_type"), F.lit(" "), F.col("brand")).alias("model")).agg(
+        F.avg("r2").alias("r2"), F.sum("training_time").alias("training_time"))
+    return EV.leaderboard(m)
+
+
+@query("model_leaderboard", _BOARD_SQL)
+def model_leaderboard(spark, sf):
+    return _board(spark, sf)
+
+
+@query("model_recommendations", f"""
+WITH b AS ({_BOARD_SQL}), e AS (SELECT *, r2 / (training_time / 60) AS efficiency FROM b),
+best AS (SELECT model AS best_model, r2 AS best_r2 FROM b WHERE rank = 1),
+fast AS (SELECT model AS fastest_model, training_time AS fastest_time, r2 AS fastest_r2 FROM b ORDER BY training_time, rank LIMIT 1),
+eff AS (SELECT model AS most_efficient, efficiency AS best_efficiency FROM e ORDER BY efficiency DESC, rank LIMIT 1),
+nn AS (SELECT max(model) FILTER (WHERE TRUE) AS dummy FROM b),
+dl AS (SELECT (SELECT model FROM b WHERE regexp_matches(model, 'MLP|LSTM') ORDER BY r2 DESC, rank LIMIT 1) AS best_neural),
+fl AS (SELECT max(CASE WHEN rank <= 3 AND contains(model, 'MLP') THEN 1 ELSE 0 END) = 1 AS neural_in_top3,
+              max(CASE WHEN rank <= 3 AND model IN ('Random Forest', 'Gradient Boosting') THEN 1 ELSE 0 END) = 1 AS trees_in_top3,
+              max(CASE WHEN rank = 1 THEN r2 END) - (SELECT r2 FROM b ORDER BY rank DESC LIMIT 1) < 0.1 AS small_gap FROM b)
+SELECT best_model, best_r2, fastest_model, fastest_time, most_efficient, best_efficiency,
+  CASE WHEN fastest_r2 > 0.85 THEN fastest_model ELSE most_efficient END AS production_pick,
+  best_neural, neural_in_top3, trees_in_top3, small_gap
+FROM best, fast, eff, dl, fl""")
+def model_recommendations(spark, sf):
+    return EV.model_recommendations(_board(spark, sf))
+
+
+# ---------------------------------------------------------------- event-time counts (J6 batch twin)
+
+@query("hourly_demand", """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  count(*) AS n_events, sum(value) AS total_value FROM events GROUP BY 1, 2""")
+def hourly_demand(spark, sf):
+    from ..streaming.hourly import hourly_counts
+
+    return hourly_counts(FX.table(spark, sf, "events"))

@@ -72,15 +72,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("event_id", "model", "y_true", "y_pred"))
 
 
-def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def epoch_log(spark: SparkSession, sf_dir: str, with_data: bool = False) -> DataFrame:
     """per-job epoch history (epoch numbered within the job)."""
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    extra = [F.col("props").alias("data")] if with_data else []
     return e.select(
         F.col("user_id").alias("job_id"),
         (F.row_number().over(w) - 1).cast("int").alias("epoch"),
         (F.col("value") * 0.9).alias("train_loss"),
         F.col("value").alias("val_loss"),
+        *extra,
     )
 
 
