@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TERMINAL_EVENTS
+from ..session import ship_package
 from .order import running_agg, with_row_index
 
 
@@ -70,6 +71,7 @@ def early_stop_delta(log: DataFrame, patience: int = 10, min_delta: float = 1e-4
         out.insert(0, job, pdf[job].iloc[0] if len(pdf) else None)
         return out
 
+    ship_package(log.sparkSession)
     return (log.select(F.col(job).cast("long"), F.col(epoch).cast("int"), F.col(loss).cast("double"))
             .groupBy(job).applyInPandas(fold, schema))
 

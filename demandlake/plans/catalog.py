@@ -901,3 +901,119 @@ def hourly_demand(spark, sf):
     from ..streaming.hourly import hourly_counts
 
     return hourly_counts(FX.table(spark, sf, "events"))
+
+
+# ---------------------------------------------------------------- models (M5, M7): rows-only checks
+
+# Small settings keep the per-key runtime low; bench.py runs the reference's full settings.
+FOREST_Q = {"numTrees": 20, "maxDepth": 8}
+GBT_Q = {"maxIter": 10, "maxDepth": 5, "stepSize": 0.3}
+MLP_Q = {"hidden": (64, 32), "epochs": 12, "lr": 1e-2, "patience": 20}
+
+
+def _splits(spark, sf):
+    from ..operators.models import prepare_splits
+
+    return prepare_splits(_demand(spark, sf))
+
+
+def _fit_key(name: str, **kw) -> Query:
+    def run(spark, sf):
+        from ..operators.models import fit_and_evaluate
+
+        return fit_and_evaluate(name, _splits(spark, sf), **kw)
+    return run
+
+
+QUERIES["fit_linear"] = _fit_key("linear")
+QUERIES["fit_ridge"] = _fit_key("ridge")
+QUERIES["fit_lasso"] = _fit_key("lasso")
+QUERIES["fit_forest"] = _fit_key("forest", **FOREST_Q)
+QUERIES["fit_gbt"] = _fit_key("gbt", **GBT_Q)
+
+
+@query("fit_mlp")
+def fit_mlp(spark, sf):
+    from ..operators.mlp import fit_mlp as fit
+
+    s = _splits(spark, sf)
+    res = fit(s, **MLP_Q)
+    return res.metrics(s.test).select(F.lit("mlp").alias("model"), "*", F.lit(res.best_epoch).alias("best_epoch"),
+                                      F.lit(len(res.history)).alias("epochs_run"))
+
+
+@query("score_batch")
+def score_batch(spark, sf):
+    from ..operators.models import fit_model, score
+
+    s = _splits(spark, sf)
+    model, _ = fit_model("gbt", s.train, **GBT_Q)
+    return score(model, s.test).select("event_id", "y_true", "y_pred", "count", "count_rounded")
+
+
+@query("compare_models")
+def compare_models(spark, sf):
+    from ..operators.models import compare_models as cmp
+
+    return cmp(_splits(spark, sf), {"linear": {}, "ridge": {}, "lasso": {}, "forest": FOREST_Q, "gbt": GBT_Q,
+                                    "mlp": MLP_Q})
+
+
+TUNE_SPACE = {"maxDepth": [3, 4, 5], "stepSize": [0.1, 0.2, 0.3], "maxIter": [5, 10]}
+
+
+@query("tune_model")
+def tune_model(spark, sf):
+    from ..operators.models import tune_model as tune
+
+    return tune(_splits(spark, sf), "gbt", TUNE_SPACE, n_trials=4, method="two_phase")
+
+
+@query("final_validation")
+def final_validation(spark, sf):
+    from ..operators.models import final_validation as fv
+    from ..operators.models import tune_model as tune
+
+    s = _splits(spark, sf)
+    return fv(s, "gbt", tune(s, "gbt", TUNE_SPACE, n_trials=2, method="random"))
+
+
+@query("cross_validate")
+def cross_validate(spark, sf):
+    from ..operators.models import cross_validate as cv
+
+    return cv(_demand(spark, sf), "linear", k=5).drop("scores")
+
+
+@query("learning_curve")
+def learning_curve(spark, sf):
+    from ..operators.models import learning_curve as lc
+
+    return lc(_splits(spark, sf), "linear")
+
+
+@query("tree_importance")
+def tree_importance(spark, sf):
+    from ..operators.models import tree_importance as ti
+
+    return ti(_splits(spark, sf), FOREST_Q, GBT_Q)
+
+
+@query("gradient_importance")
+def gradient_importance(spark, sf):
+    from ..operators.mlp import fit_mlp as fit
+    from ..operators.mlp import gradient_importance as gi
+
+    s = _splits(spark, sf)
+    return gi(fit(s, **MLP_Q), s.test)
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf):
+    from ..operators.models import fit_model
+    from ..operators.models import model_roundtrip as rt
+    from ..session import scratch_path
+
+    s = _splits(spark, sf)
+    model, _ = fit_model("linear", s.train)
+    return rt(model, scratch_path(spark, "model"), s.test)

@@ -55,3 +55,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``demandlake`` importable on executors (for mapInPandas / applyInPandas code).
+
+    Zips the installed package once per driver and adds it with
+    ``addPyFile``, which distributes it to every executor of the cluster.
+    """
+    import os
+    import shutil
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="demandlake-pkg-")
+    base = os.path.join(out_dir, "demandlake")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="demandlake")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
