@@ -1017,3 +1017,173 @@ def model_roundtrip(spark, sf):
     s = _splits(spark, sf)
     model, _ = fit_model("linear", s.train)
     return rt(model, scratch_path(spark, "model"), s.test)
+
+
+# ---------------------------------------------------------------- streaming (M6)
+
+@query("stream_progress", _FEED_SQL)
+def stream_progress(spark, sf):
+    from ..streaming.progress import land, progress_stream, scratch_stream_dirs
+
+    landing, sink, ckpt = scratch_stream_dirs(spark, "progress")
+    ev = FX.job_events(spark, sf)
+    land(ev, landing, files=4)
+    land(ev.filter(F.col("seq") % 7 == 0), landing, files=1)  # replayed history: duplicates must collapse
+    progress_stream(spark, landing, sink, ckpt)
+    out = spark.read.schema("job_id long, seq long, ts timestamp_ntz, event string, data string").parquet(sink)
+    return RU.progress_feed(out).select("job_id", "seq", "ts", "event", "data")
+
+
+@query("stream_early_stop", f"""
+WITH b AS ({_BEST_SQL}),
+c AS (SELECT job_id, epoch, val_loss, best_val_loss, is_best,
+        CAST(epoch - max(CASE WHEN is_best THEN epoch END) OVER (PARTITION BY job_id ORDER BY epoch
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS patience_counter FROM b),
+s AS (SELECT job_id, min(epoch) AS stop_epoch FROM c WHERE patience_counter >= 20 GROUP BY job_id)
+SELECT c.job_id, c.epoch, c.val_loss, c.best_val_loss, c.is_best, c.patience_counter,
+  coalesce(c.epoch = s.stop_epoch, false) AS stopped
+FROM c LEFT JOIN s USING (job_id) WHERE s.stop_epoch IS NULL OR c.epoch <= s.stop_epoch""")
+def stream_early_stop(spark, sf):
+    from ..streaming.progress import OUT_SCHEMA, early_stop_stream, land, scratch_stream_dirs
+
+    landing, sink, ckpt = scratch_stream_dirs(spark, "earlystop")
+    log = FX.epoch_log(spark, sf)
+    # epochs land out of order across files; the state holds gaps until they fill
+    land(log.filter(F.col("epoch") % 2 == 1), f"{landing}/a", files=2)
+    land(log.filter(F.col("epoch") % 2 == 0), f"{landing}/b", files=2)
+    early_stop_stream(spark, f"{landing}/*", sink, ckpt, patience=20)
+    return spark.read.schema(OUT_SCHEMA).parquet(sink)
+
+
+@query("stream_score")
+def stream_score(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    from ..operators.models import prepare_splits
+    from ..session import scratch_path
+    from ..streaming.scoring import score_stream
+
+    base = scratch_path(spark, "score")
+    s = prepare_splits(_demand(spark, sf))
+    model = Pipeline(stages=[LinearRegression(regParam=0.0)]).fit(s.train)
+    model.write().overwrite().save(f"{base}/model")
+    s.scaler.write.mode("overwrite").parquet(f"{base}/scaler")
+    test_ids = s.test.select("event_id")
+    requests = _demand(spark, sf).join(test_ids, "event_id").select(
+        "event_id", "datetime", "season", "holiday", "workingday", "weather", "temp", "atemp",
+        F.col("humidity").cast("double"), "windspeed")
+    requests.repartition(3).write.parquet(f"{base}/landing")
+    score_stream(spark, f"{base}/landing", f"{base}/model", f"{base}/scaler", f"{base}/out", f"{base}/quarantine",
+                 f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+def _reference_csv_rows(spark, sf) -> DataFrame:
+    """Demand rows in the reference's CSV shape (target named count), temp corrupted on a few rows."""
+    d = _demand(spark, sf)
+    temp = F.when(F.col("event_id") % 97 == 0, F.lit("abc")).otherwise(F.col("temp").cast("string"))
+    return d.select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "season", "holiday",
+                    "workingday", "weather", temp.alias("temp"), "atemp", "humidity", "windspeed",
+                    F.col("cnt").alias("count"))
+
+
+@query("stream_ingest")
+def stream_ingest(spark, sf):
+    from ..session import scratch_path
+    from ..streaming.scoring import ingest_stream
+
+    base = scratch_path(spark, "ingest")
+    _reference_csv_rows(spark, sf).repartition(3).write.option("header", True).csv(f"{base}/landing")
+    ingest_stream(spark, f"{base}/landing", f"{base}/accepted", f"{base}/rejected", f"{base}/checkpoint")
+    acc = spark.read.parquet(f"{base}/accepted").select("datetime", "cnt", F.lit("accepted").alias("status"))
+    rej = spark.read.parquet(f"{base}/rejected").select("datetime", "cnt", F.lit("rejected").alias("status"))
+    return acc.unionByName(rej)
+
+
+# ---------------------------------------------------------------- sources and sinks (M8)
+
+@query("missing_columns")
+def missing_columns(spark, sf):
+    from ..session import scratch_path
+    from ..sources.csv_source import missing_columns as mc
+
+    base = scratch_path(spark, "uploads")
+    rows = _reference_csv_rows(spark, sf)
+    rows.write.option("header", True).csv(f"{base}/good")
+    rows.drop("weather").write.option("header", True).csv(f"{base}/no_weather")
+    rows.withColumnRenamed("datetime", "date").drop("humidity").write.option("header", True).csv(f"{base}/date_only")
+    return mc(spark, f"{base}/*/*.csv")
+
+
+@query("landing_gate")
+def landing_gate(spark, sf):
+    from ..session import scratch_path
+    from ..sources.csv_source import landing_gate as gate
+
+    base = scratch_path(spark, "landing")
+    rows = _reference_csv_rows(spark, sf)
+    rows.coalesce(1).write.option("header", True).csv(f"{base}/a")
+    rows.select(F.concat_ws(",", *rows.columns).alias("value")).coalesce(1).write.text(f"{base}/b")
+    return gate(spark, base)
+
+
+@query("dataset_inventory")
+def dataset_inventory(spark, sf):
+    from ..session import scratch_path
+    from ..sources.csv_source import dataset_inventory as inv
+
+    base = scratch_path(spark, "inventory")
+    _reference_csv_rows(spark, sf).repartition(3).write.option("header", True).csv(base)
+    return inv(spark, base)
+
+
+@query("scan_csv")
+def scan_csv(spark, sf):
+    from ..session import scratch_path
+    from ..sources.csv_source import read_demand_csv
+
+    base = scratch_path(spark, "csv")
+    _reference_csv_rows(spark, sf).repartition(3).write.option("header", True).csv(base)
+    return read_demand_csv(spark, base).select("datetime", "season", "temp", "cnt", "parse_errors")
+
+
+@query("publish_dataset", "SELECT event_id, datetime, cnt FROM demand")
+def publish_dataset(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import publish_dataset as pub
+
+    root = scratch_path(spark, "datasets")
+    ds = pub(_demand(spark, sf).select("event_id", "datetime", "cnt"), root)
+    return spark.read.parquet(root).filter(F.col("dataset_id") == ds).select("event_id", "datetime", "cnt")
+
+
+@query("predictions_sink", "SELECT event_id, model, y_true, y_pred FROM predictions")
+def predictions_sink(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import write_predictions
+
+    path = write_predictions(FX.predictions(spark, sf), scratch_path(spark, "predictions"))
+    return spark.read.parquet(path).select("event_id", "model", "y_true", "y_pred")
+
+
+@query("artifact_metrics", f"""
+SELECT 'mlp' AS model_type, r2, rmse, mae, mse, mape, NULL::DOUBLE AS training_time,
+  CAST(least(1000, n) AS INTEGER) AS n_samples FROM ({_METRICS_SQL}) WHERE model = 'hour'""")
+def artifact_metrics(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import artifact_metrics as read_art
+    from ..sources.sinks import predictions_artifact
+
+    p = FX.predictions(spark, sf).filter(F.col("model") == "hour")
+    path = predictions_artifact(p, EV.regression_metrics(p), scratch_path(spark, "artifact"), sample=1000)
+    return read_art(spark, path)
+
+
+@query("result_sinks")
+def result_sinks(spark, sf):
+    from ..session import scratch_path
+    from ..sources.sinks import write_result_table
+
+    path = write_result_table(_board(spark, sf), scratch_path(spark, "leaderboard"), "csv")
+    return spark.read.option("header", True).csv(path)
