@@ -102,8 +102,9 @@ def fold_sets(folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return (folded.filter(F.col("train_from_fold") <= fold), folded.filter(F.col("test_fold") == fold))
 
 
-# Above this many rows a tail/head goes through the row index instead of a top-k.
-TOPK_LIMIT = 200_000
+# Above this many rows a tail/head goes through the distributed row index
+# instead of a top-k: a top-k merges (partitions x n) rows in one task.
+TOPK_LIMIT = 1_000
 
 
 def tail_slice(df: DataFrame, order_cols: list, n: int = 5000, num_partitions: int | None = None) -> DataFrame:

@@ -226,8 +226,8 @@ def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None) -
     x = F.col(col).cast("double")
     rng = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")) if by else \
         df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    # the range table has one row per group (small): broadcast it
-    joined = df.join(F.broadcast(rng), by) if by else df.crossJoin(F.broadcast(rng))
+    # one-row range: broadcast; per-group ranges have no proven bound, AQE picks the join at runtime
+    joined = df.join(rng, by) if by else df.crossJoin(F.broadcast(rng))
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.floor((x - F.col("_lo")) * bins / width) + 1, F.lit(bins))).cast("int")
@@ -274,9 +274,15 @@ def qq_points(df: DataFrame, col: str = "cnt", n: int = 99) -> DataFrame:
     return pts.crossJoin(fit)
 
 
-def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Exact distinct count per column (one pass; one partial set per column)."""
-    wide = df.agg(*[F.count_distinct(c).alias(c) for c in cols])
+def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct count per column in one pass.
+
+    Exact counting deduplicates (column, value) pairs map-side before the
+    shuffle, so its cost follows the number of distinct values; ``approx``
+    uses HyperLogLog++ sketches (fixed size per column) for unbounded domains.
+    """
+    agg = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
+    wide = df.agg(*[agg(c).alias(c) for c in cols])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_distinct"))
                                           for c in cols])))
 
