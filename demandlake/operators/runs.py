@@ -106,7 +106,8 @@ def progress_feed(events: DataFrame, job: str = "job_id", seq: str = "seq", ts:
     key (AQE splits a hot job's partition in that join).
     """
     dedup = events.dropDuplicates([job, seq])
-    cut = job_status(dedup, job, seq, ts).select(job, "terminal_ts", "terminal_seq")
+    # duplicates cannot move a minimum: the cut is folded from the raw feed (no second dedupe shuffle)
+    cut = job_status(events, job, seq, ts).select(job, "terminal_ts", "terminal_seq")
     joined = dedup.join(cut, job, "left")
     before = (F.col("terminal_ts").isNull() | (F.col(ts) < F.col("terminal_ts"))
               | ((F.col(ts) == F.col("terminal_ts")) & (F.col(seq) <= F.col("terminal_seq"))))
