@@ -1055,6 +1055,27 @@ def stream_early_stop(spark, sf):
     return spark.read.schema(OUT_SCHEMA).parquet(sink)
 
 
+@query("stream_job_status", """
+WITH t AS (SELECT job_id, ts, seq, event, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS r
+           FROM job_events WHERE event IN ('done', 'cancelled', 'error')),
+a AS (SELECT job_id, count(*) AS n_events FROM job_events GROUP BY job_id)
+SELECT a.job_id, coalesce(CASE t.event WHEN 'done' THEN 'COMPLETED' WHEN 'cancelled' THEN 'CANCELLED'
+                                       WHEN 'error' THEN 'FAILED' END,
+                          CASE WHEN a.n_events > 0 THEN 'RUNNING' ELSE 'PENDING' END) AS status,
+  t.event AS terminal_event, t.seq AS terminal_seq, t.ts AS terminal_ts
+FROM a LEFT JOIN (SELECT * FROM t WHERE r = 1) t USING (job_id)""")
+def stream_job_status(spark, sf):
+    from ..streaming.progress import job_status_stream, land, latest_status, scratch_stream_dirs
+
+    landing, sink, ckpt = scratch_stream_dirs(spark, "status")
+    ev = FX.job_events(spark, sf)
+    # later events land first: a terminal event arriving late must still win if it is earlier in time
+    land(ev.filter(F.col("seq") % 3 != 0), f"{landing}/1", files=2)
+    land(ev.filter(F.col("seq") % 3 == 0), f"{landing}/2", files=1)
+    job_status_stream(spark, f"{landing}/*", sink, ckpt)
+    return latest_status(spark, sink)
+
+
 @query("stream_score")
 def stream_score(spark, sf):
     from pyspark.ml import Pipeline

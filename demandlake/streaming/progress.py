@@ -99,3 +99,49 @@ def early_stop_stream(spark: SparkSession, landing: str, sink: str, checkpoint:
 def scratch_stream_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
     base = scratch_path(spark, name)
     return f"{base}/landing", f"{base}/sink", f"{base}/checkpoint"
+
+
+STATUS_STATE = "terminal_event string, terminal_ts timestamp_ntz, terminal_seq long, n_events long, version long"
+STATUS_OUT = ("job_id long, status string, terminal_event string, terminal_seq long, terminal_ts timestamp_ntz, "
+              "version long")
+# Terminal event -> job status.
+_TERMINAL_STATUS = {"done": "COMPLETED", "cancelled": "CANCELLED", "error": "FAILED"}
+
+
+def _status_fn(key, pdfs, state):
+    job_id = key[0]
+    if state.exists:
+        t_event, t_ts, t_seq, n, version = state.get
+    else:
+        t_event, t_ts, t_seq, n, version = None, None, None, 0, 0
+    for pdf in pdfs:
+        n += len(pdf)
+        term = pdf[pdf["event"].isin(list(_TERMINAL_STATUS))]
+        if len(term):
+            first = term.sort_values(["ts", "seq"], kind="mergesort").iloc[0]
+            cand = (pd.Timestamp(first["ts"]), int(first["seq"]))
+            if t_ts is None or cand < (pd.Timestamp(t_ts), int(t_seq)):  # first terminal (by ts, seq) wins
+                t_event, t_ts, t_seq = first["event"], cand[0], cand[1]
+    version += 1
+    state.update((t_event, None if t_ts is None else pd.Timestamp(t_ts).to_pydatetime(),
+                  None if t_seq is None else int(t_seq), int(n), int(version)))
+    status = _TERMINAL_STATUS.get(t_event) if t_event else ("RUNNING" if n > 0 else "PENDING")
+    yield pd.DataFrame([{"job_id": job_id, "status": status, "terminal_event": t_event, "terminal_seq": t_seq,
+                         "terminal_ts": None if t_ts is None else pd.Timestamp(t_ts), "version": version}])
+
+
+def job_status_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, files_per_batch: int = 1) -> str:
+    """Lifecycle fold as events arrive; each micro-batch appends the job's new state (versioned)."""
+    ship_package(spark)
+    ev = (spark.readStream.schema(JOB_EVENT_SCHEMA).option("timestampNTZFormat", NTZ_FORMAT)
+          .option("maxFilesPerTrigger", files_per_batch).json(landing))
+    out = ev.groupBy("job_id").applyInPandasWithState(_status_fn, STATUS_OUT, STATUS_STATE, "append",
+                                                      GroupStateTimeout.NoTimeout)
+    return run_available_now(out, sink, checkpoint)
+
+
+def latest_status(spark: SparkSession, sink: str) -> DataFrame:
+    """Current status per job: the highest state version in the sink (one aggregate)."""
+    s = spark.read.schema(STATUS_OUT).parquet(sink)
+    latest = F.max_by(F.struct("status", "terminal_event", "terminal_seq", "terminal_ts"), "version")
+    return s.groupBy("job_id").agg(latest.alias("s")).select("job_id", "s.*")
