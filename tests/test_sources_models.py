@@ -108,5 +108,8 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     run_available_now(hourly_counts(stream, watermark="1 hour"), str(tmp_path / "sink"), str(tmp_path / "ckpt"))
     got = {(r.window_start, r.n_events) for r in spark.read.parquet(str(tmp_path / "sink")).collect()}
     want = {(r.window_start, r.n_events) for r in hourly_counts(ev).collect()}
-    newest = max(w for w, _ in want)
-    assert got == {x for x in want if x[0] != newest} or got == want
+    # every emitted window equals its batch count; only the newest windows (still inside the
+    # 1-hour watermark) may remain open
+    assert got <= want
+    open_windows = {w for w, _ in want} - {w for w, _ in got}
+    assert open_windows and max(w for w, _ in want) in open_windows and len(open_windows) <= 2
