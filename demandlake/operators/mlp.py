@@ -26,6 +26,9 @@ from ..session import ship_package
 from . import evaluate as EV
 
 
+MIN_SHARD_ROWS = 2048
+
+
 def init_weights(n_in: int, hidden: tuple[int, ...], seed: int) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
     sizes = [n_in, *hidden, 1]
@@ -126,12 +129,17 @@ def fit_mlp(splits, hidden: tuple[int, ...] = (64, 32), epochs: int = 30, batch_
     spark = splits.train.sparkSession
     sc = spark.sparkContext
     ship_package(spark)
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # target statistics and row count in one aggregate
+    st = splits.train.agg(F.avg("label").alias("mu"), F.stddev_pop("label").alias("sd"),
+                          F.count(F.lit(1)).alias("n")).first()
+    # shards: at most the configured parallelism, at least MIN_SHARD_ROWS rows each (tiny
+    # shards make averaged updates noisy and add per-task overhead)
+    parts = num_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                         int(st["n"]) // MIN_SHARD_ROWS))
     # hash-spread rows so every partition sees all seasons/hours (IID shards for averaging)
     train = _xy(splits.train).repartition(parts, F.xxhash64("x"))
-    val = _xy(splits.val)
-    # standardise the target with train statistics (one aggregate); losses are reported in target units
-    st = splits.train.agg(F.avg("label").alias("mu"), F.stddev_pop("label").alias("sd")).first()
+    val = _xy(splits.val).coalesce(parts)  # narrow: no shuffle, fewer Python tasks per epoch
+    # standardise the target with train statistics; losses are reported in target units
     mu, sd = float(st["mu"]), float(st["sd"] or 1.0) or 1.0
     train = train.withColumn("label", (F.col("label") - mu) / sd).persist(StorageLevel.MEMORY_AND_DISK)
     val = val.withColumn("label", (F.col("label") - mu) / sd).persist(StorageLevel.MEMORY_AND_DISK)
