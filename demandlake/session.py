@@ -70,8 +70,8 @@ def ship_package(spark: SparkSession) -> None:
     import shutil
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
-        return
+    if id(sc) in _SHIPPED or "demandlake" in (spark.conf.get("spark.submit.pyFiles", "") or ""):
+        return  # already shipped (e.g. spark-submit --py-files demandlake.zip)
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="demandlake-pkg-")
     base = os.path.join(out_dir, "demandlake")
