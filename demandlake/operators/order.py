@@ -156,14 +156,15 @@ def synth_datetime(df: DataFrame, order_cols: list, start: str = "2011-01-01 00:
     return ix.withColumn("datetime", stamp).drop("_pos")
 
 
-_AGGS = {"min": (F.min, F.least), "max": (F.max, F.greatest)}
+_AGGS = {"min": (F.min, F.least), "max": (F.max, F.greatest),
+         "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}
 
 
 def running_agg(df: DataFrame, keys: list[str], order: list, specs: list[tuple[str, str, Column, bool]],
                 num_partitions: int | None = None) -> DataFrame:
-    """Skew-safe running min/max per key group, following ``order``.
+    """Skew-safe running min/max/sum per key group, following ``order``.
 
-    ``specs`` = [(out_col, 'min'|'max', value, inclusive)]; ``inclusive=False``
+    ``specs`` = [(out_col, 'min'|'max'|'sum', value, inclusive)]; ``inclusive=False``
     aggregates strictly earlier rows only. A plain window partitioned by the
     key puts a hot key's rows in one task; here rows are range-partitioned on
     (key, order) so a hot key spans many partitions ("chunks"), each chunk

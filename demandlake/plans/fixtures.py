@@ -6,7 +6,7 @@ with the scale factor and Catalyst prunes the columns it does not need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -74,15 +74,20 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epoch_log(spark: SparkSession, sf_dir: str, with_data: bool = False) -> DataFrame:
     """per-job epoch history (epoch numbered within the job)."""
+    from ..operators.order import running_agg
+
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    extra = [F.col("props").alias("data")] if with_data else []
-    return e.select(
-        F.col("user_id").alias("job_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("epoch"),
+    extra = ["props"] if with_data else []
+    base = e.select(F.col("user_id").alias("job_id"), "ts", "event_id", "value", *extra)
+    # epoch = position within the job; a running count over range chunks instead of a
+    # window partitioned by job, so one very long job does not land in a single task
+    numbered = running_agg(base, ["job_id"], ["ts", "event_id"], [("_n", "sum", F.lit(1), True)])
+    return numbered.select(
+        "job_id",
+        (F.col("_n") - 1).cast("int").alias("epoch"),
         (F.col("value") * 0.9).alias("train_loss"),
         F.col("value").alias("val_loss"),
-        *extra,
+        *([F.col("props").alias("data")] if with_data else []),
     )
 
 
