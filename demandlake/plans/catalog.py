@@ -520,16 +520,17 @@ def union_train_val(spark, sf):
 
 
 _FOLDS_SQL = """
-SELECT event_id, idx, test_fold, CAST(CASE WHEN idx < st THEN 0 WHEN test_fold + 1 < 5 THEN test_fold + 1 END AS INTEGER)
-  AS train_from_fold FROM (
+SELECT event_id, idx, CAST(test_fold AS DOUBLE) AS test_fold,
+  CAST(CASE WHEN idx < st THEN 0 WHEN test_fold + 1 < 5 THEN test_fold + 1 END AS DOUBLE) AS train_from_fold FROM (
   SELECT event_id, idx, st, CAST(CASE WHEN idx >= st THEN (idx - st) // b END AS INTEGER) AS test_fold
   FROM indexed, (SELECT n // 6 AS b, n - 5 * (n // 6) AS st FROM (SELECT count(*) AS n FROM demand)))"""
 
 
 @query("ts_folds", _FOLDS_SQL)
 def ts_folds(spark, sf):
+    # nullable fold numbers are reported as double on both engines (same pandas dtype)
     return OR.ts_folds(_demand(spark, sf).select("event_id", "datetime"), ORDER, k=5).select(
-        "event_id", "idx", "test_fold", "train_from_fold")
+        "event_id", "idx", F.col("test_fold").cast("double"), F.col("train_from_fold").cast("double"))
 
 
 @query("tail_slice", "SELECT event_id, datetime, cnt FROM demand ORDER BY datetime DESC, event_id DESC LIMIT 5000")
@@ -714,11 +715,13 @@ WITH b AS ({_BEST_SQL}),
 c AS (SELECT job_id, epoch, CAST(epoch - max(CASE WHEN is_best THEN epoch END) OVER (PARTITION BY job_id ORDER BY epoch
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS patience_counter FROM b),
 s AS (SELECT job_id, min(epoch) AS stop_epoch FROM c WHERE patience_counter >= 20 GROUP BY job_id)
-SELECT c.job_id, c.epoch, c.patience_counter, s.stop_epoch, coalesce(c.epoch = s.stop_epoch, false) AS stopped
+SELECT c.job_id, c.epoch, c.patience_counter, CAST(s.stop_epoch AS DOUBLE) AS stop_epoch,
+  coalesce(c.epoch = s.stop_epoch, false) AS stopped
 FROM c LEFT JOIN s USING (job_id) WHERE s.stop_epoch IS NULL OR c.epoch <= s.stop_epoch""")
 def early_stop(spark, sf):
     log = FX.epoch_log(spark, sf).select("job_id", "epoch", "val_loss")
-    return RU.early_stop(log, patience=20).select("job_id", "epoch", "patience_counter", "stop_epoch", "stopped")
+    return RU.early_stop(log, patience=20).select("job_id", "epoch", "patience_counter",
+                                                  F.col("stop_epoch").cast("double"), "stopped")
 
 
 @query("early_stop_delta")
@@ -746,10 +749,10 @@ a AS (SELECT job_id, count(*) AS n_events FROM job_events GROUP BY job_id)
 SELECT a.job_id, coalesce(CASE t.event WHEN 'done' THEN 'COMPLETED' WHEN 'cancelled' THEN 'CANCELLED'
                                        WHEN 'error' THEN 'FAILED' END,
                           CASE WHEN a.n_events > 0 THEN 'RUNNING' ELSE 'PENDING' END) AS status,
-  t.event AS terminal_event, t.seq AS terminal_seq, t.ts AS terminal_ts
+  t.event AS terminal_event, CAST(t.seq AS DOUBLE) AS terminal_seq, t.ts AS terminal_ts
 FROM a LEFT JOIN (SELECT * FROM t WHERE r = 1) t USING (job_id)""")
 def job_status(spark, sf):
-    return RU.job_status(FX.job_events(spark, sf))
+    return RU.job_status(FX.job_events(spark, sf)).withColumn("terminal_seq", F.col("terminal_seq").cast("double"))
 
 
 _FEED_SQL = """
@@ -1062,7 +1065,7 @@ a AS (SELECT job_id, count(*) AS n_events FROM job_events GROUP BY job_id)
 SELECT a.job_id, coalesce(CASE t.event WHEN 'done' THEN 'COMPLETED' WHEN 'cancelled' THEN 'CANCELLED'
                                        WHEN 'error' THEN 'FAILED' END,
                           CASE WHEN a.n_events > 0 THEN 'RUNNING' ELSE 'PENDING' END) AS status,
-  t.event AS terminal_event, t.seq AS terminal_seq, t.ts AS terminal_ts
+  t.event AS terminal_event, CAST(t.seq AS DOUBLE) AS terminal_seq, t.ts AS terminal_ts
 FROM a LEFT JOIN (SELECT * FROM t WHERE r = 1) t USING (job_id)""")
 def stream_job_status(spark, sf):
     from ..streaming.progress import job_status_stream, land, latest_status, scratch_stream_dirs
@@ -1073,7 +1076,7 @@ def stream_job_status(spark, sf):
     land(ev.filter(F.col("seq") % 3 != 0), f"{landing}/1", files=2)
     land(ev.filter(F.col("seq") % 3 == 0), f"{landing}/2", files=1)
     job_status_stream(spark, f"{landing}/*", sink, ckpt)
-    return latest_status(spark, sink)
+    return latest_status(spark, sink).withColumn("terminal_seq", F.col("terminal_seq").cast("double"))
 
 
 @query("stream_score")
