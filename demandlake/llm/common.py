@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: Code points that Unicode, but not ASCII, counts as white space (fixed values).
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u180e\u200b\ufeff]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
