@@ -44,8 +44,7 @@ def residuals(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 def ensemble_mean(preds: DataFrame, key: str = "event_id", model_col: str = "model") -> DataFrame:
     """Unweighted mean of all model outputs per row key (one shuffle on the key)."""
-    return preds.groupBy(key).agg(F.first("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"),
-                                  F.count_distinct(model_col).alias("n_models"))
+    return preds.groupBy(key).agg(F.first("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"))
 
 
 def pair_predictions(truth: DataFrame, preds: DataFrame, key: str, models: list[str],

@@ -1,11 +1,11 @@
 """Data-parallel neural regressor (ReLU MLP, MSE, Adam) on Spark.
 
-Each epoch is one Spark job: the current weights are broadcast, every
-partition runs one pass of mini-batch Adam over its rows with NumPy inside
-``mapInPandas`` (Arrow batches), and the partition results are averaged
-weighted by row count (model averaging). A second, forward-only job gives
-the validation loss; early stopping restores the best weights. Only weight
-vectors (model-sized) and per-partition sums travel to the driver.
+Each epoch is one Spark job: the current weights and Adam moments are
+broadcast, every logical shard runs one pass of mini-batch Adam over its rows
+with NumPy inside ``mapInPandas``, block by block, and the results are
+averaged weighted by row count (model averaging). A second, forward-only job
+gives the validation loss; early stopping restores the best weights. Only
+model-sized vectors, one per shard, travel to the driver.
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ from ..session import ship_package
 from . import evaluate as EV
 
 
-MIN_SHARD_ROWS = 2048
-
-
 def init_weights(n_in: int, hidden: tuple[int, ...], seed: int) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
     sizes = [n_in, *hidden, 1]
@@ -89,6 +86,15 @@ class MLPResult:
     seconds: float = 0.0
     best_epoch: int = 0
 
+    def save(self, spark, path: str) -> None:
+        row = (_pack(self.weights), self.y_mean, self.y_std, self.best_epoch)
+        spark.createDataFrame([row], "weights binary, y_mean double, y_std double, best_epoch int").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark, path: str) -> MLPResult:
+        r = spark.read.parquet(path).first()
+        return MLPResult(_unpack(bytes(r["weights"])), r["y_mean"], r["y_std"], best_epoch=r["best_epoch"])
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``y_pred`` (and ``y_true`` from ``label``) with broadcast weights, Arrow batches."""
         spark = df.sparkSession
@@ -122,72 +128,110 @@ def _xy(df: DataFrame) -> DataFrame:
     return df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
 
 
-def fit_mlp(splits, hidden: tuple[int, ...] = (64, 32), epochs: int = 30, batch_size: int = 64, lr: float = 1e-3,
-            weight_decay: float = 1e-5, patience: int = 20, seed: int = 42, num_partitions: int | None = None,
+SHARDS = 8  # logical shards of the training rows; the model depends on them, not on partitions
+BLOCK_ROWS = 4096  # rows of a shard that a task holds and shuffles together
+
+
+def _shard_blocks(it, size: int = BLOCK_ROWS):
+    """(shard, number of the block, x, y) of rows sorted by shard, in blocks that end at the same rows however batches fall."""
+    shard, number, held, n = None, 0, [], 0
+
+    def flush():
+        return shard, number, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+    for pdf in it:
+        x, y = _frame_xy(pdf)
+        ids = pdf["shard"].to_numpy()
+        at = 0
+        while at < len(ids):
+            if shard is not None and ids[at] != shard and n:
+                yield flush()
+                held, n = [], 0
+            if ids[at] != shard:
+                shard, number = ids[at], 0
+            z = at + min(size - n, int(np.searchsorted(ids[at:] != shard, True)) if (ids[at:] != shard).any() else len(ids) - at)
+            held.append((x[at:z], y[at:z]))
+            n += z - at
+            at = z
+            if n == size:
+                yield flush()
+                number, held, n = number + 1, [], 0
+    if n:
+        yield flush()
+
+
+def fit_mlp(splits, hidden: tuple[int, ...] = (512, 256, 128, 64), epochs: int = 30, batch_size: int = 64, lr: float = 1e-3,
+            weight_decay: float = 1e-5, patience: int = 20, seed: int = 42, shards: int = SHARDS,
             on_epoch_end=None) -> MLPResult:
-    """Train on ``splits.train`` with early stopping on ``splits.val``."""
+    """Train on ``splits.train`` with early stopping on ``splits.val`` (none if it is empty).
+
+    Rows belong to ``shards`` logical shards by a hash of their id and are sorted in them once, so
+    the result does not depend on the partitioning. In an epoch each shard runs mini-batch Adam over
+    its rows block by block from the common weights and moments; weights and moments are then
+    averaged by rows, so there is one optimiser state that lives as long as the training.
+    """
     spark = splits.train.sparkSession
     sc = spark.sparkContext
     ship_package(spark)
-    # target statistics and row count in one aggregate
-    st = splits.train.agg(F.avg("label").alias("mu"), F.stddev_pop("label").alias("sd"),
-                          F.count(F.lit(1)).alias("n")).first()
-    # shards: at most the configured parallelism, at least MIN_SHARD_ROWS rows each (tiny
-    # shards make averaged updates noisy and add per-task overhead)
-    parts = num_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                         int(st["n"]) // MIN_SHARD_ROWS))
-    # hash-spread rows so every partition sees all seasons/hours (IID shards for averaging)
-    train = _xy(splits.train).repartition(parts, F.xxhash64("x"))
-    val = _xy(splits.val).coalesce(parts)  # narrow: no shuffle, fewer Python tasks per epoch
+    st = splits.train.agg(F.avg("label").alias("mu"), F.stddev_pop("label").alias("sd")).first()
     # standardise the target with train statistics; losses are reported in target units
     mu, sd = float(st["mu"]), float(st["sd"] or 1.0) or 1.0
-    train = train.withColumn("label", (F.col("label") - mu) / sd).persist(StorageLevel.MEMORY_AND_DISK)
-    val = val.withColumn("label", (F.col("label") - mu) / sd).persist(StorageLevel.MEMORY_AND_DISK)
+    place = F.xxhash64("event_id", F.lit(seed)) if "event_id" in splits.train.columns else F.xxhash64(vector_to_array("features"), "label")
+    train = splits.train.select(vector_to_array("features").alias("x"), ((F.col("label").cast("double") - mu) / sd).alias("label"),
+                                place.alias("place")).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
+    train = train.repartition(shards, "shard").sortWithinPartitions("shard", "place").drop("place").persist(StorageLevel.MEMORY_AND_DISK)
+    val = _xy(splits.val).withColumn("label", (F.col("label") - mu) / sd).persist(StorageLevel.MEMORY_AND_DISK)
     ws = init_weights(len(FEATURE_COLS), tuple(hidden), seed)
+    ms, vs, steps = [np.zeros_like(w) for w in ws], [np.zeros_like(w) for w in ws], 0.0
     best_ws, best_loss, since_best = [w.copy() for w in ws], float("inf"), 0
     result = MLPResult(weights=ws, y_mean=mu, y_std=sd)
     t0 = time.time()
     for epoch in range(epochs):
-        bc = sc.broadcast(_pack(ws))
-        ep_seed = seed * 1000 + epoch
-
-        def local_epoch(it, bc=bc, ep_seed=ep_seed):
-            frames = list(it)
-            pdf = pd.concat(frames) if frames else pd.DataFrame({"x": [], "label": []})
-            x, y = _frame_xy(pdf)
-            w = _unpack(bc.value)
-            if len(y) == 0:
-                return
-            m = [np.zeros_like(a) for a in w]
-            v = [np.zeros_like(a) for a in w]
+        bc = sc.broadcast(_pack([*ws, *ms, *vs]))
+
+        def local_epoch(it, bc=bc, epoch=epoch, steps=steps):
             b1, b2, eps = 0.9, 0.999, 1e-8
-            rng = np.random.default_rng(ep_seed + int(abs(y.sum())) % 1000)
-            order = rng.permutation(len(y))
-            losses, step = [], 0
-            for s in range(0, len(y), batch_size):
-                idx = order[s:s + batch_size]
-                out, acts = forward(w, x[idx])
-                err = out - y[idx]
-                losses.append(float(np.mean(err ** 2)))
-                grads, _ = backward(w, acts, 2.0 * err / len(idx))
-                step += 1
-                for i in range(len(w)):
-                    g = grads[i] + weight_decay * w[i]
-                    m[i] = b1 * m[i] + (1 - b1) * g
-                    v[i] = b2 * v[i] + (1 - b2) * g * g
-                    mh, vh = m[i] / (1 - b1 ** step), v[i] / (1 - b2 ** step)
-                    w[i] = w[i] - lr * mh / (np.sqrt(vh) + eps)
-            yield pd.DataFrame({"n": [len(y)], "loss_sum": [float(np.mean(losses)) * len(y)],
-                                "blob": [_pack(w)]})
-
-        rows = train.mapInPandas(local_epoch, "n long, loss_sum double, blob binary").collect()
+            state = None
+
+            def done():
+                return pd.DataFrame({"shard": [state[0]], "n": [state[1]], "loss_sum": [state[2]], "steps": [state[3]], "blob": [_pack([*state[4], *state[5], *state[6]])]})
+
+            for shard, number, x, y in _shard_blocks(it):
+                if state is None or state[0] != shard:
+                    if state is not None:
+                        yield done()
+                    a = _unpack(bc.value)
+                    k = len(a) // 3
+                    state = [shard, 0, 0.0, steps, a[:k], a[k:2 * k], a[2 * k:]]
+                w, m, v = state[4:]
+                order = np.random.default_rng([seed, epoch, int(shard), number]).permutation(len(y))
+                for s in range(0, len(y), batch_size):
+                    idx = order[s:s + batch_size]
+                    out, acts = forward(w, x[idx])
+                    err = out - y[idx]
+                    state[2] += float(np.sum(err ** 2))
+                    grads, _ = backward(w, acts, 2.0 * err / len(idx))
+                    state[3] += 1
+                    for i in range(len(w)):
+                        g = grads[i] + weight_decay * w[i]
+                        m[i] = b1 * m[i] + (1 - b1) * g
+                        v[i] = b2 * v[i] + (1 - b2) * g * g
+                        mh, vh = m[i] / (1 - b1 ** state[3]), v[i] / (1 - b2 ** state[3])
+                        w[i] = w[i] - lr * mh / (np.sqrt(vh) + eps)
+                state[1] += len(y)
+            if state is not None:
+                yield done()
+
+        # one model-sized row per shard; ``shards`` is a small fixed number
+        rows = sorted(train.mapInPandas(local_epoch, "shard int, n long, loss_sum double, steps double, blob binary").collect(), key=lambda r: r["shard"])
         total = sum(r["n"] for r in rows)
-        new = None
+        mean = None
         for r in rows:
-            part = _unpack(r["blob"])
-            scaled = [a * (r["n"] / total) for a in part]
-            new = scaled if new is None else [a + b for a, b in zip(new, scaled)]
-        ws = new
+            part = [a * (r["n"] / total) for a in _unpack(r["blob"])]
+            mean = part if mean is None else [a + b for a, b in zip(mean, part)]
+        k = len(ws)
+        ws, ms, vs = mean[:k], mean[k:2 * k], mean[2 * k:]
+        steps = sum(r["steps"] * r["n"] for r in rows) / total
         train_loss = sum(r["loss_sum"] for r in rows) / total * sd * sd
         vb = sc.broadcast(_pack(ws))
 
@@ -202,8 +246,9 @@ def fit_mlp(splits, hidden: tuple[int, ...] = (64, 32), epochs: int = 30, batch_
             yield pd.DataFrame({"sse": [sse], "n": [n]})
 
         agg = val.mapInPandas(val_sse, "sse double, n long").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")).first()
-        val_loss = float(agg["sse"] / agg["n"]) * sd * sd if agg["n"] else float("nan")
-        is_best = val_loss < best_loss
+        watched = bool(agg["n"])
+        val_loss = float(agg["sse"] / agg["n"]) * sd * sd if watched else float("nan")
+        is_best = val_loss < best_loss or not watched
         if is_best:
             best_loss, best_ws, since_best, result.best_epoch = val_loss, [w.copy() for w in ws], 0, epoch
         else:
@@ -214,7 +259,7 @@ def fit_mlp(splits, hidden: tuple[int, ...] = (64, 32), epochs: int = 30, batch_
                           "best_val_loss": best_loss, "is_best": is_best})
         bc.unpersist()
         vb.unpersist()
-        if since_best >= patience:
+        if watched and since_best >= patience:
             break
     result.seconds = time.time() - t0
     result.weights = best_ws
@@ -223,27 +268,31 @@ def fit_mlp(splits, hidden: tuple[int, ...] = (64, 32), epochs: int = 30, batch_
     return result
 
 
-def gradient_importance(result: MLPResult, df: DataFrame, n_rows: int = 100, seed: int = 42) -> DataFrame:
-    """Mean |d prediction / d feature| over up to ``n_rows`` hash-sampled rows, largest first."""
+def gradient_importance(result: MLPResult, df: DataFrame, n_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean |d prediction / d feature| over all rows (or ``n_rows`` hash-sampled ones), largest first.
+
+    Each task sums its rows' gradients; Spark adds the sums up.
+    """
     from .order import exact_sample
 
     spark = df.sparkSession
     ship_package(spark)
-    sample = exact_sample(df, "event_id", n=n_rows, seed=seed)
+    rows = df if n_rows is None else exact_sample(df, "event_id", n=n_rows, seed=seed)
     bc = spark.sparkContext.broadcast(_pack(result.weights))
     sd = result.y_std
     names = list(FEATURE_COLS)
 
     def grads(it):
         w = _unpack(bc.value)
+        total, n = np.zeros(len(names)), 0
         for pdf in it:
-            if not len(pdf):
-                continue
-            x, _ = _frame_xy(pdf)
-            _, acts = forward(w, x)
-            _, dx = backward(w, acts, np.ones(len(x)))
-            yield pd.DataFrame({"feature": np.tile(names, len(x)), "grad": dx.reshape(-1) * sd})
-
-    long = _xy(sample).mapInPandas(grads, "feature string, grad double")
-    return (long.groupBy("feature").agg(F.avg(F.abs("grad")).alias("importance"))
+            if len(pdf):
+                x, _ = _frame_xy(pdf)
+                _, dx = backward(w, forward(w, x)[1], np.ones(len(x)))
+                total += np.abs(dx).sum(0) * sd
+                n += len(x)
+        yield pd.DataFrame({"feature": names, "total": total, "n": n})
+
+    long = _xy(rows).mapInPandas(grads, "feature string, total double, n long")
+    return (long.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("importance"))
             .orderBy(F.col("importance").desc(), "feature"))

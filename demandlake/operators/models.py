@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import random
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.features import assemble, feature_table
 from ..schema import FEATURE_COLS, SCALED_COLS
 from . import evaluate as EV
-from .order import time_split, ts_folds
+from .order import exact_sample, label_folds, label_split
 from .scaling import apply_scaler, fit_scaler
 
 
@@ -31,26 +32,35 @@ class Splits:
     train: DataFrame
     val: DataFrame
     test: DataFrame
-    scaler: DataFrame
+    scaler: DataFrame | None = None
+    held: DataFrame | None = None  # what is persisted
 
     def unpersist(self) -> None:
-        for d in (self.train, self.val, self.test):
-            d.unpersist()
+        if self.held is not None:
+            self.held.unpersist()
+
+    def __enter__(self) -> Splits:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.unpersist()
 
 
 def prepare_splits(demand: DataFrame, key: str = "event_id", test_size: float = 0.15, val_size: float = 0.15,
                    fit_scaler_on: str = "train", target: str = "cnt") -> Splits:
     """Features, chronological split, scaler fitted on train (or 'all' for parity), assembled vectors."""
     ft = feature_table(demand, keep=[key, "datetime"], target=target)
-    labelled = time_split(ft, ["datetime", key], test_size, val_size)
+    labelled = label_split(ft, ["datetime", key], test_size, val_size)
     state = fit_scaler(labelled.filter(F.col("split") == "train") if fit_scaler_on == "train" else labelled,
                        SCALED_COLS)
     scaled = apply_scaler(labelled, state, SCALED_COLS, as_float=True)
-    ready = assemble(scaled.withColumn("label", F.col(target).cast("double"))).select(
-        key, "idx", "split", "features", "label", *FEATURE_COLS)
+    ready = assemble(scaled.withColumn("label", F.col(target).cast("double"))).select(key, "split", "features", "label")
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     parts = [ready.filter(F.col("split") == s) for s in ("train", "val", "test")]
-    return Splits(*parts, scaler=state)
+    return Splits(*parts, scaler=state, held=ready)
+
+
+FOREST_DEPTH = 20  # Spark trees need a limit; 30 is the most they allow
 
 
 # The reference's scikit-learn defaults re-expressed as Spark ML settings.
@@ -68,7 +78,7 @@ def make_estimator(name: str, n_train: int | None = None, label_std: float | Non
         alpha = kw.pop("alpha", 1.0)
         return LinearRegression(elasticNetParam=1.0, regParam=alpha, standardization=False, maxIter=200, **kw)
     if name == "forest":
-        args = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 12, "seed": 42}
+        args = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": FOREST_DEPTH, "seed": 42}
         args.update(kw)
         return RandomForestRegressor(**args)
     if name == "gbt":
@@ -103,45 +113,45 @@ def metrics_row(model: Model, df: DataFrame, name: str, fit_seconds: float | Non
     return m.select(F.lit(name).alias("model"), "*", F.lit(fit_seconds).cast("double").alias("training_time"))
 
 
-def fit_and_evaluate(name: str, splits: Splits, on: str = "test", **kw) -> DataFrame:
+def fit_any(name: str, splits: Splits, **kw) -> tuple[Callable[[DataFrame], DataFrame], float]:
+    """Fit a Spark ML model or the network (``mlp``) on train: (frame -> metrics, fit seconds)."""
+    if name == "mlp":
+        from .mlp import fit_mlp
+
+        res = fit_mlp(splits, **kw)
+        return res.metrics, res.seconds
     model, secs = fit_model(name, splits.train, **kw)
-    return metrics_row(model, getattr(splits, on), name, secs)
+    return (lambda df: EV.regression_metrics(score(model, df))), secs
+
+
+def fit_and_evaluate(name: str, splits: Splits, on: str = "test", **kw) -> DataFrame:
+    metrics, secs = fit_any(name, splits, **kw)
+    return metrics(getattr(splits, on)).select(F.lit(name).alias("model"), "*", F.lit(secs).cast("double").alias("training_time"))
 
 
 # Display names used in the comparison table.
-DISPLAY = {"linear": "Linear Regression", "ridge": "Ridge", "lasso": "Lasso", "forest": "Random Forest",
+DISPLAY = {"linear": "Linear Regression", "ridge": "Ridge Regression", "lasso": "Lasso Regression", "forest": "Random Forest",
            "gbt": "Gradient Boosting", "mlp": "Standard MLP"}
+_COMPARED = ["n", "r2", "rmse", "mae", "mse", "mape"]
 
 
 def compare_models(splits: Splits, models: dict[str, dict]) -> DataFrame:
-    """Fit every model on the same train split, score test; a failing model is skipped."""
+    """Fit every model on the same train split, score test; a model that fails keeps a row with its error, ranked last."""
     spark = splits.train.sparkSession
-    rows, times = [], []
+    rows = []
     for name, kw in models.items():
         try:
-            if name == "mlp":
-                from .mlp import fit_mlp
-
-                res = fit_mlp(splits, **kw)
-                m, secs = res.metrics(splits.test), res.seconds
-            else:
-                model, secs = fit_model(name, splits.train, **kw)
-                m = EV.regression_metrics(score(model, splits.test))
-            rows.append(m.select(F.lit(DISPLAY.get(name, name)).alias("model"), "n", "r2", "rmse", "mae", "mse", "mape"))
-            times.append((DISPLAY.get(name, name), float(secs)))
-        except Exception:  # noqa: BLE001 - the reference skips a model that fails
-            continue
-    metrics = rows[0]
-    for r in rows[1:]:
-        metrics = metrics.unionByName(r)
-    time_df = spark.createDataFrame(times, "model string, training_time double")
-    from .trials import metrics_with_time
-
-    return EV.leaderboard(metrics_with_time(metrics, F.broadcast(time_df)))
-
-
-def tree_importance(splits: Splits, forest_kw: dict, gbt_kw: dict, top: int = 15) -> DataFrame:
-    """Importances of the better (by test r2) of forest and boosting, largest first."""
+            metrics, secs = fit_any(name, splits, **kw)
+            m = metrics(splits.test).select(*_COMPARED).first()
+            rows.append((DISPLAY.get(name, name), *[None if v is None else float(v) for v in m], float(secs), None))
+        except Exception as e:  # noqa: BLE001 - one model's failure does not end the comparison
+            rows.append((DISPLAY.get(name, name), *[None] * len(_COMPARED), None, f"{type(e).__name__}: {e}"[:500]))
+    table = spark.createDataFrame(rows, "model string, " + ", ".join(f"{c} double" for c in _COMPARED) + ", training_time double, error string")
+    return EV.leaderboard(table.withColumn("n", F.col("n").cast("long")))
+
+
+def tree_importance(splits: Splits, forest_kw: dict, gbt_kw: dict, top: int | None = None) -> DataFrame:
+    """Importances of the better (by test r2) of forest and boosting, largest first; all features unless ``top``."""
     spark = splits.train.sparkSession
     best = None
     for name, kw in (("forest", forest_kw), ("gbt", gbt_kw)):
@@ -151,31 +161,28 @@ def tree_importance(splits: Splits, forest_kw: dict, gbt_kw: dict, top: int = 15
             best = (name, r2, model)
     imp = best[2].featureImportances.toArray().tolist()
     rows = [(DISPLAY[best[0]], FEATURE_COLS[i], float(v)) for i, v in enumerate(imp)]
-    df = spark.createDataFrame(rows, "model string, feature string, importance double")
-    return df.orderBy(F.col("importance").desc(), "feature").limit(top)
-
-
-def linear_importance(model: Model, top: int = 15) -> list[tuple[str, float]]:
-    """|coefficient| per feature (the gradient of a linear model)."""
-    coef = model.coefficients.toArray().tolist()
-    return sorted(((FEATURE_COLS[i], abs(c)) for i, c in enumerate(coef)), key=lambda t: -t[1])[:top]
+    df = spark.createDataFrame(rows, "model string, feature string, importance double").orderBy(F.col("importance").desc(), "feature")
+    return df if top is None else df.limit(top)
 
 
 def cross_validate(demand: DataFrame, name: str, k: int = 5, key: str = "event_id", **kw) -> DataFrame:
-    """Expanding-window k-fold CV: per fold r2 and fit seconds, then mean / population std."""
+    """Expanding-window k-fold CV: per fold r2 and fit seconds, then mean / population std and the fold scores.
+
+    The network watches its fold's test rows for early stopping, as the reference's folds do.
+    """
     spark = demand.sparkSession
     ft = feature_table(demand, keep=[key, "datetime"])
-    folded = ts_folds(ft, ["datetime", key], k)
+    folded = label_folds(ft, ["datetime", key], k)
     ready = assemble(folded.withColumn("label", F.col("cnt").cast("double"))).select(
         key, "test_fold", "train_from_fold", "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     scores = []
-    for f in range(k):
-        train = ready.filter(F.col("train_from_fold") <= f)
-        test = ready.filter(F.col("test_fold") == f)
-        model, secs = fit_model(name, train, **kw)
-        r2 = EV.regression_metrics(score(model, test)).first()["r2"]
-        scores.append((f, float(r2), float(secs)))
-    ready.unpersist()
+    try:
+        for f in range(k):
+            test = ready.filter(F.col("test_fold") == f)
+            metrics, secs = fit_any(name, Splits(ready.filter(F.col("train_from_fold") <= f), test, test), **kw)
+            scores.append((f, float(metrics(test).first()["r2"]), float(secs)))
+    finally:
+        ready.unpersist()
     fold_df = spark.createDataFrame(scores, "fold int, r2 double, training_time double")
     return EV.cv_summary(fold_df, "r2", "training_time").crossJoin(
         fold_df.agg(F.sort_array(F.collect_list(F.struct("fold", "r2"))).alias("scores")))
@@ -183,16 +190,18 @@ def cross_validate(demand: DataFrame, name: str, k: int = 5, key: str = "event_i
 
 def learning_curve(splits: Splits, name: str, sizes=(0.1, 0.25, 0.5, 0.75, 1.0), seed: int = 42, **kw) -> DataFrame:
     """Fit on nested hash-ranked subsets of train; score train subset and validation r2."""
-    from .order import exact_sample
-
     spark = splits.train.sparkSession
     rows = []
     for s in sizes:
-        sub = splits.train if s >= 1.0 else exact_sample(splits.train, "event_id", fraction=s, seed=seed)
-        model, secs = fit_model(name, sub, **kw)
-        tr = EV.regression_metrics(score(model, sub)).first()
-        va = EV.regression_metrics(score(model, splits.val)).first()
+        sub = splits.train
+        if s < 1.0:  # the sample of the keys alone is ranked; features never move
+            own = exact_sample(splits.train.select("event_id"), "event_id", fraction=s, seed=seed)
+            sub = splits.train.join(own, "event_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        metrics, secs = fit_any(name, Splits(sub, splits.val, splits.test), **kw)
+        tr, va = metrics(sub).first(), metrics(splits.val).first()
         rows.append((float(s), int(tr["n"]), float(tr["r2"]), float(va["r2"]), float(secs)))
+        if s < 1.0:
+            sub.unpersist()
     return spark.createDataFrame(rows, "size double, n_train long, train_r2 double, val_r2 double, training_time double")
 
 
@@ -222,26 +231,25 @@ def refine_params(space: dict[str, list], best: dict, n: int, seed: int = 43) ->
     return out
 
 
-def tune_model(splits: Splits, name: str, space: dict[str, list], n_trials: int = 6, method: str = "random",
-               seed: int = 42, timeout_s: float = 300.0) -> DataFrame:
-    """Search scored by validation r2; a failed or too-slow trial scores -inf."""
+def tune_model(splits: Splits, name: str, space: dict[str, list], n_trials: int = 20, method: str = "random",
+               seed: int = 42, timeout_s: float | None = None) -> DataFrame:
+    """Search scored by validation r2, for Spark ML models and the network (``mlp``).
+
+    A failed trial scores -inf and says why in ``error``. With ``timeout_s``, a slower trial is
+    marked ``timed_out``; its score stays.
+    """
     spark = splits.train.sparkSession
-    if method == "two_phase":
-        first = sample_params(space, max(1, n_trials // 2), seed)
-        params = first
-    else:
-        params = sample_params(space, n_trials, seed, method)
+    params = sample_params(space, max(1, n_trials // 2), seed) if method == "two_phase" else sample_params(space, n_trials, seed, method)
     results = []
 
     def run(i: int, p: dict, phase: str) -> None:
+        error = None
         try:
-            model, secs = fit_model(name, splits.train, **p)
-            r2 = float(EV.regression_metrics(score(model, splits.val)).first()["r2"])
-            if secs > timeout_s:
-                r2 = float("-inf")
-        except Exception:  # noqa: BLE001
-            r2, secs = float("-inf"), 0.0
-        results.append((i, name, json.dumps(p, sort_keys=True), r2, float(secs), phase))
+            metrics, secs = fit_any(name, splits, **p)
+            r2 = float(metrics(splits.val).first()["r2"])
+        except Exception as e:  # noqa: BLE001 - one trial's failure does not end the search
+            r2, secs, error = float("-inf"), 0.0, f"{type(e).__name__}: {e}"[:500]
+        results.append((i, name, json.dumps(p, sort_keys=True), r2, float(secs), phase, timeout_s is not None and secs > timeout_s, error))
 
     for i, p in enumerate(params):
         run(i, p, "explore")
@@ -250,17 +258,55 @@ def tune_model(splits: Splits, name: str, space: dict[str, list], n_trials: int
         for j, p in enumerate(refine_params(space, best, n_trials - len(params), seed + 1)):
             run(len(params) + j, p, "refine")
     return spark.createDataFrame(results, "trial_id int, model_type string, params string, r2 double, "
-                                          "training_time double, phase string")
+                                          "training_time double, phase string, timed_out boolean, error string")
 
 
 def final_validation(splits: Splits, name: str, trials: DataFrame) -> DataFrame:
-    """Refit the best trial's parameters on train+val and score the untouched test split."""
-    best = trials.orderBy(F.col("r2").desc(), "trial_id").first()
-    params = json.loads(best["params"])
-    model, secs = fit_model(name, splits.train.unionByName(splits.val), **params)
-    m = EV.regression_metrics(score(model, splits.test))
-    return m.select(F.lit(name).alias("model"), F.lit(best["params"]).alias("params"), "*",
-                    F.lit(secs).alias("training_time"))
+    """Refit the best trial's parameters on train+val and score the untouched test split.
+
+    The network has no rows left to watch then and runs all its epochs. A search without a finite
+    score is an error.
+    """
+    best = trials.filter(F.col("r2") > float("-inf")).orderBy(F.col("r2").desc(), "trial_id").first()
+    if best is None:
+        why = trials.select("error").first()
+        raise ValueError(f"no trial of {name} has a score: {why and why['error']}")
+    both = splits.train.unionByName(splits.val)
+    metrics, secs = fit_any(name, Splits(both, both.limit(0), splits.test), **json.loads(best["params"]))
+    return metrics(splits.test).select(F.lit(name).alias("model"), F.lit(best["params"]).alias("params"), "*",
+                                       F.lit(secs).alias("training_time"))
+
+
+def save_bundle(path: str, model, scaler: DataFrame, model_type: str, features: list[str] = FEATURE_COLS) -> str:
+    """Model, scaler, ordered feature names and model type under one folder; the type is written last."""
+    from .mlp import MLPResult
+
+    spark = scaler.sparkSession
+    if isinstance(model, MLPResult):
+        model.save(spark, f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
+    scaler.write.mode("overwrite").parquet(f"{path}/scaler")
+    spark.createDataFrame([(model_type, list(features))], "model_type string, features array<string>").write.mode("overwrite").json(f"{path}/about")
+    return path
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[object, DataFrame, str, list[str]]:
+    """(model, scaler, model type, features) of a saved bundle; a missing or foreign one is an error that says so."""
+    from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
+
+    from .mlp import MLPResult
+
+    try:
+        about = spark.read.schema("model_type string, features array<string>").json(f"{path}/about").first()
+    except Exception as e:
+        raise FileNotFoundError(f"no model bundle at {path}") from e
+    kinds = {"linear": LinearRegressionModel, "ridge": LinearRegressionModel, "lasso": LinearRegressionModel,
+             "forest": RandomForestRegressionModel, "gbt": GBTRegressionModel}
+    if about is None or about.model_type not in {*kinds, "mlp"}:
+        raise ValueError(f"{path} holds no known model type: {about and about.model_type}")
+    model = MLPResult.load(spark, f"{path}/model") if about.model_type == "mlp" else kinds[about.model_type].load(f"{path}/model")
+    return model, spark.read.parquet(f"{path}/scaler"), about.model_type, list(about.features)
 
 
 def model_roundtrip(model: Model, path: str, df: DataFrame) -> DataFrame:
@@ -271,6 +317,3 @@ def model_roundtrip(model: Model, path: str, df: DataFrame) -> DataFrame:
     b = loaded.transform(df).select("event_id", F.col("prediction").alias("p2"))
     return a.join(b, "event_id").select("event_id", "p1", "p2", (F.abs(F.col("p1") - F.col("p2")) < 1e-9).alias("same"))
 
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

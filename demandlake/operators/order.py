@@ -77,6 +77,50 @@ def time_split(df: DataFrame, order_cols: list, test_size: float = 0.2, val_size
     return ix.withColumn(name, label).drop("_total")
 
 
+def rows_at(df: DataFrame, order_cols: list[str], positions, num_partitions: int | None = None) -> DataFrame:
+    """One row: ``n`` and ``keys``, the order keys at the given positions of the total order.
+
+    ``positions(total)`` gives an array column. Only the key columns are indexed.
+    """
+    ix = with_row_index(df.select(*order_cols), order_cols, "_idx", num_partitions, total_col="_total")
+    hit = F.array_contains(positions(F.col("_total")), F.col("_idx"))
+    return ix.agg(F.max("_total").alias("n"), F.array_sort(F.collect_list(F.when(hit, F.struct(*order_cols)))).alias("keys"))
+
+
+def label_split(df: DataFrame, order_cols: list[str], test_size: float = 0.2, val_size: float = 0.2,
+                name: str = "split", num_partitions: int | None = None) -> DataFrame:
+    """``time_split``'s label by two boundary keys: a projection, no shuffle of the rows themselves."""
+    def starts(total):
+        n_train, n_head = split_bounds(total, test_size, val_size)
+        return F.array(n_train, n_head)
+
+    at = rows_at(df, order_cols, starts, num_partitions)
+    n_train, n_head = split_bounds(F.col("n"), test_size, val_size)
+    bound = at.select(n_train.alias("_n_train"), F.when(n_train < n_head, F.get("keys", F.lit(0))).alias("_val"),
+                      F.when(n_head < F.col("n"), F.get("keys", F.when(n_train < n_head, F.lit(1)).otherwise(F.lit(0)))).alias("_test"))
+    key = F.struct(*order_cols)
+    label = (F.when(F.col("_n_train") <= 0, F.raise_error(F.lit(
+        f"Invalid split sizes: test={test_size}, val={val_size} leaves no training samples")))
+        .when(key >= F.col("_test"), "test").when(key >= F.col("_val"), "val").otherwise("train"))
+    return df.crossJoin(F.broadcast(bound)).withColumn(name, label).drop("_n_train", "_val", "_test")
+
+
+def label_folds(df: DataFrame, order_cols: list[str], k: int = 5, num_partitions: int | None = None) -> DataFrame:
+    """``ts_folds``' columns by k boundary keys: a projection, no shuffle of the rows themselves."""
+    def starts(total):
+        b = F.floor(total / F.lit(k + 1))
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: total - F.lit(k) * b + f * b)
+
+    at = rows_at(df, order_cols, starts, num_partitions)
+    few = F.floor(F.col("n") / F.lit(k + 1)) <= 0
+    bound = at.select(F.when(few, F.raise_error(F.lit(f"Cannot make {k} folds: too few rows"))).otherwise(F.col("keys")).alias("_starts"))
+    key = F.struct(*order_cols)
+    fold = F.size(F.filter("_starts", lambda s: s <= key)) - 1
+    test_fold = F.when(fold >= 0, fold)
+    train_from = F.when(fold < 0, F.lit(0)).when(fold + 1 < k, fold + 1)
+    return df.crossJoin(F.broadcast(bound)).withColumns({"test_fold": test_fold, "train_from_fold": train_from}).drop("_starts")
+
+
 def ts_folds(df: DataFrame, order_cols: list, k: int = 5, index_col: str = "idx",
              num_partitions: int | None = None) -> DataFrame:
     """Expanding-window folds without copying rows k times.
@@ -102,40 +146,27 @@ def fold_sets(folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return (folded.filter(F.col("train_from_fold") <= fold), folded.filter(F.col("test_fold") == fold))
 
 
-# Above this many rows a tail/head goes through the distributed row index
-# instead of a top-k: a top-k merges (partitions x n) rows in one task.
-TOPK_LIMIT = 1_000
-
-
 def tail_slice(df: DataFrame, order_cols: list, n: int = 5000, num_partitions: int | None = None) -> DataFrame:
-    """Last n rows in time order (ties broken by the key in order_cols)."""
-    if n <= TOPK_LIMIT:
-        # per-task top-n then a merge of n-row lists: bounded memory
-        desc = [F.col(c).desc() if isinstance(c, str) else c.desc() for c in order_cols]
-        return df.orderBy(*desc).limit(n)
+    """Last n rows, ascending in time (ties broken by the key in order_cols), for every n alike."""
     ix = with_row_index(df, order_cols, "_idx", num_partitions, total_col="_total")
-    return ix.filter(F.col("_idx") >= F.col("_total") - n).drop("_idx", "_total")
+    return ix.filter(F.col("_idx") >= F.col("_total") - n).orderBy("_idx").drop("_idx", "_total")
 
 
 def head_slice(df: DataFrame, order_cols: list, n: int = 168, num_partitions: int | None = None) -> DataFrame:
-    """First n rows in time order."""
-    if n <= TOPK_LIMIT:
-        return df.orderBy(*order_cols).limit(n)
+    """First n rows, ascending in time, for every n alike."""
     ix = with_row_index(df, order_cols, "_idx", num_partitions)
-    return ix.filter(F.col("_idx") < n).drop("_idx")
+    return ix.filter(F.col("_idx") < n).orderBy("_idx").drop("_idx")
 
 
 def exact_sample(df: DataFrame, key: str, n: int | None = None, fraction: float | None = None,
                  seed: int = 42, num_partitions: int | None = None) -> DataFrame:
     """Repeatable sample without replacement of exactly n (or floor(N*fraction)) rows.
 
-    Rows are ranked by a seeded hash of the key; small n is a top-k, a fraction
-    uses the distributed row index over the hash order, so nested sizes nest.
+    Rows are ranked by a seeded hash of the key with the distributed row index,
+    so nested sizes nest.
     """
     h = F.xxhash64(F.col(key), F.lit(seed)).alias("_h")
     hashed = df.select("*", h)
-    if n is not None and n <= TOPK_LIMIT:
-        return hashed.orderBy("_h", key).limit(n).drop("_h")
     ix = with_row_index(hashed, ["_h", key], "_rank", num_partitions, total_col="_total")
     limit = F.lit(n) if n is not None else F.floor(F.col("_total") * F.lit(float(fraction)))
     return ix.filter(F.col("_rank") < limit).drop("_h", "_rank", "_total")

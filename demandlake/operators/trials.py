@@ -24,13 +24,14 @@ def best_trial(trials: DataFrame, by: list[str] | None = None, score: str = "r2"
     return trials.groupBy(*by).agg(*aggs) if by else trials.agg(*aggs)
 
 
-def param_impact(trials: DataFrame, params: list[str], score: str = "r2", top: int = 5,
-                 box_below: int = 10) -> DataFrame:
-    """Mean score per parameter value, best first, top ``top`` per parameter.
-
-    For parameters with fewer than ``box_below`` distinct values the score
-    distribution per value is summarised as quartiles (bounded output instead
-    of the raw score list).
+def param_impact(trials: DataFrame, params: list[str], score: str = "r2", list_params: tuple[str, ...] = (),
+                 top: int = 5, box_below: int | None = None) -> DataFrame:
+    """Mean score per parameter value, best first.
+
+    Of list-valued parameters (``list_params``) the report shows the ``top``
+    best values, of the others all. The score distribution per value is
+    summarised as quartiles (bounded output instead of the raw score list); a
+    report may leave them out for parameters with ``box_below`` values or more.
     """
     long = trials.select(score, F.inline(F.array(*[
         F.struct(F.lit(p).alias("param"), F.col(p).cast("string").alias("value")) for p in params])))
@@ -40,8 +41,9 @@ def param_impact(trials: DataFrame, params: list[str], score: str = "r2", top: i
     w_all = Window.partitionBy("param")
     w = Window.partitionBy("param").orderBy(F.col("mean_score").desc(), F.col("value"))
     ranked = (per_value.withColumn("n_values", F.count(F.lit(1)).over(w_all))
-              .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top))
-    small = F.col("n_values") < box_below
+              .withColumn("rank", F.row_number().over(w))
+              .filter(~F.col("param").isin(*list_params) | (F.col("rank") <= top)))
+    small = F.col("n_values") < box_below if box_below is not None else F.lit(True)
     return ranked.select("param", "value", "rank", "mean_score", "n", "n_values",
                          F.when(small, F.col("_q")[0]).alias("q1"), F.when(small, F.col("_q")[1]).alias("median"),
                          F.when(small, F.col("_q")[2]).alias("q3"))

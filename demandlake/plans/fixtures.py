@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def demand_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def demand_covariates(spark: SparkSession, sf_dir: str, cap_wind: bool = True) -> DataFrame:
     """F1 `fx`: one demand record per event (no target yet)."""
     e = table(spark, sf_dir, "events")
     eid, uid = F.col("event_id"), F.col("user_id")
@@ -36,7 +36,7 @@ def demand_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((eid * 7919) % 4100).cast("double") / 100,
         (((eid * 7919) % 4100) + (uid * 37) % 500).cast("double") / 100,
         F.get_json_object("props", "$.k").cast("int").alias("humidity"),
-        F.least(F.col("value"), F.lit(57.0)).alias("windspeed"),
+        (F.least(F.col("value"), F.lit(57.0)) if cap_wind else F.col("value")).alias("windspeed"),
         ((eid * 31) % 11).cast("int").alias("noise"),
     ).toDF("event_id", "datetime", "season", "holiday", "workingday", "weather",
            "temp", "atemp", "humidity", "windspeed", "noise")

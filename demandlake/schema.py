@@ -50,5 +50,7 @@ SCALED_COLS = ["temp", "atemp", "humidity", "windspeed", "temp_humidity", "temp_
 CORR_COLS = ["season", "holiday", "workingday", "weather", "temp", "atemp",
              "humidity", "windspeed", "cnt", "hour", "month"]
 
-# Terminal job events.
-TERMINAL_EVENTS = ["done", "cancelled", "error"]
+# Terminal job event -> job status, and the states before one.
+TERMINAL_STATUS = {"done": "completed", "cancelled": "cancelled", "error": "failed"}
+TERMINAL_EVENTS = list(TERMINAL_STATUS)
+RUNNING, PENDING = "running", "pending"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,12 +37,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
-    it is read from the session and never overridden. Only when nothing is
-    configured (tests, local runs) a fresh temp folder is created.
+    it is read from the session and never overridden. Only a ``local`` master
+    with nothing configured (tests, local runs) gets a fresh temp folder; on
+    any other master executors would not share it, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         current = tempfile.mkdtemp(prefix="demandlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():

@@ -21,43 +21,46 @@ def write_predictions(preds: DataFrame, path: str) -> str:
     return path
 
 
-def predictions_artifact(preds: DataFrame, metrics: DataFrame, path: str, sample: int = 1000,
-                         metadata: dict | None = None) -> str:
-    """JSON artifact {y_true[], y_pred[], metadata, metrics} over a bounded, ordered sample only."""
-    import json
-
-    head = preds.orderBy("event_id").limit(sample)
-    arrays = head.agg(F.collect_list(F.struct("event_id", "y_true", "y_pred")).alias("rows")).select(
-        F.transform(F.array_sort("rows"), lambda r: r["y_true"]).alias("y_true"),
-        F.transform(F.array_sort("rows"), lambda r: r["y_pred"]).alias("y_pred"))
-    m = metrics.select(F.create_map(*[x for c in ("r2", "rmse", "mae", "mse", "mape")
-                                      for x in (F.lit(c), F.col(c))]).alias("metrics"))
-    out = arrays.crossJoin(m).withColumn("metadata", F.lit(json.dumps(metadata or {})))
-    out.coalesce(1).write.mode("overwrite").json(path)
+def predictions_artifact(preds: DataFrame, metrics: DataFrame, path: str, metadata: dict | None = None) -> str:
+    """Every (event_id, y_true, y_pred) row as a Parquet dataset under ``path``/rows, and one JSON row
+    {metadata: {..., metrics}, n_samples} under ``path``/metadata."""
+    preds.select("event_id", "y_true", "y_pred").write.mode("overwrite").parquet(f"{path}/rows")
+    n = preds.sparkSession.read.parquet(f"{path}/rows").agg(F.count(F.lit(1)).alias("n_samples"))
+    given = [F.lit(v).alias(k) for k, v in (metadata or {}).items()]
+    meta = metrics.select(F.struct(*given, F.struct(*METRICS).alias("metrics")).alias("metadata"))
+    meta.crossJoin(n).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")  # one row each
     return path
 
 
+METRICS = ["r2", "rmse", "mae", "mse", "mape"]
+_METRIC_MAP = "map<string,double>"
+#: An artifact is one object: a metadata object, and metrics there or at the top. Arrays y_true and
+#: y_pred, or the number of rows that were written apart from it.
+ARTIFACT_SCHEMA = (f"metadata struct<model_type:string, training_time:double, metrics:{_METRIC_MAP}>, metrics {_METRIC_MAP}, "
+                   "y_true array<double>, y_pred array<double>, n_samples bigint")
+
+
 def artifact_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics from metadata.metrics, else top-level metrics; model_type default 'mlp'; n = len(y_true)."""
-    a = spark.read.json(path)
-    meta = F.from_json(F.col("metadata"), "struct<model_type:string, training_time:double, "
-                                          "metrics:map<string,double>>")
-    top = F.col("metrics") if "metrics" in a.columns else F.lit(None).cast("map<string,double>")
-    top = F.from_json(F.to_json(top), "map<string,double>")
-    metrics = F.coalesce(meta["metrics"], top, F.create_map().cast("map<string,double>"))
-    return a.select(F.coalesce(meta["model_type"], F.lit("mlp")).alias("model_type"),
-                    *[F.try_element_at(metrics, F.lit(k)).alias(k) for k in ("r2", "rmse", "mae", "mse", "mape")],
-                    meta["training_time"].alias("training_time"), F.size("y_true").alias("n_samples"))
+    """Metrics from metadata.metrics, else top-level metrics; model_type default 'mlp'; n = rows of the artifact.
+
+    ``path`` is a JSON file, indented or not, or a folder written by ``predictions_artifact``.
+    """
+    a = spark.read.schema(ARTIFACT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    metrics = F.coalesce("metadata.metrics", "metrics", F.create_map().cast(_METRIC_MAP))
+    return a.select(F.coalesce("metadata.model_type", F.lit("mlp")).alias("model_type"),
+                    *[F.try_element_at(metrics, F.lit(k)).alias(k) for k in METRICS],
+                    F.col("metadata.training_time").alias("training_time"),
+                    F.coalesce("n_samples", F.size("y_true").cast("long")).alias("n_samples"))
 
 
 def write_result_table(df: DataFrame, path: str, fmt: str = "csv") -> str:
-    """Small result tables (leaderboards, trials, summaries) as one CSV/JSON file."""
-    w = df.coalesce(1).write.mode("overwrite")
+    """Result tables (leaderboards, trials, importances, histories) as CSV/JSON, a part per task."""
+    w = df.write.mode("overwrite")
     (w.option("header", True).csv(path) if fmt == "csv" else w.json(path))
     return path
 
 
 def write_text_lines(df: DataFrame, text_col: str, path: str) -> str:
-    """Numbered report lines (insights, recommendations) as a text file."""
-    df.select(F.col(text_col).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Report lines (insights, recommendations) as text, a part per task."""
+    df.select(F.col(text_col).alias("value")).write.mode("overwrite").text(path)
     return path

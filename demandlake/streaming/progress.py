@@ -1,8 +1,8 @@
 """Structured Streaming twins of the run-history operators.
 
 * ``progress_stream``: job events landed as JSON files -> dedupe on
-  (job_id, seq) within a watermark -> parquet sink; the terminal cut of
-  each job's feed is the batch fold over the sink (``runs.progress_feed``).
+  (job_id, seq) with keyed state -> parquet sink; the terminal cut of each
+  job's feed is the batch fold over the sink (``runs.progress_feed``).
 * ``early_stop_stream``: per-job running best / patience counter as epochs
   arrive, with ``applyInPandasWithState`` (duplicates dropped, gaps held
   until the missing epoch lands).
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..schema import PENDING, RUNNING, TERMINAL_STATUS
 from ..session import scratch_path, ship_package
-from .hourly import _ntz_to_utc_ts
 
 NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # JSON default keeps only milliseconds
 JOB_EVENT_SCHEMA = "job_id long, seq long, ts timestamp_ntz, event string, data string"
@@ -39,58 +39,59 @@ def run_available_now(stream: DataFrame, sink: str, checkpoint: str, fmt: str =
     return sink
 
 
-def progress_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                    watermark: str = "1 hour") -> str:
-    """Deduplicate landed job events on (job_id, seq) within the watermark into a parquet sink."""
-    ev = spark.readStream.schema(JOB_EVENT_SCHEMA).option("timestampNTZFormat", NTZ_FORMAT).json(landing)
-    ev = ev.withColumn("_et", _ntz_to_utc_ts(F.col("ts"))).withWatermark("_et", watermark)
-    dedup = ev.dropDuplicatesWithinWatermark(["job_id", "seq"]).drop("_et")
-    return run_available_now(dedup, sink, checkpoint)
+def progress_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, files_per_batch: int | None = None) -> str:
+    """Deduplicate landed job events on (job_id, seq) into a parquet sink.
 
+    The keys seen are state, hashed over all tasks and kept for good: an event
+    may land any time later than its own time and is neither lost nor repeated.
+    """
+    reader = spark.readStream.schema(JOB_EVENT_SCHEMA).option("timestampNTZFormat", NTZ_FORMAT)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return run_available_now(reader.json(landing).dropDuplicates(["job_id", "seq"]), sink, checkpoint)
 
-STATE_SCHEMA = "last_epoch int, best double, counter int, stopped boolean, pending string"
+
+# epochs that landed before an earlier one did wait in two arrays of equal length
+STATE_SCHEMA = "last_epoch int, best double, counter int, stopped boolean, epochs array<int>, losses array<double>"
 OUT_SCHEMA = ("job_id long, epoch int, val_loss double, best_val_loss double, is_best boolean, "
               "patience_counter int, stopped boolean")
 
 
 def _early_stop_fn(patience: int):
     def fn(key, pdfs, state):
-        job_id = key[0]
         if state.exists:
-            last, best, counter, stopped, pending_json = state.get
-            pending = pd.read_json(pending_json, orient="records") if pending_json else pd.DataFrame()
+            last, best, counter, stopped, epochs, losses = state.get
+            waiting = dict(zip(epochs, losses))
         else:
-            last, best, counter, stopped, pending = -1, float("inf"), 0, False, pd.DataFrame()
-        frames = [p for p in pdfs if len(p)]
-        if len(pending):
-            frames.append(pending[["epoch", "val_loss"]])
-        incoming = (pd.concat([f[["epoch", "val_loss"]] for f in frames]) if frames
-                    else pd.DataFrame({"epoch": [], "val_loss": []}))
-        incoming = incoming[incoming["epoch"] > last].drop_duplicates("epoch").sort_values("epoch")
+            last, best, counter, stopped, waiting = -1, None, 0, False, {}
+        for p in pdfs:
+            for e, v in zip(p["epoch"].tolist(), p["val_loss"].tolist()):
+                if e > last:
+                    waiting.setdefault(int(e), None if pd.isna(v) else float(v))
         rows = []
-        for e, v in zip(incoming["epoch"].astype(int).tolist(), incoming["val_loss"].tolist()):
-            if stopped or e != last + 1:
-                continue  # after the stop nothing is emitted; a gap waits in pending
-            is_best = v < best
-            if is_best:
-                best, counter = v, 0
-            else:
-                counter += 1
+        while not stopped and last + 1 in waiting:  # a gap holds back what comes after it
+            last += 1
+            v = waiting.pop(last)
+            is_best = v is not None and (best is None or v < best)
+            best, counter = (v, 0) if is_best else (best, counter + 1)
             stopped = counter >= patience
-            rows.append((job_id, e, v, best, is_best, counter, stopped))
-            last = e
-        rest = incoming[incoming["epoch"] > last]
-        state.update((int(last), float(best), int(counter), bool(stopped),
-                      rest.to_json(orient="records") if len(rest) and not stopped else ""))
+            rows.append((key[0], last, v, best, is_best, counter, stopped))
+        if stopped:  # nothing is emitted after the stop
+            waiting = {}
+        state.update((last, best, counter, stopped, list(waiting), list(waiting.values())))
         yield pd.DataFrame(rows, columns=["job_id", "epoch", "val_loss", "best_val_loss", "is_best",
                                           "patience_counter", "stopped"])
     return fn
 
 
-def early_stop_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, patience: int = 20) -> str:
+def early_stop_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, patience: int = 20,
+                      files_per_batch: int | None = None) -> str:
     """Stateful per-job early stopping over a stream of epoch rows."""
     ship_package(spark)
-    ep = spark.readStream.schema(EPOCH_SCHEMA).json(landing)
+    reader = spark.readStream.schema(EPOCH_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    ep = reader.json(landing)
     out = ep.groupBy("job_id").applyInPandasWithState(
         _early_stop_fn(patience), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     return run_available_now(out, sink, checkpoint)
@@ -104,9 +105,6 @@ def scratch_stream_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
 STATUS_STATE = "terminal_event string, terminal_ts timestamp_ntz, terminal_seq long, n_events long, version long"
 STATUS_OUT = ("job_id long, status string, terminal_event string, terminal_seq long, terminal_ts timestamp_ntz, "
               "version long")
-# Terminal event -> job status.
-_TERMINAL_STATUS = {"done": "COMPLETED", "cancelled": "CANCELLED", "error": "FAILED"}
-
 
 def _status_fn(key, pdfs, state):
     job_id = key[0]
@@ -116,7 +114,7 @@ def _status_fn(key, pdfs, state):
         t_event, t_ts, t_seq, n, version = None, None, None, 0, 0
     for pdf in pdfs:
         n += len(pdf)
-        term = pdf[pdf["event"].isin(list(_TERMINAL_STATUS))]
+        term = pdf[pdf["event"].isin(list(TERMINAL_STATUS))]
         if len(term):
             first = term.sort_values(["ts", "seq"], kind="mergesort").iloc[0]
             cand = (pd.Timestamp(first["ts"]), int(first["seq"]))
@@ -125,7 +123,7 @@ def _status_fn(key, pdfs, state):
     version += 1
     state.update((t_event, None if t_ts is None else pd.Timestamp(t_ts).to_pydatetime(),
                   None if t_seq is None else int(t_seq), int(n), int(version)))
-    status = _TERMINAL_STATUS.get(t_event) if t_event else ("RUNNING" if n > 0 else "PENDING")
+    status = TERMINAL_STATUS.get(t_event) if t_event else (RUNNING if n > 0 else PENDING)
     yield pd.DataFrame([{"job_id": job_id, "status": status, "terminal_event": t_event, "terminal_seq": t_seq,
                          "terminal_ts": None if t_ts is None else pd.Timestamp(t_ts), "version": version}])
 

@@ -1,7 +1,11 @@
-"""Streaming scoring and landing ingest with foreachBatch (valid rows and quarantine)."""
+"""Streaming scoring and landing ingest with foreachBatch (valid rows and quarantine).
+
+Every micro-batch overwrites its own ``batch_id=...`` folder, so a retried batch replaces its output.
+"""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,44 +20,56 @@ REQUEST_SCHEMA = ("event_id long, datetime timestamp_ntz, season int, holiday in
                   "temp double, atemp double, humidity double, windspeed double")
 
 
+def _write_batch(df: DataFrame, root: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+
+
+def _run(stream: DataFrame, batch, checkpoint: str) -> None:
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def score_stream(spark: SparkSession, landing: str, model_dir: str, scaler_dir: str, out: str, quarantine: str,
-                 checkpoint: str) -> None:
+                 checkpoint: str, files_per_batch: int | None = None) -> None:
     """Score request rows as they land; the model is (re)loaded at the start of each micro-batch."""
-    src = spark.readStream.schema(REQUEST_SCHEMA).parquet(landing)
+    reader = spark.readStream.schema(REQUEST_SCHEMA)
+    src = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(landing)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         model = PipelineModel.load(model_dir)  # a retrained model is picked up by the next batch
         state = df.sparkSession.read.parquet(scaler_dir)
-        checked = validate_rows(df)
-        checked.filter(~F.col("is_valid")).drop("is_valid").withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(quarantine)
+        checked = validate_rows(df).persist(StorageLevel.MEMORY_AND_DISK)
+        _write_batch(checked.filter(~F.col("is_valid")).drop("is_valid"), quarantine, batch_id)
         ok = engineer_features(checked.filter("is_valid").drop("violations", "is_valid"))
         ready = assemble(apply_scaler(ok, state, SCALED_COLS, as_float=True))
         pred = model.transform(ready)
         clamped, rounded = clamp_round("prediction")
-        pred.select("event_id", clamped.alias("count"), rounded.alias("count_rounded"),
-                    F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(out)
-
-    q = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+        _write_batch(pred.select("event_id", clamped.alias("count"), rounded.alias("count_rounded")), out, batch_id)
+        checked.unpersist()
 
+    _run(src, batch, checkpoint)
 
-RAW_CSV_SCHEMA = ("datetime string, season string, holiday string, workingday string, weather string, temp string, "
-                  "atemp string, humidity string, windspeed string, count string")
 
+def ingest_stream(spark: SparkSession, landing: str, accepted: str, rejected: str, checkpoint: str,
+                  files_per_batch: int | None = None) -> None:
+    """Parse landed CSV files, columns bound by each file's header.
 
-def ingest_stream(spark: SparkSession, landing: str, accepted: str, rejected: str, checkpoint: str) -> None:
-    """Parse landed CSV files: rows with unparseable fields or failed range rules go to quarantine."""
-    from ..sources.csv_source import parse_demand_strings
+    Rows of files that lack required columns, rows with unparseable fields and rows that fail the
+    range rules go to quarantine with the reasons.
+    """
+    from ..sources.csv_source import NUMERIC, bind_by_name, parse_demand_strings
 
-    src = spark.readStream.schema(RAW_CSV_SCHEMA).option("header", True).csv(landing)
-    src = src.withColumn("source_file", F.col("_metadata.file_path"))
+    reader = spark.readStream
+    lines = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).text(landing)
+    src = lines.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_start"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        parsed = validate_rows(parse_demand_strings(df))
-        bad = ~F.col("is_valid") | (F.size("parse_errors") > 0)
-        parsed.filter(bad).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejected)
-        parsed.filter(~bad).drop("violations", "is_valid", "parse_errors").write.mode("append").parquet(accepted)
+        tagged = df.withColumn("_pos", F.monotonically_increasing_id())
+        named = bind_by_name(tagged, ["datetime", "date", *NUMERIC]).drop("_names", "_start", "_pos")
+        parsed = validate_rows(parse_demand_strings(named)).persist(StorageLevel.MEMORY_AND_DISK)
+        bad = ~F.col("is_valid") | (F.size("parse_errors") > 0) | (F.size("missing") > 0) | F.col("datetime").isNull()
+        _write_batch(parsed.filter(bad), rejected, batch_id)
+        _write_batch(parsed.filter(~bad).drop("violations", "is_valid", "parse_errors", "missing"), accepted, batch_id)
+        parsed.unpersist()
 
-    q = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run(src, batch, checkpoint)

@@ -95,7 +95,7 @@ def test_job_status_first_terminal_wins(spark):
             (2, 4, ts, "status"), (3, 5, ts, "error")]
     df = spark.createDataFrame(rows, "job_id long, seq long, ts timestamp_ntz, event string")
     got = {r.job_id: r.status for r in RU.job_status(df).collect()}
-    assert got == {1: "COMPLETED", 2: "RUNNING", 3: "FAILED"}
+    assert got == {1: "completed", 2: "running", 3: "failed"}
 
 
 def test_datetime_forms_and_bad_values(spark):
