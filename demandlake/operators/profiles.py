@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import DAY_ORDER, SEASON_LABELS, WEATHER_LABELS, lookup
-from .order import with_row_index
+from ..session import ensure_checkpoint_dir
+from .order import running_agg, with_row_index
 
 QUARTILES = [0.25, 0.5, 0.75]
+MAX_BROADCAST_GROUPS = 10_000
+COMPILED_FIELDS = 90  # Spark interprets an aggregate with more than 100 fields
 
 
 def _c(col) -> Column:
@@ -58,19 +61,45 @@ def rank_quantiles(df: DataFrame, col: str, probs: list[float], num_partitions:
                            for i in range(len(probs))])
 
 
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], num_partitions: int | None = None) -> DataFrame:
+    """One row with ``<col>__q``: exact interpolated quantiles of each column, for any number of distinct values.
+
+    Values are counted per column (partial aggregation absorbs coded ones), the
+    distinct values are ranked by a running sum over range partitions, and only
+    the values around each quantile's rank are kept.
+    """
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols]))
+    counts = df.select(pairs).filter(F.col("_v").isNotNull()).groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    ranked = running_agg(counts, ["_col"], ["_v"], [("_cum", "sum", F.col("_k"), True)], num_partitions)
+    sizes = ranked.groupBy("_col").agg(F.max("_cum").alias("_n"))  # one row per column
+    at = ranked.join(F.broadcast(sizes), "_col")
+    picks, arrays = [], []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for name, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            picks.append(F.max(F.when((F.col("_cum") - F.col("_k") <= r) & (r < F.col("_cum")), F.col("_v"))).alias(f"{name}{i}"))
+        picks.append(F.max(h - F.floor(h)).alias(f"fr{i}"))
+        arrays.append(F.col(f"lo{i}") + F.col(f"fr{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}")))
+    per_col = at.groupBy("_col").agg(*picks).select("_col", F.array(*arrays).alias("_q"))
+    return per_col.agg(*[F.max(F.when(F.col("_col") == c, F.col("_q"))).alias(f"{c}__q") for c in cols])
+
+
 def describe_long(df: DataFrame, cols: list[str], ts_col: str | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (interpolated), max per column, one row per column.
 
-    Numeric columns use one aggregate pass; a timestamp column (unbounded
-    domain) is described in epoch seconds via the rank-based quantiles.
+    One aggregate pass and one quantile pass over all columns; a timestamp
+    column is described in epoch seconds.
     """
+    # epoch microseconds of the wall clock (NTZ: no session time zone involved)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts_col)) if ts_col else None
+    ranked = df.select(*cols, *([(micros / 1e6).alias("_ts")] if ts_col else []))
+    quart = F.broadcast(column_quantiles(ranked, ranked.columns, QUARTILES))
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 quantiles(x, QUARTILES).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    wide = df.agg(*aggs).crossJoin(quart)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                      F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
                      F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
@@ -78,16 +107,13 @@ def describe_long(df: DataFrame, cols: list[str], ts_col: str | None = None) ->
                      F.col(f"{c}__max").alias("max")) for c in cols]
     out = wide.select(F.inline(F.array(*rows)))
     if ts_col:
-        # epoch microseconds of the wall clock (NTZ: no session time zone involved)
-        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts_col))
         base = df.select(micros.alias("us"), (micros / 1e6).alias("s"))
         head = base.agg(F.count("s").alias("count"),
                         (F.avg(F.col("us").cast("decimal(20,0)")).cast("double") / 1e6).alias("mean"),
                         F.min("s").alias("min"), F.max("s").alias("max"))
-        q = rank_quantiles(base, "s", QUARTILES)
-        ts_row = head.crossJoin(q).select(
+        ts_row = head.crossJoin(quart.select("_ts__q")).select(
             F.lit(ts_col).alias("column"), "count", "mean", F.lit(None).cast("double").alias("std"), "min",
-            F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
+            F.col("_ts__q")[0].alias("p25"), F.col("_ts__q")[1].alias("p50"), F.col("_ts__q")[2].alias("p75"), "max")
         out = out.unionByName(ts_row)
     return out
 
@@ -132,9 +158,10 @@ def dataset_summary(df: DataFrame, ts: str = "datetime", target: str = "cnt") ->
 def target_moments(df: DataFrame, target: str = "cnt") -> DataFrame:
     """mean, median, std, min, max, bias-corrected skewness (G1) and excess kurtosis (G2)."""
     y = F.col(target).cast("double")
-    m = df.agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.median(y).alias("median"),
+    mid = column_quantiles(df.select(y.alias("_y")), ["_y"], [0.5]).select(F.col("_y__q")[0].alias("median"))
+    m = df.agg(F.count(y).alias("n"), F.avg(y).alias("mean"),
                F.stddev_samp(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max"),
-               F.skewness(y).alias("g1"), F.kurtosis(y).alias("g2"))
+               F.skewness(y).alias("g1"), F.kurtosis(y).alias("g2")).crossJoin(F.broadcast(mid))
     n = F.col("n").cast("double")
     g1 = F.when(F.col("n") >= 3, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     g2 = F.when(F.col("n") >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
@@ -182,12 +209,24 @@ def safe_corr(a, b) -> Column:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Lower triangle (with diagonal) of the Pearson matrix, one aggregate pass."""
+    """Lower triangle (with diagonal) of the Pearson matrix, a few aggregate passes over the needed columns."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
-    wide = df.agg(*[(F.when(F.stddev_pop(F.col(a).cast("double")) > 0, F.lit(1.0)) if a == b
-                     else safe_corr(a, b)).alias(f"{a}__{b}") for a, b in pairs])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs])))
+    # aggregates of few enough buffer fields (4 a covariance, 3 a deviation) to be compiled
+    chunks: list[list[tuple[str, str]]] = [[]]
+    for pair in pairs:
+        own = [*chunks[-1], pair]
+        if 4 * sum(a != b for a, b in own) + 3 * len({c for p in own for c in p}) > COMPILED_FIELDS:
+            chunks.append([pair])
+        else:
+            chunks[-1] = own
+    out = None
+    for own in chunks:
+        wide = df.agg(*[(F.when(F.stddev_pop(F.col(a).cast("double")) > 0, F.lit(1.0)) if a == b
+                         else safe_corr(a, b)).alias(f"{a}__{b}") for a, b in own])
+        part = wide.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"{a}__{b}").alias("corr")) for a, b in own])))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def target_correlation_rank(df: DataFrame, cols: list[str], target: str = "cnt", top: int = 10) -> DataFrame:
@@ -203,8 +242,7 @@ def target_correlation_rank(df: DataFrame, cols: list[str], target: str = "cnt",
 
 def iqr_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
     """Values strictly outside [Q1-1.5*IQR, Q3+1.5*IQR]: count and percentage per column."""
-    stats = df.agg(F.count(F.lit(1)).alias("_n"),
-                   *[quantiles(F.col(c).cast("double"), [0.25, 0.75]).alias(f"{c}__q") for c in cols])
+    stats = df.agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(column_quantiles(df, cols, [0.25, 0.75])))
     bounds = {}
     for c in cols:
         q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[1]
@@ -226,8 +264,13 @@ def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None) -
     x = F.col(col).cast("double")
     rng = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")) if by else \
         df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    # one-row range: broadcast; per-group ranges have no proven bound, AQE picks the join at runtime
-    joined = df.join(rng, by) if by else df.crossJoin(F.broadcast(rng))
+    if by:
+        # per-group ranges are broadcast when counted to be few, so rows never move to their group's task
+        ensure_checkpoint_dir(df.sparkSession)
+        rng = rng.checkpoint(eager=True)
+        joined = df.join(F.broadcast(rng) if rng.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS else rng, by)
+    else:
+        joined = df.crossJoin(F.broadcast(rng))
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.floor((x - F.col("_lo")) * bins / width) + 1, F.lit(bins))).cast("int")
@@ -239,8 +282,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None) -
 
 def box_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Box-plot data per column: quartiles, whiskers (extreme points inside 1.5*IQR), flier count."""
-    q = df.agg(*[quantiles(F.col(c).cast("double"), QUARTILES).alias(c) for c in cols])
-    joined = df.crossJoin(F.broadcast(q.select(*[F.col(c).alias(f"{c}__q") for c in cols])))
+    joined = df.crossJoin(F.broadcast(column_quantiles(df, cols, QUARTILES)))
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
@@ -265,7 +307,7 @@ def qq_points(df: DataFrame, col: str = "cnt", n: int = 99) -> DataFrame:
     probs = [p for p, _ in table]
     spark = df.sparkSession
     theo = spark.createDataFrame([(i, p, z) for i, (p, z) in enumerate(table)], "i int, p double, theoretical double")
-    sample = df.agg(F.percentile(F.col(col).cast("double"), probs).alias("qs"))
+    sample = column_quantiles(df, [col], probs).select(F.col(f"{col}__q").alias("qs"))
     pts = (sample.select(F.posexplode("qs").alias("i", "sample"))
            .join(F.broadcast(theo), "i").select("p", "theoretical", "sample"))
     fit = pts.agg(F.regr_slope("sample", "theoretical").alias("slope"),
