@@ -60,7 +60,7 @@ def prepare_splits(demand: DataFrame, key: str = "event_id", test_size: float =
     return Splits(*parts, scaler=state, held=ready)
 
 
-FOREST_DEPTH = 20  # Spark trees need a limit; 30 is the most they allow
+FOREST_DEPTH = 12  # a default: Spark trees need a limit, 30 is the most they allow
 
 
 # The reference's scikit-learn defaults re-expressed as Spark ML settings.
