@@ -106,7 +106,7 @@ def landing_gate(spark: SparkSession, path: str, max_bytes: int | None = None) -
 
     A file needs the extension .csv (any case), at most ``max_bytes`` if a limit is given
     (``MAX_UPLOAD_BYTES`` is the web form's), a header, and no line with more fields than it.
-    Sizes come from file metadata alone; only files that pass so far are read.
+    Sizes come from file metadata alone. A file of no bytes has landed nothing and gives no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     by_name = ~F.lower("path").endswith(".csv")
