@@ -2,14 +2,16 @@
 
 White space ends every piece that these tokenizers split a text into, so a text's ids are those of
 its chunks, a run of non-space with the ASCII white space before it, laid end to end. Chunks repeat,
-so each is encoded once per worker and looked up afterwards. A text with white space beyond ASCII is
-encoded whole.
+so each is encoded once per worker and looked up afterwards. Of a new chunk, a Latin word and the
+punctuation after it are pieces of their own: the word's bytes go straight to the library's BPE model.
+All other chunks take the whole tokenizer, and a text with white space beyond ASCII is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from functools import cache
 
@@ -19,7 +21,7 @@ from .common import OTHER_SPACE
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
-CACHE_CHUNKS = 1_000_000  # about 200 MB
+CACHE_CHUNKS = 600_000  # chunks, and as many words: about 200 MB
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Where these occur, chunks are not simply what stands before each space and line end.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
@@ -38,6 +40,18 @@ def chunks_of(text: str) -> list[str]:
     return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
+def _latin_word(word: str) -> bool:
+    """Letters below U+0250 only: no combining marks, and lower case is a letter by letter matter (but for U+0130)."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+
 class Encoder:
     """Ids of whole texts. ``drops_space``: the tokenizer drops white space, so chunks are words."""
 
@@ -47,20 +61,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.drops_space = drops_space  # and lower-cases
         self.cut = str.split if drops_space else chunks_of
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _whole(self, piece: str) -> bytes:
+        if piece not in self.words:
+            self.words[piece] = self._ids([piece])[0]
+        return self.words[piece]
+
+    def _pieces(self, chunk: str) -> bytes | None:
+        """Ids of a chunk that is a Latin word with white space or punctuation around it, else None."""
+        core = chunk.rstrip(string.punctuation)
+        word = core if self.drops_space else core.lstrip(" ") if core[:1] == " " else core.lstrip("\n")
+        if len(core) - len(word) > 1 or not word or not _latin_word(word):
+            return None
+        own = word.lower() if self.drops_space else core.lstrip("\n")  # a space belongs to the word after it, a line end does not
+        ids = self.words.get(own)
+        if ids is None:
+            mapped = "".join([self.letters[b] for b in own.encode()])
+            ids = self.words[own] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        if core[0] == "\n":
+            ids = self._whole("\n") + ids
+        return ids + self._whole(chunk[len(core):]) if len(core) < len(chunk) else ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, END_ID last, as little-endian unsigned 32-bit integers; null is an empty text."""
         known = self.known
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
+        for held in (known, self.words):
+            if len(held) > CACHE_CHUNKS:
+                held.clear()
         lists = [self.cut(t) if t and not OTHER_SPACE.search(t) else None for t in texts]
         new = [c for c in set().union(*[x for x in lists if x]) if c not in known]
-        known.update(zip(new, self._ids(new)))
+        hard = []
+        for c in new:
+            ids = self._pieces(c)
+            if ids is None:
+                hard.append(c)
+            else:
+                known[c] = ids
+        known.update(zip(hard, self._ids(hard)))
         whole = [i for i, (t, x) in enumerate(zip(texts, lists)) if t and x is None]
         odd = dict(zip(whole, self._ids([texts[i] for i in whole]))) if whole else {}
         return [(odd.get(i, b"") if x is None else b"".join(map(known.__getitem__, x))) + END for i, x in enumerate(lists)]
