@@ -83,9 +83,12 @@ def attach_payload(resolved: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """A capture log, one record a page in page order: digits of md5 decide which captures are revisits
-    (5 in 16), which urls have an ETag or Last-Modified, and which change from capture to capture."""
-    key = F.md5(F.coalesce(canonical_url(F.col("url")), F.lit("")).cast("binary"))
+    """A capture log, one record a page in page order: a page counts as a capture of the front page of its
+    site section (host and first path segment, query and fragment kept), so urls recur. Digits of md5 decide
+    which captures are revisits (5 in 16), which urls have an ETag or Last-Modified, and which change from
+    capture to capture."""
+    section = F.concat(F.regexp_extract("url", r"^([^:]*://[^/?#]*(?:/[^/?#]*)?)", 1), F.regexp_extract("url", r"([?#].*)$", 1))
+    key = F.md5(F.coalesce(canonical_url(section), F.lit("")).cast("binary"))
     version = F.when(F.substring(key, 1, 1) < "c", F.lit(0)).otherwise(F.pmod(F.col("page_id"), F.lit(2)))
     revisit = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1) < "5"
     lines = F.concat_ws("\r\n",
@@ -95,7 +98,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
                         F.when(F.substring(key, 3, 1) < "c", F.concat(F.lit("Last-Modified: Mon, 01 Jan 2024 00:00:0"), version.cast("string"), F.lit(" GMT"))),
                         F.concat(F.lit("X-Capture: "), F.col("page_id").cast("string")))
     date = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id")).cast("timestamp_ntz")
-    return pages.select(F.col("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("kind"), "url", date.alias("date"), lines.alias("headers"))
+    return pages.select(F.col("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("kind"), section.alias("url"), date.alias("date"), lines.alias("headers"))
 
 
 def op8_warc_revisit(spark, sf_dir):
@@ -106,7 +109,8 @@ def op8_warc_revisit(spark, sf_dir):
                       F.sha2(F.col("payload"), 256).alias("payload_sha256"), F.length("payload").cast("long").alias("payload_chars"))
 
 
-ORACLE_SQL = r"""WITH split AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM pages),
+ORACLE_SQL = r"""WITH sections AS (SELECT page_id, html, regexp_extract(url, '^([^:]*://[^/?#]*(?:/[^/?#]*)?)', 1) || regexp_extract(url, '([?#].*)$', 1) AS url FROM pages),
+split AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM sections),
 parts AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), ':(?:80|443)$', '') AS host,
   regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
   list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=]*|ref|fbclid|gclid)(?:=|$)'))) AS params FROM split),
