@@ -55,6 +55,10 @@ def prepare_splits(demand: DataFrame, key: str = "event_id", test_size: float =
                        SCALED_COLS)
     scaled = apply_scaler(labelled, state, SCALED_COLS, as_float=True)
     ready = assemble(scaled.withColumn("label", F.col(target).cast("double"))).select(key, "split", "features", "label")
+    # an input of a file or two would leave most cores idle in every boosting round
+    few = max(1, demand.sparkSession.sparkContext.defaultParallelism // 2)
+    if ready.rdd.getNumPartitions() < few:
+        ready = ready.repartition(few, key)
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     parts = [ready.filter(F.col("split") == s) for s in ("train", "val", "test")]
     return Splits(*parts, scaler=state, held=ready)
