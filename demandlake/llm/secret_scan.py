@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, table, texts, with_columns
+from .common import arrow_map, save, table, texts, with_columns
 
 KINDS = ("assign", "access", "hex", "format")
 MAX_TRAIN = 400  # distinct labelled values per kind, and ten times as many background tokens
@@ -249,6 +249,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> SecretModel:
     """Infer the automata from the base findings of ``docs``; the driver gets 13 * max_train values at most."""
     found = arrow_map(docs.select(F.col("text").cast("string").alias("text")), lambda it: _labelled(it, max_train), "kind string, h long, value string").distinct()
+    found = save(found, "secret-values")  # one scan for the four selections below
     parts = [found.where(F.col("kind") == k).orderBy("h", "value").limit(max_train * (10 if k == "format" else 1)) for k in KINDS]
     rows = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).collect()
     by = {k: sorted(r.value for r in rows if r.kind == k) for k in KINDS}
