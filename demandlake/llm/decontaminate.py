@@ -38,7 +38,7 @@ from .common import arrow_map, save, table, texts
 WINDOW, LITERALS = 5, 2
 MIN_SIMILARITY, MIN_CONSISTENT = 0.8, 0.8
 BLOCK_WINDOWS = 1 << 20  # about 100 MB on an executor
-CACHE_WORDS = 1_000_000  # about 150 MB
+CACHE_WORDS = 250_000  # about 45 MB a worker
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%°]?")
 MEASURE = re.compile(r"[+-]?\d[\d.,]*([a-z]{1,4})")
