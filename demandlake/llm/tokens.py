@@ -21,7 +21,7 @@ from .common import OTHER_SPACE
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
-CACHE_CHUNKS = 350_000  # chunks, and as many words: about 140 MB a worker
+CACHE_CHUNKS = 500_000  # chunks, and as many words: about 200 MB a worker
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Where these occur, chunks are not simply what stands before each space and line end.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
