@@ -1,13 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become a template: numbers, names (capitalised words inside a sentence) and units after a
-number turn into typed placeholders, other words lose case and edge punctuation. Windows of
-``WINDOW`` template words of the benchmark, those with at least ``LITERALS`` literal words, form a
-hash table; every window of every whole text is joined with it by hash where the text lies. Hits of
+Words lose case and edge punctuation; numbers, units after a number and names turn into typed
+placeholders. A capital does not tell a name from a sentence's first word, and copies change case,
+so items and texts are compared in three forms, each by itself: names stay literal words (copies in
+any case), capitalised words inside a sentence are names, all capitalised words are names (renamed
+sentence starts). A run of name words is one name, whatever its length. Windows of ``WINDOW``
+template words of the benchmark, those with at least ``LITERALS`` literal words, form a hash table
+per form; every window of every whole text is joined with it by hash where the text lies. Hits of
 one document and item are grouped by alignment (one group per occurrence of the passage). An
 occurrence that covers at least ``MIN_SIMILARITY`` of the item's windows is a leak if its slots are
 consistent: equal slot values of the item stand for equal values in the document in at least
-``MIN_CONSISTENT`` of the slots. ``kind`` tells exact copies from re-parameterised ones.
+``MIN_CONSISTENT`` of the slots. An item that names leave under ``MIN_LITERAL`` of its words is not
+compared in that form. ``kind`` tells exact copies from re-parameterised ones.
 
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_WINDOWS`` windows, each
 broadcast and matched against all documents, so the broadcast's size is bounded.
@@ -37,7 +41,8 @@ from .common import arrow_map, save, table, texts
 
 WINDOW, LITERALS = 5, 2
 MIN_SIMILARITY, MIN_CONSISTENT = 0.8, 0.8
-BLOCK_WINDOWS = 1 << 20  # about 100 MB on an executor
+MIN_LITERAL = 0.4  # of an item's words, numbers and units aside, must stay when capitalised ones are names
+BLOCK_WINDOWS = 1 << 20  # about 150 MB a worker
 CACHE_WORDS = 250_000  # about 45 MB a worker
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%°]?")
@@ -90,8 +95,18 @@ def words_of(text: str | None) -> list[str]:
     return text.split() if text else []
 
 
-def templates(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template codes of all lists end to end with a gap after each, which of them are slots, and each list's start."""
+@dataclass
+class Form:
+    """Lists end to end in one form of template, with a gap after each."""
+
+    code: np.ndarray
+    slot: np.ndarray
+    word: np.ndarray  # the word at which each template word begins
+    start: np.ndarray  # the template word at which each list begins
+
+
+def forms(lists: list[list[str]]) -> list[Form]:
+    """The lists in each form: names as they are, capitalised words inside a sentence as names, all capitalised words as names."""
     if len(_CODES) > CACHE_WORDS:
         _CODES.clear()
     sizes = np.array([len(x) + 1 for x in lists], np.int64)
@@ -106,9 +121,18 @@ def templates(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     code &= ~FLAGS
     before = np.concatenate([[STOP], flag[:-1]]).astype(np.uint8) if total else flag
     unit = (flag & UNIT > 0) & (before & NUM > 0)
-    name = (flag & CAP > 0) & (before & STOP == 0) & ~unit
-    code[name], code[unit] = NAME_CODE, UNIT_CODE
-    return code, name | unit | (code == NUM_CODE), starts
+    code[unit] = UNIT_CODE
+    slot = unit | (code == NUM_CODE)
+    inside = before & STOP == 0
+    out = [Form(code, slot, np.arange(total), starts)]
+    capital = (flag & CAP > 0) & ~unit
+    for name in (capital & inside, capital):
+        again = name & inside
+        again[1:] &= name[:-1]
+        word = np.flatnonzero(~again)  # a run of name words inside a sentence is one name
+        own = name[word]
+        out.append(Form(np.where(own, NAME_CODE, code[word]), own | slot[word], word, np.searchsorted(word, starts)))
+    return out
 
 
 def window_hashes(code: np.ndarray) -> np.ndarray:
@@ -122,107 +146,143 @@ def window_hashes(code: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Block:
-    """A part of the benchmark as a hash table."""
+class Table:
+    """The items of a block in one form as a hash table of windows."""
 
-    ids: list
-    words: list[list[str]]
-    code: list[np.ndarray]
     slots: list[np.ndarray]
+    word: list[np.ndarray]  # where each template word of an item begins, and the item's end
     n_windows: np.ndarray
     hashes: np.ndarray  # sorted
     item: np.ndarray
     pos: np.ndarray
     bits: np.ndarray  # prefilter on the top 20 bits
+
+
+@dataclass
+class Block:
+    """A part of the benchmark."""
+
+    ids: list
+    words: list[list[str]]
+    tables: list[Table]  # in the order of ``forms``
     literal: list[bool]  # whether the item has windows with enough literal words
     short: dict[bytes, list[int]]  # whole template of items below a window
 
 
 def build(rows: list[tuple]) -> Block:
     words = [words_of(t) for _, t in rows]
-    code, slot, starts = templates(words)
-    h, ends = window_hashes(code), starts + np.array([len(w) for w in words], np.int64)
-    literal = np.concatenate([[0], np.cumsum(~slot)])
-    own, hs, items, poss, enough, short = [], [], [], [], [], defaultdict(list)
-    n_windows = np.zeros(len(rows), np.int64)
-    for i, (a, z) in enumerate(zip(starts.tolist(), ends.tolist())):
-        own.append((code[a:z], slot[a:z]))
-        if 0 < z - a < WINDOW:
-            short[code[a:z].tobytes()].append(i)
-        at = np.arange(a, max(a, z - WINDOW + 1))
-        rich = at[literal[at + WINDOW] - literal[at] >= LITERALS]
-        enough.append(len(rich) > 0)
-        at = rich if len(rich) else at  # an item of slots only keeps all its windows
-        n_windows[i] = len(at)
-        hs.append(h[at])
-        items.append(np.full(len(at), i))
-        poss.append(at - a)
-    hashes = np.concatenate([np.zeros(0, np.uint64), *hs])
-    order = np.argsort(hashes, kind="stable")
-    bits = np.zeros(1 << 20, bool)
-    bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
-    cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)[order]
-    return Block([r[0] for r in rows], words, [c for c, _ in own], [s for _, s in own], n_windows, hashes[order], cat(items), cat(poss), bits, enough, dict(short))
-
-
-def judge(block: Block, i: int, words: list[str], hits: list[tuple[int, int]], windows: int) -> tuple[float, int, str] | None:
-    """(similarity, windows, kind) of the best consistent occurrence of item ``i``; hits: (document position, item position)."""
-    by_shift = defaultdict(list)
-    for q, p in hits:
-        by_shift[q - p].append((q, p))
-    groups, last = [own for own in by_shift.values() if len(own) >= MIN_SIMILARITY * windows], None
-    alone = len(groups)
-    for shift in sorted(by_shift):
-        if len(groups) > alone and shift - last <= WINDOW:  # a word more or less inside the same passage
-            groups[-1] += by_shift[shift]
-        else:
-            groups.append(list(by_shift[shift]))
-        last = shift
+    enough, short, plain, tables = [False] * len(rows), defaultdict(list), None, []
+    for form in forms(words):
+        literals = np.concatenate([[0], np.cumsum(~form.slot)])
+        ends = np.concatenate([form.start[1:], [len(form.code)]]) - 1
+        count = literals[ends] - literals[form.start]
+        plain = count if plain is None else plain
+        slots, word, hs, items, poss = [], [], [], [], []
+        n_windows = np.zeros(len(rows), np.int64)
+        h = window_hashes(form.code)
+        for i, (a, z) in enumerate(zip(form.start.tolist(), ends.tolist())):
+            slots.append(form.slot[a:z])
+            word.append((form.word[a:z + 1] - form.word[a]).astype(np.int32))
+            at = np.arange(a, max(a, z - WINDOW + 1))
+            rich = at[literals[at + WINDOW] - literals[at] >= LITERALS]
+            if not tables:
+                if 0 < z - a < WINDOW:
+                    short[form.code[a:z].tobytes()].append(i)
+                enough[i] = len(rich) > 0
+                at = rich if len(rich) else at  # an item of slots only keeps all its windows
+            else:  # names for most of the words leave too little to tell items apart
+                at = rich if count[i] >= MIN_LITERAL * plain[i] else rich[:0]
+            n_windows[i] = len(at)
+            hs.append(h[at])
+            items.append(np.full(len(at), i))
+            poss.append(at - a)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *hs])
+        order = np.argsort(hashes, kind="stable")
+        bits = np.zeros(1 << 20, bool)
+        bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)[order]  # noqa: B023, E731
+        tables.append(Table(slots, word, n_windows, hashes[order], cat(items), cat(poss), bits))
+    return Block([r[0] for r in rows], words, tables, enough, dict(short))
+
+
+def _value(words: list[str], a: int, z: int) -> str:
+    return " ".join(w.strip(EDGES).lower() for w in words[a:z])
+
+
+def judge(block: Block, of: Table, i: int, words: list[str], word: np.ndarray, q: np.ndarray, p: np.ndarray) -> tuple[float, bool, int] | None:
+    """(similarity, exact, windows) of the best consistent occurrence of item ``i``. ``q``, ``p``: template positions of its
+    hits in the document and in the item; ``word``: where the document's template words begin."""
+    windows = int(of.n_windows[i])
+    shift = q - p
+    shifts, often = np.unique(shift, return_counts=True)
+    group = np.cumsum(np.concatenate([[0], np.diff(shifts) > WINDOW]))  # a word more or less inside the same passage
+    alone = np.flatnonzero(often >= MIN_SIMILARITY * windows)
+    spans = [(k, k + 1) for k in alone[np.argsort(-often[alone], kind="stable")].tolist()]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group) > 0])).tolist()
+    spans += [s for s in zip(first, [*first[1:], len(shifts)]) if s[1] - s[0] > 1]
+    order = np.argsort(shift, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(often)])
     best = None
-    for g in groups:
-        found = len({p for _, p in g})
-        if found < MIN_SIMILARITY * windows:
+    for a, z in spans:
+        own = order[ends[a]:ends[z]]
+        found = len(np.unique(p[own]))
+        if found < MIN_SIMILARITY * windows or (best and best[0] * windows >= found and best[1]):
             continue
-        often = Counter(q - p for q, p in g)
-        stands: dict[int, int] = {}  # item position -> document position, by the commonest alignment that has it
-        for q, p in sorted(g, key=lambda h: (-often[h[0] - h[1]], h[0] - h[1], h[1])):
-            for k in range(WINDOW):
-                if block.slots[i][p + k]:
-                    stands.setdefault(p + k, q + k)
+        common = np.repeat(often[a:z], often[a:z])
+        own = own[np.lexsort((p[own], shift[own], -common))]  # a slot's value is that of the commonest alignment
+        at, to = (p[own][:, None] + np.arange(WINDOW)).ravel(), (q[own][:, None] + np.arange(WINDOW)).ravel()
+        at, k = np.unique(at, return_index=True)
+        is_slot = of.slots[i][at]
         values = defaultdict(Counter)
-        for p, q in stands.items():
-            values[block.words[i][p].strip(EDGES).lower()][words[q].strip(EDGES).lower()] += 1
-        n = sum(sum(c.values()) for c in values.values())
-        if sum(max(c.values()) for c in values.values()) < MIN_CONSISTENT * n:
+        for x, y in zip(at[is_slot].tolist(), to[k][is_slot].tolist()):
+            values[_value(block.words[i], of.word[i][x], of.word[i][x + 1])][_value(words, word[y], word[y + 1])] += 1
+        if sum(max(c.values()) for c in values.values()) < MIN_CONSISTENT * sum(sum(c.values()) for c in values.values()):
             continue
         same = all(set(c) == {v} for v, c in values.items())
         if not same and not block.literal[i]:
             continue
-        got = (found, same)
+        got = (found / windows, same, found)
         best = max(best, got) if best else got
-    return best and (best[0] / windows, best[0], "exact" if best[1] else "reparameterised")
+    return best
+
+
+def _hits(of: Table, form: Form) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, item, template positions in the text, in the item) where enough windows are equal."""
+    h = window_hashes(form.code)
+    at = np.flatnonzero(of.bits[(h >> np.uint64(44)).astype(np.int64)])
+    lo, hi = np.searchsorted(of.hashes, h[at]), np.searchsorted(of.hashes, h[at], "right")
+    n = hi - lo
+    at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+    if not len(at):
+        return
+    k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    q, item, p = np.repeat(at, n), of.item[k].astype(np.int64), of.pos[k].astype(np.int64)
+    key = (np.searchsorted(form.start, q, "right") - 1) * len(of.n_windows) + item
+    pairs, pair, often = np.unique(key, return_inverse=True, return_counts=True)
+    enough = often >= MIN_SIMILARITY * of.n_windows[pairs % len(of.n_windows)]
+    kept = np.flatnonzero(enough[pair])
+    kept = kept[np.argsort(pair[kept], kind="stable")]
+    ends = np.cumsum(often[enough])
+    for x, a, z in zip(pairs[enough].tolist(), (ends - often[enough]).tolist(), ends.tolist()):
+        d, i = divmod(x, len(of.n_windows))
+        yield d, i, q[kept[a:z]] - form.start[d], p[kept[a:z]]
 
 
 def matches(block: Block, values: list[str | None]) -> Iterator[tuple[int, int, float, int, str]]:
     """(text, item, similarity, windows, kind) of every leak among ``values``."""
     lists = [words_of(v) for v in values]
-    code, _, starts = templates(lists)
-    h = window_hashes(code)
-    at = np.flatnonzero(block.bits[(h >> np.uint64(44)).astype(np.int64)])
-    lo = np.searchsorted(block.hashes, h[at])
-    at = at[(lo < len(block.hashes)) & (block.hashes[np.minimum(lo, max(len(block.hashes) - 1, 0))] == h[at])] if len(block.hashes) else at[:0]
-    lo, hi = np.searchsorted(block.hashes, h[at]), np.searchsorted(block.hashes, h[at], "right")
-    doc = np.searchsorted(starts, at, "right") - 1
-    hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for a, z, d, q in zip(lo.tolist(), hi.tolist(), doc.tolist(), (at - starts[doc] if len(at) else at).tolist()):
-        if q + WINDOW <= len(lists[d]):  # a window over a text's end is none
-            for k in range(a, z):
-                hits[d, int(block.item[k])].append((q, int(block.pos[k])))
-    for (d, i), own in sorted(hits.items()):
-        got = judge(block, i, lists[d], own, int(block.n_windows[i]))
-        if got:
-            yield d, i, *got
+    every = forms(lists)
+    best: dict[tuple[int, int], tuple[float, bool, int]] = {}
+    for of, form in zip(block.tables, every):
+        for d, i, q, p in _hits(of, form):
+            a = form.start[d]
+            got = judge(block, of, i, lists[d], form.word[a:a + int(q.max()) + WINDOW + 1] - form.word[a], q, p)
+            if got:
+                best[d, i] = max(best.get((d, i), got), got)
+    for (d, i), (similarity, same, found) in sorted(best.items()):
+        yield d, i, similarity, found, "exact" if same else "reparameterised"
     if block.short:
+        code, starts = every[0].code, every[0].start
         for d, (a, x) in enumerate(zip(starts.tolist(), lists)):
             if 0 < len(x) < WINDOW:
                 for i in block.short.get(code[a:a + len(x)].tobytes(), []):

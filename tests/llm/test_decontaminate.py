@@ -96,3 +96,20 @@ def test_hostile_rows(spark, tmp_path):
     assert kept.columns == util.docs(spark).columns and kept.count() == len(util.rows()) - 1
     assert D.scan(util.empty(spark), bench).count() == 0 and D.scan(util.docs(spark), bench.limit(0)).count() == 0
     assert D.drop_leaks(util.docs(spark), bench.limit(0)).count() == len(util.rows())
+
+
+TOM = "Tom has 3 apples. Tom buys 5 more apples at the market. Tom gives 2 apples to a friend. How many apples does Tom have now?"
+
+
+def kinds(item, text, **kw):
+    return [m[4] for m in D.matches(D.build([(1, item)]), [text], **kw)]
+
+
+def test_case_and_name_changes_are_found():
+    for copy in (ITEM.lower(), ITEM.upper(), ITEM.replace("Alice Miller", "alice miller"), TOM.upper(), TOM.lower()):
+        assert kinds(ITEM if "rain" in copy.lower() else TOM, "they asked this " + copy + " and so on") == ["exact"]
+    for old, new in (("Tom", "Anna"), ("Tom", "Anna Maria Lopez")):
+        assert kinds(TOM, "Before it. " + TOM.replace(old, new).replace("3", "8")) == ["reparameterised"]
+    assert kinds(ITEM, ITEM.replace("Boston", "New York").replace("Alice Miller", "Zoe")) == ["reparameterised"]
+    assert kinds(ITEM, ITEM.replace("How many", "how many").replace("Alice Miller", "Zoe Brown")) == ["reparameterised"]
+    assert kinds("The Old Man And The Sea By Hemingway was first printed in", "A New Book By Somebody Else was first printed in") == []
