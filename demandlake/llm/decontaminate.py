@@ -2,7 +2,7 @@
 
 Words lose case and edge punctuation; numbers, units after a number and names turn into typed
 placeholders. A capital does not tell a name from a sentence's first word, and copies change case,
-so items and texts are compared in three forms, each by itself: names stay literal words (copies in
+so items and texts are compared in three forms, each by itself (items of equal template as one): names stay literal words (copies in
 any case), capitalised words inside a sentence are names, all capitalised words are names (renamed
 sentence starts). A run of name words is one name, whatever its length. Windows of ``WINDOW``
 template words of the benchmark, those with at least ``LITERALS`` literal words, form a hash table
@@ -16,8 +16,9 @@ compared in that form. ``kind`` tells exact copies from re-parameterised ones.
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_WINDOWS`` windows, each
 broadcast and matched against all documents, so the broadcast's size is bounded.
 
-Defined results: null or empty texts and items match nothing; an item without such a window is
-matched by all its windows, but only as an exact copy; an item of fewer than ``WINDOW`` words
+Defined results: null or empty texts and items match nothing; words of signs only are told apart but
+are no literals; an item without such a window is matched by all its windows with its numbers as
+they are, so only as an exact copy; an item of fewer than ``WINDOW`` words
 matches only a document whose whole template equals its own; repeated documents each give their rows,
 repeated items theirs; other columns are ignored (``scan``) or kept (``drop_leaks``).
 """
@@ -57,9 +58,9 @@ UNITS = frozenset("mm cm m km inch inches foot feet ft yard yards mile miles mg
                   "hz khz mhz w kw v mb gb tb".split())
 
 # the low bits of a word's code tell what it may become
-CAP, STOP, UNIT, NUM = 1, 2, 4, 8
-FLAGS = np.uint64(15)
-NAME_CODE, UNIT_CODE, NUM_CODE, GAP_CODE = (np.uint64(n << 4) for n in (1, 2, 3, 4))
+CAP, STOP, UNIT, NUM, SIGN = 1, 2, 4, 8, 16
+FLAGS = np.uint64(31)
+NAME_CODE, UNIT_CODE, NUM_CODE, GAP_CODE = (np.uint64(n << 5) for n in (1, 2, 3, 4))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -77,10 +78,13 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         core = word if word.isalpha() else word.strip(EDGES)
         low = core.lower()
-        if is_number(core, low):
-            code = int(NUM_CODE) | NUM
+        sign = not any(c.isalnum() for c in core)
+        code = max(xxhash.xxh64_intdigest((word if sign else low).encode("utf-8", "surrogatepass")) & ~31, 16 << 5)
+        if sign:
+            code |= SIGN
+        elif is_number(core, low):
+            code |= NUM
         else:
-            code = max(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & ~15, 16 << 4)
             code |= (CAP if core[:1].isupper() else 0) | (UNIT if low in UNITS else 0)
         if core is not word and word.rstrip(CLOSERS).endswith(STOPS):
             code |= STOP
@@ -101,12 +105,13 @@ class Form:
 
     code: np.ndarray
     slot: np.ndarray
+    literal: np.ndarray  # neither a slot nor of signs only
     word: np.ndarray  # the word at which each template word begins
     start: np.ndarray  # the template word at which each list begins
 
 
 def forms(lists: list[list[str]]) -> list[Form]:
-    """The lists in each form: names as they are, capitalised words inside a sentence as names, all capitalised words as names."""
+    """The lists in each form: all words as they are, names as they are, capitalised words inside a sentence as names, all capitalised words as names."""
     if len(_CODES) > CACHE_WORDS:
         _CODES.clear()
     sizes = np.array([len(x) + 1 for x in lists], np.int64)
@@ -120,18 +125,20 @@ def forms(lists: list[list[str]]) -> list[Form]:
     flag = (code & FLAGS).astype(np.uint8)
     code &= ~FLAGS
     before = np.concatenate([[STOP], flag[:-1]]).astype(np.uint8) if total else flag
-    unit = (flag & UNIT > 0) & (before & NUM > 0)
-    code[unit] = UNIT_CODE
-    slot = unit | (code == NUM_CODE)
+    number, unit, sign = flag & NUM > 0, (flag & UNIT > 0) & (before & NUM > 0), flag & SIGN > 0
+    slot = number | unit
     inside = before & STOP == 0
-    out = [Form(code, slot, np.arange(total), starts)]
+    out = [Form(code, np.zeros(total, bool), ~(slot | sign), np.arange(total), starts)]
+    code = code.copy()
+    code[number], code[unit] = NUM_CODE, UNIT_CODE
+    out.append(Form(code, slot, ~(slot | sign), np.arange(total), starts))
     capital = (flag & CAP > 0) & ~unit
     for name in (capital & inside, capital):
         again = name & inside
         again[1:] &= name[:-1]
         word = np.flatnonzero(~again)  # a run of name words inside a sentence is one name
         own = name[word]
-        out.append(Form(np.where(own, NAME_CODE, code[word]), own | slot[word], word, np.searchsorted(word, starts)))
+        out.append(Form(np.where(own, NAME_CODE, code[word]), own | slot[word], ~(own | slot[word] | sign[word]), word, np.searchsorted(word, starts)))
     return out
 
 
@@ -147,13 +154,14 @@ def window_hashes(code: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """The items of a block in one form as a hash table of windows."""
+    """The templates of a block in one form as a hash table of windows."""
 
+    items: list[list[int]]  # of each template
     slots: list[np.ndarray]
-    word: list[np.ndarray]  # where each template word of an item begins, and the item's end
+    word: list[np.ndarray]  # of each item: where each template word begins, and the item's end
     n_windows: np.ndarray
     hashes: np.ndarray  # sorted
-    item: np.ndarray
+    template: np.ndarray
     pos: np.ndarray
     bits: np.ndarray  # prefilter on the top 20 bits
 
@@ -165,54 +173,65 @@ class Block:
     ids: list
     words: list[list[str]]
     tables: list[Table]  # in the order of ``forms``
-    literal: list[bool]  # whether the item has windows with enough literal words
     short: dict[bytes, list[int]]  # whole template of items below a window
 
 
 def build(rows: list[tuple]) -> Block:
     words = [words_of(t) for _, t in rows]
-    enough, short, plain, tables = [False] * len(rows), defaultdict(list), None, []
-    for form in forms(words):
-        literals = np.concatenate([[0], np.cumsum(~form.slot)])
+    every, short, tables = forms(words), defaultdict(list), []
+    bare: set[int] = set()  # items without enough literal words: all their windows count, as they are
+    for turn in (1, 0, 2, 3):
+        form = every[turn]
+        literals = np.concatenate([[0], np.cumsum(form.literal)])
         ends = np.concatenate([form.start[1:], [len(form.code)]]) - 1
         count = literals[ends] - literals[form.start]
-        plain = count if plain is None else plain
-        slots, word, hs, items, poss = [], [], [], [], []
-        n_windows = np.zeros(len(rows), np.int64)
+        plain = count if turn == 1 else plain  # noqa: F821
+        known: dict[bytes, int] = {}
+        members, slots, word, hs, owners, poss, n_windows = [], [], [], [], [], [], []
         h = window_hashes(form.code)
         for i, (a, z) in enumerate(zip(form.start.tolist(), ends.tolist())):
-            slots.append(form.slot[a:z])
-            word.append((form.word[a:z + 1] - form.word[a]).astype(np.int32))
             at = np.arange(a, max(a, z - WINDOW + 1))
             rich = at[literals[at + WINDOW] - literals[at] >= LITERALS]
-            if not tables:
+            word.append((form.word[a:z + 1] - form.word[a]).astype(np.int32))
+            if turn == 1:
                 if 0 < z - a < WINDOW:
                     short[form.code[a:z].tobytes()].append(i)
-                enough[i] = len(rich) > 0
-                at = rich if len(rich) else at  # an item of slots only keeps all its windows
-            else:  # names for most of the words leave too little to tell items apart
+                if not len(rich):
+                    bare.add(i)
+            if turn == 0:
+                at = at if i in bare else at[:0]
+            else:
                 at = rich if count[i] >= MIN_LITERAL * plain[i] else rich[:0]
-            n_windows[i] = len(at)
+            if not len(at):
+                continue
+            t = known.setdefault(form.code[a:z].tobytes(), len(known))
+            if t < len(members):
+                members[t].append(i)
+                continue
+            members.append([i])
+            slots.append(form.slot[a:z])
+            n_windows.append(len(at))
             hs.append(h[at])
-            items.append(np.full(len(at), i))
+            owners.append(np.full(len(at), t))
             poss.append(at - a)
         hashes = np.concatenate([np.zeros(0, np.uint64), *hs])
         order = np.argsort(hashes, kind="stable")
         bits = np.zeros(1 << 20, bool)
         bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
         cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)[order]  # noqa: B023, E731
-        tables.append(Table(slots, word, n_windows, hashes[order], cat(items), cat(poss), bits))
-    return Block([r[0] for r in rows], words, tables, enough, dict(short))
+        tables.append(Table(members, slots, word, np.array(n_windows, np.int64), hashes[order], cat(owners), cat(poss), bits))
+    tables[0], tables[1] = tables[1], tables[0]
+    return Block([r[0] for r in rows], words, tables, dict(short))
 
 
 def _value(words: list[str], a: int, z: int) -> str:
     return " ".join(w.strip(EDGES).lower() for w in words[a:z])
 
 
-def judge(block: Block, of: Table, i: int, words: list[str], word: np.ndarray, q: np.ndarray, p: np.ndarray) -> tuple[float, bool, int] | None:
-    """(similarity, exact, windows) of the best consistent occurrence of item ``i``. ``q``, ``p``: template positions of its
-    hits in the document and in the item; ``word``: where the document's template words begin."""
-    windows = int(of.n_windows[i])
+def judge(block: Block, of: Table, t: int, words: list[str], word: np.ndarray, q: np.ndarray, p: np.ndarray) -> dict[int, tuple[float, bool, int]]:
+    """item -> (similarity, exact, windows) of its best consistent occurrence, for the items of template ``t``. ``q``, ``p``:
+    template positions of the hits in the document and in the item; ``word``: where the document's template words begin."""
+    windows = int(of.n_windows[t])
     shift = q - p
     shifts, often = np.unique(shift, return_counts=True)
     group = np.cumsum(np.concatenate([[0], np.diff(shifts) > WINDOW]))  # a word more or less inside the same passage
@@ -222,50 +241,77 @@ def judge(block: Block, of: Table, i: int, words: list[str], word: np.ndarray, q
     spans += [s for s in zip(first, [*first[1:], len(shifts)]) if s[1] - s[0] > 1]
     order = np.argsort(shift, kind="stable")
     ends = np.concatenate([[0], np.cumsum(often)])
-    best = None
+    best: dict[int, tuple[float, bool, int]] = {}
     for a, z in spans:
+        todo = [i for i in of.items[t] if i not in best or best[i][:2] < (1.0, True)]
+        if not todo:
+            break
         own = order[ends[a]:ends[z]]
         found = len(np.unique(p[own]))
-        if found < MIN_SIMILARITY * windows or (best and best[0] * windows >= found and best[1]):
+        if found < MIN_SIMILARITY * windows:
             continue
         common = np.repeat(often[a:z], often[a:z])
         own = own[np.lexsort((p[own], shift[own], -common))]  # a slot's value is that of the commonest alignment
         at, to = (p[own][:, None] + np.arange(WINDOW)).ravel(), (q[own][:, None] + np.arange(WINDOW)).ravel()
         at, k = np.unique(at, return_index=True)
-        is_slot = of.slots[i][at]
-        values = defaultdict(Counter)
-        for x, y in zip(at[is_slot].tolist(), to[k][is_slot].tolist()):
-            values[_value(block.words[i], of.word[i][x], of.word[i][x + 1])][_value(words, word[y], word[y + 1])] += 1
-        if sum(max(c.values()) for c in values.values()) < MIN_CONSISTENT * sum(sum(c.values()) for c in values.values()):
-            continue
-        same = all(set(c) == {v} for v, c in values.items())
-        if not same and not block.literal[i]:
-            continue
-        got = (found / windows, same, found)
-        best = max(best, got) if best else got
+        slot = of.slots[t][at]
+        stands = [(x, _value(words, word[y], word[y + 1])) for x, y in zip(at[slot].tolist(), to[k][slot].tolist())]
+        for i in todo:
+            values = defaultdict(Counter)
+            for x, v in stands:
+                values[_value(block.words[i], of.word[i][x], of.word[i][x + 1])][v] += 1
+            if sum(max(c.values()) for c in values.values()) >= MIN_CONSISTENT * len(stands):
+                got = (found / windows, all(set(c) == {v} for v, c in values.items()), found)
+                best[i] = max(best.get(i, got), got)
     return best
 
 
+PAIRS = 1 << 20  # (document position, item position) at a time
+
+
+def _pairs(at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(position in the texts, row of the table) of every equal window, about ``PAIRS`` at a time."""
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(at):
+        before = int(ends[a] - n[a])
+        z = max(a + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        m = n[a:z]
+        yield np.repeat(at[a:z], m), np.repeat(lo[a:z] - (ends[a:z] - m - before), m) + np.arange(int(m.sum()))
+        a = z
+
+
 def _hits(of: Table, form: Form) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(text, item, template positions in the text, in the item) where enough windows are equal."""
+    """(text, template, template positions in the text, in the item) where enough windows are equal.
+
+    A text's hits are counted per template first; only those of templates with enough are held."""
+    if not len(of.hashes):
+        return
     h = window_hashes(form.code)
     at = np.flatnonzero(of.bits[(h >> np.uint64(44)).astype(np.int64)])
     lo, hi = np.searchsorted(of.hashes, h[at]), np.searchsorted(of.hashes, h[at], "right")
     n = hi - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-    if not len(at):
-        return
-    k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-    q, item, p = np.repeat(at, n), of.item[k].astype(np.int64), of.pos[k].astype(np.int64)
-    key = (np.searchsorted(form.start, q, "right") - 1) * len(of.n_windows) + item
-    pairs, pair, often = np.unique(key, return_inverse=True, return_counts=True)
-    enough = often >= MIN_SIMILARITY * of.n_windows[pairs % len(of.n_windows)]
-    kept = np.flatnonzero(enough[pair])
-    kept = kept[np.argsort(pair[kept], kind="stable")]
-    ends = np.cumsum(often[enough])
-    for x, a, z in zip(pairs[enough].tolist(), (ends - often[enough]).tolist(), ends.tolist()):
-        d, i = divmod(x, len(of.n_windows))
-        yield d, i, q[kept[a:z]] - form.start[d], p[kept[a:z]]
+    doc = np.searchsorted(form.start, at, "right") - 1
+    cuts = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)).tolist() if len(at) else [0]
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        d = int(doc[a])
+        often = np.zeros(0, np.int64)
+        for _, k in _pairs(at[a:z], lo[a:z], n[a:z]):
+            more = np.bincount(of.template[k])
+            often = np.concatenate([often, np.zeros(max(0, len(more) - len(often)), np.int64)])
+            often[:len(more)] += more
+        often = np.concatenate([often, np.zeros(len(of.n_windows) - len(often), np.int64)])
+        enough = often >= MIN_SIMILARITY * of.n_windows
+        if not enough.any():
+            continue
+        kept = [(q[ok], k[ok]) for q, k in _pairs(at[a:z], lo[a:z], n[a:z]) if (ok := enough[of.template[k]]).any()]
+        q, k = (np.concatenate(x) for x in zip(*kept))
+        order = np.argsort(of.template[k], kind="stable")
+        q, k = q[order] - form.start[d], k[order]
+        own, first = np.unique(of.template[k], return_index=True)
+        for t, x, y in zip(own.tolist(), first.tolist(), [*first.tolist()[1:], len(k)]):
+            yield d, t, q[x:y], of.pos[k[x:y]].astype(np.int64)
 
 
 def matches(block: Block, values: list[str | None]) -> Iterator[tuple[int, int, float, int, str]]:
@@ -274,15 +320,14 @@ def matches(block: Block, values: list[str | None]) -> Iterator[tuple[int, int,
     every = forms(lists)
     best: dict[tuple[int, int], tuple[float, bool, int]] = {}
     for of, form in zip(block.tables, every):
-        for d, i, q, p in _hits(of, form):
+        for d, t, q, p in _hits(of, form):
             a = form.start[d]
-            got = judge(block, of, i, lists[d], form.word[a:a + int(q.max()) + WINDOW + 1] - form.word[a], q, p)
-            if got:
+            for i, got in judge(block, of, t, lists[d], form.word[a:a + int(q.max()) + WINDOW + 1] - form.word[a], q, p).items():
                 best[d, i] = max(best.get((d, i), got), got)
     for (d, i), (similarity, same, found) in sorted(best.items()):
         yield d, i, similarity, found, "exact" if same else "reparameterised"
     if block.short:
-        code, starts = every[0].code, every[0].start
+        code, starts = every[1].code, every[1].start
         for d, (a, x) in enumerate(zip(starts.tolist(), lists)):
             if 0 < len(x) < WINDOW:
                 for i in block.short.get(code[a:a + len(x)].tobytes(), []):

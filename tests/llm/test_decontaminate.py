@@ -113,3 +113,24 @@ def test_case_and_name_changes_are_found():
     assert kinds(ITEM, ITEM.replace("Boston", "New York").replace("Alice Miller", "Zoe")) == ["reparameterised"]
     assert kinds(ITEM, ITEM.replace("How many", "how many").replace("Alice Miller", "Zoe Brown")) == ["reparameterised"]
     assert kinds("The Old Man And The Sea By Hemingway was first printed in", "A New Book By Somebody Else was first printed in") == []
+
+
+def test_signs_are_no_literals():
+    sums = [(i, f"{i % 7} + {i} - 2 + {i // 7} = {i + 10}") for i in range(4000)]
+    block = D.build([(-1, "3 + 4 - 2 + 5 = 10"), *sums])
+    table = " ".join(f"{a} | {b} | {a + b} |\n" for a in range(200) for b in range(100))
+    assert not list(D.matches(block, ["17 | 22 | 95 | 31 | 40 | 8", table]))
+    got = list(D.matches(block, ["so 3 + 4 - 2 + 5 = 10 holds", "so 3 + 4 - 2 + 6 = 10 holds", "so 3 * 4 / 2 * 5 = 10 holds"]))
+    assert [(d, block.ids[i], kind) for d, i, _, _, kind in got] == [(0, -1, "exact")]
+
+
+def test_items_of_one_template_share_it(monkeypatch):
+    items = [(i, f"Bob has {i} apples and eats {i + 1} of them, how many are left on the table?") for i in range(3000)]
+    block = D.build(items)
+    assert all(len(t.items) <= 1 for t in block.tables)
+    text = " ".join(items[5][1].replace("Bob", "Eve") for _ in range(20))
+    want = list(D.matches(block, [text, items[7][1]]))
+    assert len({(m[0], m[1]) for m in want}) == len(want) and (0, 5) in {m[:2] for m in want}
+    assert {m[1] for m in want if m[0] == 1 and m[4] == "exact"} == {7}
+    monkeypatch.setattr(D, "PAIRS", 7)
+    assert list(D.matches(block, [text, items[7][1]])) == want
