@@ -6,7 +6,7 @@ last return the columns of ``documents``.
 
 * language_id: rows without letters, or whose best language has a posterior under 1/2, go.
 * simhash_near_dedup: one row of each component of fingerprints within 2 bits stays.
-* benchmark_decontamination: rows that hold a benchmark item, as it is or re-parameterised, go.
+* benchmark_decontamination: rows that hold a benchmark item, as it is, re-parameterised or as a passage, go.
 * secret_scan: every row stays, secret values are replaced by ``[SECRET]`` and n_chars follows.
 * best_fit_packing: one row per piece with its sequence and offset.
 """
@@ -33,7 +33,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), parts=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

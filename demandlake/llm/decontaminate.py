@@ -13,13 +13,18 @@ consistent: equal slot values of the item stand for equal values in the document
 ``MIN_CONSISTENT`` of the slots. An item that names leave under ``MIN_LITERAL`` of its words is not
 compared in that form. ``kind`` tells exact copies from re-parameterised ones.
 
+With ``parts``, as the query and the pipeline have it, ``PASSAGE`` equal words in a row anywhere in an
+item are a leak as well (kind ``passage``, similarity the share of the item's passages), and an item
+below a window, with at least ``LITERALS`` literal words, is found as a word sequence anywhere in a
+text. Without it the share of the whole item alone decides.
+
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_WINDOWS`` windows, each
 broadcast and matched against all documents, so the broadcast's size is bounded.
 
 Defined results: null or empty texts and items match nothing; words of signs only are told apart but
 are no literals; an item without such a window is matched by all its windows with its numbers as
 they are, so only as an exact copy; an item of fewer than ``WINDOW`` words
-matches only a document whose whole template equals its own; repeated documents each give their rows,
+matches (``parts`` aside) only a document whose whole template equals its own; repeated documents each give their rows,
 repeated items theirs; other columns are ignored (``scan``) or kept (``drop_leaks``).
 """
 
@@ -43,7 +48,8 @@ from .common import arrow_map, save, table, texts
 WINDOW, LITERALS = 5, 2
 MIN_SIMILARITY, MIN_CONSISTENT = 0.8, 0.8
 MIN_LITERAL = 0.4  # of an item's words, numbers and units aside, must stay when capitalised ones are names
-BLOCK_WINDOWS = 1 << 20  # about 150 MB a worker
+PASSAGE, PASSAGE_LITERALS = 13, 7  # words in a row that are a leak by themselves, and how many of them are literal
+BLOCK_WINDOWS = 1 << 20  # about 170 MB a worker
 CACHE_WORDS = 250_000  # about 45 MB a worker
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%°]?")
@@ -152,6 +158,21 @@ def window_hashes(code: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def run_hashes(code: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` words in a row."""
+    n = len(code) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    if width >= WINDOW:
+        code, at = window_hashes(code), [*range(0, width - WINDOW, WINDOW), width - WINDOW]
+    else:
+        at = range(width)
+    h = np.zeros(n, np.uint64)
+    for k, a in enumerate(at):
+        h += (code[a:a + n] ^ (code[a:a + n] >> np.uint64(29))) * _MIX[k]
+    return h ^ (h >> np.uint64(31))
+
+
 @dataclass
 class Table:
     """The templates of a block in one form as a hash table of windows."""
@@ -174,6 +195,39 @@ class Block:
     words: list[list[str]]
     tables: list[Table]  # in the order of ``forms``
     short: dict[bytes, list[int]]  # whole template of items below a window
+    runs: dict[int, Table]  # length -> the items' word sequences: passages, and items below a window
+
+
+def _table(members: list, slots: list, word: list, hs: list, owners: list, poss: list, n_windows: list) -> Table:
+    hashes = np.concatenate([np.zeros(0, np.uint64), *hs])
+    order = np.argsort(hashes, kind="stable")
+    bits = np.zeros(1 << 20, bool)
+    bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
+    cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)[order]
+    return Table(members, slots, word, np.array(n_windows, np.int64), hashes[order], cat(owners), cat(poss), bits)
+
+
+def _runs(form: Form, width: int, least: int, whole: bool) -> Table:
+    """Each ``width`` words in a row with ``least`` literal ones; ``whole``: only of items of so many words."""
+    literals, h = np.concatenate([[0], np.cumsum(form.literal)]), run_hashes(form.code, width)
+    ends = np.concatenate([form.start[1:], [len(form.code)]]) - 1
+    known: dict[bytes, int] = {}
+    members, hs, owners, poss, n_windows = [], [], [], [], []
+    for i, (a, z) in enumerate(zip(form.start.tolist(), ends.tolist())):
+        at = np.arange(a, max(a, z - width + 1))
+        at = at[literals[at + width] - literals[at] >= least]
+        if not len(at) or (whole and z - a != width):
+            continue
+        t = known.setdefault(form.code[a:z].tobytes(), len(known))
+        if t < len(members):
+            members[t].append(i)
+            continue
+        members.append([i])
+        n_windows.append(len(at))
+        hs.append(h[at])
+        owners.append(np.full(len(at), t))
+        poss.append(at - a)
+    return _table(members, [], [], hs, owners, poss, n_windows)
 
 
 def build(rows: list[tuple]) -> Block:
@@ -214,14 +268,10 @@ def build(rows: list[tuple]) -> Block:
             hs.append(h[at])
             owners.append(np.full(len(at), t))
             poss.append(at - a)
-        hashes = np.concatenate([np.zeros(0, np.uint64), *hs])
-        order = np.argsort(hashes, kind="stable")
-        bits = np.zeros(1 << 20, bool)
-        bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)[order]  # noqa: B023, E731
-        tables.append(Table(members, slots, word, np.array(n_windows, np.int64), hashes[order], cat(owners), cat(poss), bits))
+        tables.append(_table(members, slots, word, hs, owners, poss, n_windows))
     tables[0], tables[1] = tables[1], tables[0]
-    return Block([r[0] for r in rows], words, tables, dict(short))
+    runs = {n: _runs(every[0], n, PASSAGE_LITERALS if n == PASSAGE else LITERALS, n < WINDOW) for n in (*range(1, WINDOW), PASSAGE)}
+    return Block([r[0] for r in rows], words, tables, dict(short), {n: x for n, x in runs.items() if len(x.hashes)})
 
 
 def _value(words: list[str], a: int, z: int) -> str:
@@ -281,13 +331,8 @@ def _pairs(at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.n
         a = z
 
 
-def _hits(of: Table, form: Form) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(text, template, template positions in the text, in the item) where enough windows are equal.
-
-    A text's hits are counted per template first; only those of templates with enough are held."""
-    if not len(of.hashes):
-        return
-    h = window_hashes(form.code)
+def _by_text(of: Table, form: Form, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, positions, first row of the table, rows) of the hashes that the table has."""
     at = np.flatnonzero(of.bits[(h >> np.uint64(44)).astype(np.int64)])
     lo, hi = np.searchsorted(of.hashes, h[at]), np.searchsorted(of.hashes, h[at], "right")
     n = hi - lo
@@ -295,9 +340,31 @@ def _hits(of: Table, form: Form) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     doc = np.searchsorted(form.start, at, "right") - 1
     cuts = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)).tolist() if len(at) else [0]
     for a, z in zip(cuts[:-1], cuts[1:]):
-        d = int(doc[a])
+        yield int(doc[a]), at[a:z], lo[a:z], n[a:z]
+
+
+def _passages(block: Block, form: Form) -> Iterator[tuple[int, int, float, int, str]]:
+    """Leaks by word sequences alone: a passage of any item, a whole item below a window."""
+    for width, of in block.runs.items():
+        for d, _, lo, n in _by_text(of, form, run_hashes(form.code, width)):
+            lo, first = np.unique(lo, return_index=True)  # each distinct sequence of the text once
+            found = np.zeros(len(of.n_windows), np.int64)
+            for _, k in _pairs(lo, lo, n[first]):
+                found += np.bincount(of.template[k], minlength=len(found))
+            for t in np.flatnonzero(found).tolist():
+                for i in of.items[t]:
+                    yield d, i, float(found[t] / of.n_windows[t]), int(found[t]), "passage" if width == PASSAGE else "exact"
+
+
+def _hits(of: Table, form: Form) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, template, template positions in the text, in the item) where enough windows are equal.
+
+    A text's hits are counted per template first; only those of templates with enough are held."""
+    if not len(of.hashes):
+        return
+    for d, at, lo, n in _by_text(of, form, window_hashes(form.code)):
         often = np.zeros(0, np.int64)
-        for _, k in _pairs(at[a:z], lo[a:z], n[a:z]):
+        for _, k in _pairs(at, lo, n):
             more = np.bincount(of.template[k])
             often = np.concatenate([often, np.zeros(max(0, len(more) - len(often)), np.int64)])
             often[:len(more)] += more
@@ -305,7 +372,7 @@ def _hits(of: Table, form: Form) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         enough = often >= MIN_SIMILARITY * of.n_windows
         if not enough.any():
             continue
-        kept = [(q[ok], k[ok]) for q, k in _pairs(at[a:z], lo[a:z], n[a:z]) if (ok := enough[of.template[k]]).any()]
+        kept = [(q[ok], k[ok]) for q, k in _pairs(at, lo, n) if (ok := enough[of.template[k]]).any()]
         q, k = (np.concatenate(x) for x in zip(*kept))
         order = np.argsort(of.template[k], kind="stable")
         q, k = q[order] - form.start[d], k[order]
@@ -314,8 +381,8 @@ def _hits(of: Table, form: Form) -> Iterator[tuple[int, int, np.ndarray, np.ndar
             yield d, t, q[x:y], of.pos[k[x:y]].astype(np.int64)
 
 
-def matches(block: Block, values: list[str | None]) -> Iterator[tuple[int, int, float, int, str]]:
-    """(text, item, similarity, windows, kind) of every leak among ``values``."""
+def matches(block: Block, values: list[str | None], parts: bool = False) -> Iterator[tuple[int, int, float, int, str]]:
+    """(text, item, similarity, windows, kind) of every leak among ``values``; ``parts``: passages of items count as well."""
     lists = [words_of(v) for v in values]
     every = forms(lists)
     best: dict[tuple[int, int], tuple[float, bool, int]] = {}
@@ -326,11 +393,18 @@ def matches(block: Block, values: list[str | None]) -> Iterator[tuple[int, int,
                 best[d, i] = max(best.get((d, i), got), got)
     for (d, i), (similarity, same, found) in sorted(best.items()):
         yield d, i, similarity, found, "exact" if same else "reparameterised"
+    if parts:
+        for got in _passages(block, every[0]):
+            if got[:2] not in best:
+                best[got[:2]] = (got[2], got[4] == "exact", got[3])
+                yield got
     if block.short:
         code, starts = every[1].code, every[1].start
         for d, (a, x) in enumerate(zip(starts.tolist(), lists)):
             if 0 < len(x) < WINDOW:
                 for i in block.short.get(code[a:a + len(x)].tobytes(), []):
+                    if (d, i) in best:
+                        continue
                     yield d, i, 1.0, 1, "exact" if [w.strip(EDGES).lower() for w in x] == [w.strip(EDGES).lower() for w in block.words[i]] else "reparameterised"
 
 
@@ -356,7 +430,7 @@ def _pieces(values: list) -> Iterator[tuple[int, list]]:
         yield a, values[a:a + SCAN_STEP]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, parts: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, n_windows, kind): one row per leaked item and document row."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType),
@@ -371,7 +445,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDO
             for b in batches:
                 values, ids = texts(b), b.column(0)
                 for a, part in _pieces(values):
-                    got = list(matches(shared.value, part))
+                    got = list(matches(shared.value, part, parts))
                     if got:
                         d, i, sim, n, kind = zip(*got)
                         item = pa.array([shared.value.ids[x] for x in i], item_type)
@@ -393,10 +467,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDO
 
 
 def op4_benchmark_decontamination(spark, sf_dir):
-    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), parts=True)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, parts: bool = False) -> DataFrame:
     """Pipeline stage: rows that hold a leak go, judged row by row where they lie."""
     for block in blocks(benchmark, block_windows):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -404,7 +478,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK
         def run(batches, shared=shared):
             for b in batches:
                 values = texts(b)
-                bad = {a + m[0] for a, part in _pieces(values) for m in matches(shared.value, part)}
+                bad = {a + m[0] for a, part in _pieces(values) for m in matches(shared.value, part, parts)}
                 yield b.filter(pa.array([i not in bad for i in range(len(values))], pa.bool_())) if bad else b
 
         docs = arrow_map(docs, run, docs.schema)

@@ -134,3 +134,23 @@ def test_items_of_one_template_share_it(monkeypatch):
     assert {m[1] for m in want if m[0] == 1 and m[4] == "exact"} == {7}
     monkeypatch.setattr(D, "PAIRS", 7)
     assert list(D.matches(block, [text, items[7][1]])) == want
+
+
+def test_passages_and_short_items(spark, tmp_path):
+    rng = random.Random(8)
+    long = [rng.choice(util.WORDS) + f"x{k}" for k in range(60)]
+    block = D.build([(1, " ".join(long)), (2, "Who wrote Hamlet?"), (3, "Who wrote War and Peace?"), (4, "17"), (5, " ".join(map(str, range(60))))])
+    found = lambda text: {(block.ids[m[1]], m[4]) for m in D.matches(block, [text], True)}
+    assert found("a b " + " ".join(long[20:50]) + " c") == {(1, "passage")} == found(" ".join(long[47:]).upper())
+    assert found("a b " + " ".join(long[20:32]) + " c") == set()
+    assert found("then ask: Who wrote Hamlet? or not") == {(2, "exact")} == found("they asked who wrote hamlet")
+    assert found("Who wrote Hamlet?") == {(2, "exact")} and len(list(D.matches(block, ["Who wrote Hamlet?"], True))) == 1
+    assert found("question Who wrote War and Peace? answer") == {(3, "exact")}
+    assert found("page 17 of " + " ".join(map(str, range(20)))) == set()  # counting is no passage
+    data = [(i, t, "en", "s", 0) for i, t in enumerate([" ".join(long[5:40]), "then who wrote hamlet", " ".join(long[5:15]), "x " + " ".join(long), None])]
+    path = util.write_tables(spark, tmp_path, data, benchmark=[(1, " ".join(long)), (2, "Who wrote Hamlet?")])
+    got = {(r.doc_id, r.item_id, r.kind) for r in D.op4_benchmark_decontamination(spark, path).collect()}
+    assert got == {(0, 1, "passage"), (1, 2, "exact"), (3, 1, "exact")}
+    import corpus_pipeline as P
+
+    assert sorted(r.doc_id for r in P.benchmark_decontamination(spark, util.docs(spark, data), path).collect()) == [2, 4]
