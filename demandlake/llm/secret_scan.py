@@ -4,8 +4,8 @@ The base patterns label credentials in the corpus. From a bounded sample of dist
 values per kind (``MAX_TRAIN``, the lowest hashes, so the sample does not depend on the
 partitioning) a probabilistic automaton is inferred over character classes: the values' prefix
 tree is built and states whose outgoing frequencies agree within the Hoeffding bound are merged,
-breadth first, with their subtrees. A Markov chain over the same classes, fitted on ordinary long
-tokens, is the background. Every long token of every whole text is then scored; one whose format
+breadth first, with their subtrees. A Markov chain over the same classes, counted on all ordinary long
+tokens (each task counts its own, one grouped sum adds them up), is the background. Every long token of every whole text is then scored; one whose format
 likelihood (automaton and length) exceeds the background's by ``MIN_GAIN`` nats, and is not lower than
 that of the labelled values by more than ``SLACK``, is a finding of kind ``format``. Base findings always stay, and learned ones never overlap them.
 
@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 from .common import arrow_map, save, table, texts, with_columns
 
 KINDS = ("assign", "access", "hex", "format")
-MAX_TRAIN = 400  # distinct labelled values per kind, and ten times as many background tokens
+MAX_TRAIN = 400  # distinct labelled values per kind
+LONGEST = 64  # lengths from here on count as one
+SHAPES = 100_000  # distinct class strings that a task counts before it adds them up
 MIN_GAIN = 8.0
 SLACK = 1.0
 ALPHA = 0.01  # error rate of the compatibility test
@@ -40,6 +42,7 @@ ALPHA = 0.01  # error rate of the compatibility test
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 or more
 HEX = re.compile(r"[0-9a-f]{24,}")
+LEAST = 12  # characters of a token
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -194,7 +197,7 @@ class SecretModel:
         fits = [p for p, a in ((a.log_prob(classes, n), a) for a in self.automata.values()) if p >= a.lowest - SLACK]
         if not fits:
             return -math.inf
-        low = self.bg_lengths.get(min(n, 64), self.bg_lengths[0])
+        low = self.bg_lengths[min(n, LONGEST)]
         before = END
         for c in classes:
             low += self.background[before][c]
@@ -202,23 +205,38 @@ class SecretModel:
         return max(fits) - low
 
 
-def _background(tokens: list[str]) -> tuple[dict[str, dict[str, float]], dict[int, float]]:
+def _background(counts: dict[str, int], least: int) -> tuple[dict[str, dict[str, float]], dict[int, float]]:
+    """Step and length log probabilities from the counts of all tokens of ``least`` or more characters."""
     pairs: Counter = Counter()
-    for t in tokens:
-        before = END
-        for c in t.translate(TO_CLASS):
-            pairs[before, c] += 1
-            before = c
+    sizes: Counter = Counter()
+    for key, n in counts.items():
+        size, pair = int(key[:2]), key[2:]
+        if size >= least and pair:
+            pairs[pair[0], pair[1]] += n
+        elif size >= least:
+            sizes[size] += n
     total = Counter()
     for (a, _), n in pairs.items():
         total[a] += n
     chain = {a: {c: math.log((pairs[a, c] + 0.5) / (total[a] + 0.5 * len(CLASSES))) for c in CLASSES} for a in END + CLASSES}
-    sizes, room = Counter(min(len(t), 64) for t in tokens), len(tokens) + 64.0
-    return chain, {n: math.log((sizes[n] + 1) / room) for n in range(65)}
+    room = sum(sizes.values()) + LONGEST
+    return chain, {n: math.log((sizes[n] + 1) / room) for n in range(LONGEST + 1)}
+
+
+def _tally(counts: Counter, shapes: Counter) -> None:
+    """Add the steps and lengths of class strings: two digits of length, then a step or nothing."""
+    for shape, n in shapes.items():
+        size = f"{min(len(shape), LONGEST):02}"
+        counts[size] += n
+        for step, m in Counter(zip(END + shape, shape)).items():
+            counts[size + "".join(step)] += n * m
+    shapes.clear()
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The lowest-hashed distinct values of each kind that this task has seen."""
+    """The lowest-hashed distinct values of each kind that this task has seen, and counts of all its ordinary tokens."""
+    counts: Counter = Counter()
+    shapes: Counter = Counter()
     heaps: dict[str, list[tuple[int, str]]] = {}
     seen: dict[str, set[str]] = {}
 
@@ -240,20 +258,25 @@ def _labelled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
                 spans = base_spans(t)
                 for k, _, z, a in spans:
                     offer(KINDS[k], t[a:z], most)
-                for a, z in candidates(t, spans):
-                    offer("format", t[a:z], 10 * most)
+                shapes.update(t[a:z].translate(TO_CLASS) for a, z in candidates(t, spans))
+        if len(shapes) > SHAPES:
+            _tally(counts, shapes)
+    _tally(counts, shapes)
+    if counts:
+        yield pa.RecordBatch.from_arrays([pa.array(["format"] * len(counts)), pa.array(list(counts.values()), pa.int64()), pa.array(list(counts))], names=["kind", "h", "value"])
     for kind, held in heaps.items():
         yield pa.RecordBatch.from_arrays([pa.array([kind] * len(held)), pa.array([-h for h, _ in held], pa.int64()), pa.array([v for _, v in held])], names=["kind", "h", "value"])
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> SecretModel:
-    """Infer the automata from the base findings of ``docs``; the driver gets 13 * max_train values at most."""
-    found = arrow_map(docs.select(F.col("text").cast("string").alias("text")), lambda it: _labelled(it, max_train), "kind string, h long, value string").distinct()
+    """Infer the automata from the base findings of ``docs``; the driver gets 3 * max_train values and a bounded table of counts."""
+    found = arrow_map(docs.select(F.col("text").cast("string").alias("text")), lambda it: _labelled(it, max_train), "kind string, h long, value string")
     found = save(found, "secret-values")  # one scan for the four selections below
-    parts = [found.where(F.col("kind") == k).orderBy("h", "value").limit(max_train * (10 if k == "format" else 1)) for k in KINDS]
-    rows = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).collect()
-    by = {k: sorted(r.value for r in rows if r.kind == k) for k in KINDS}
-    chain, lengths = _background(by["format"])
+    parts = [found.where(F.col("kind") == k).distinct().orderBy("h", "value").limit(max_train) for k in KINDS[:3]]
+    counts = found.where(F.col("kind") == "format").groupBy("kind", "value").agg(F.sum("h").alias("h")).select("kind", "h", "value")
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(counts).collect()
+    by = {k: sorted(r.value for r in rows if r.kind == k) for k in KINDS[:3]}
+    chain, lengths = _background({r.value: r.h for r in rows if r.kind == "format"}, LEAST)
     return SecretModel({k: infer(by[k]) for k in KINDS[:3] if by[k]}, chain, lengths)
 
 

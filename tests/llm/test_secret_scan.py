@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -82,3 +83,12 @@ def test_redaction(spark):
         else:
             assert (r.text, r.n_chars) == (was[r.doc_id].text, was[r.doc_id].n_chars)
     assert X.redact_text("ab token=abcdefgh cd", [(0, 3, 17, 9), (2, 11, 17, 11)]) == "ab token=[SECRET] cd"
+
+
+def test_background_counts_all_tokens(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ghjkmnpqrstuvwxyz") for _ in range(14)) for _ in range(300)]
+    data = [(i, " ".join(words[(7 * i + k) % 300] for k in range(50)) + " 20240101123456789", "en", "s", 1) for i in range(40)]
+    model = X.fit(util.docs(spark, data), max_train=5)
+    assert abs(math.exp(model.bg_lengths[14]) - 2001 / 2104) < 1e-9 and abs(math.exp(model.bg_lengths[17]) - 41 / 2104) < 1e-9
+    assert model.bg_lengths[13] == math.log(1 / 2104)
