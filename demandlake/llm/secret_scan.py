@@ -5,7 +5,9 @@ values per kind (``MAX_TRAIN``, the lowest hashes, so the sample does not depend
 partitioning) a probabilistic automaton is inferred over character classes: the values' prefix
 tree is built and states whose outgoing frequencies agree within the Hoeffding bound are merged,
 breadth first, with their subtrees. A Markov chain over the same classes, counted on all ordinary long
-tokens (each task counts its own, one grouped sum adds them up), is the background. Every long token of every whole text is then scored; one whose format
+tokens (each task counts its own, one grouped sum adds them up), is the background. Every long token of every whole text is then scored, and of a token with = or / also the
+parts (what follows each =, what lies between signs; the best that do not overlap count). Long means
+``LEAST`` characters, or fewer where labelled values are shorter; one whose format
 likelihood (automaton and length) exceeds the background's by ``MIN_GAIN`` nats, and is not lower than
 that of the labelled values by more than ``SLACK``, is a finding of kind ``format``. Base findings always stay, and learned ones never overlap them.
 
@@ -42,8 +44,8 @@ ALPHA = 0.01  # error rate of the compatibility test
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 or more
 HEX = re.compile(r"[0-9a-f]{24,}")
-LEAST = 12  # characters of a token
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+SHORTEST, LEAST = 6, 12  # characters of a labelled value; of a token, unless labelled values are shorter
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Character classes: digits, a-f, g-z, A-F, G-Z, and each sign by itself.
@@ -68,24 +70,52 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Long tokens that no base span touches, without signs at their ends."""
+def _trim(text: str, a: int, z: int) -> tuple[int, int]:
+    """Without signs at the ends."""
+    while a < z and text[a] in "=./_-":
+        a += 1
+    while z > a and text[z - 1] in "./_-":
+        z -= 1
+    return a, z
+
+
+def _free(spans: Iterator[tuple[int, int]], taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """The spans, by start, that no base span touches."""
     i = 0
     taken = sorted(taken, key=lambda s: s[1])
-    for m in CANDIDATE.finditer(text):
-        a, z = m.span()
-        while a < z and text[a] in "=./_-":
-            a += 1
-        while z > a and text[z - 1] in "./_-":
-            z -= 1
-        if z - a < 12:
-            continue
+    for a, z in spans:
         while i < len(taken) and taken[i][2] <= a:
             i += 1
         if not any(s[1] < z and s[2] > a for s in taken[i:i + 8]):
             yield a, z
 
 
+def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """Tokens that no base span touches, without signs at their ends."""
+    spans = (_trim(text, *m.span()) for m in CANDIDATE.finditer(text))
+    yield from _free(((a, z) for a, z in spans if z - a >= SHORTEST), taken)
+
+
+def parts(text: str, a: int, z: int) -> Iterator[tuple[int, int]]:
+    """A run itself, what follows each =, and what lies between = and /, without signs at the ends."""
+    a, z = _trim(text, a, z)
+    yield a, z
+    ahead, to = z, z  # the next character that is no sign; the next = or /
+    for x in range(z - 1, a - 2, -1):
+        if x < a or text[x] in "=/":
+            if x >= a and text[x] == "=" and ahead < z:
+                yield ahead, z
+            if ahead < to and (ahead, to) != (a, z):
+                end = to
+                while end > ahead and text[end - 1] in "./_-":
+                    end -= 1
+                if end < z or x < a or text[x] != "=":
+                    yield ahead, end
+            to = x
+        if x >= a and text[x] not in "=./_-":
+            ahead = x
+
+
 @dataclass
 class Automaton:
     """States are numbers from 0; step: (state, class) -> (next state, log probability)."""
@@ -95,9 +125,12 @@ class Automaton:
     unseen_length: float
     lowest: float = 0.0  # of the labelled values, the least likely 2 % aside
 
-    def log_prob(self, classes: str, length: int) -> float:
+    def log_prob(self, classes: str, length: int, least: float = -math.inf) -> float:
+        """``least``: below it the rest does not matter."""
         total, state = self.lengths.get(length, self.unseen_length), 0
         for c in classes:
+            if total < least:
+                return total
             to = self.step[state].get(c)
             if to is None:
                 total += FLOOR
@@ -189,12 +222,17 @@ class SecretModel:
     automata: dict[str, Automaton]
     background: dict[str, dict[str, float]]
     bg_lengths: dict[int, float]
+    least: int = LEAST
+
+    def may_fit(self, n: int) -> bool:
+        """Whether a format gives values of this length a chance."""
+        return n >= self.least and any(a.lengths.get(n, a.unseen_length) >= a.lowest - SLACK for a in self.automata.values())
 
     def gain(self, value: str) -> float:
         """Best log likelihood ratio of a learned format against ordinary tokens, among the formats
         that give the value at least ``SLACK`` nats below their own labelled values."""
         classes, n = value.translate(TO_CLASS), len(value)
-        fits = [p for p, a in ((a.log_prob(classes, n), a) for a in self.automata.values()) if p >= a.lowest - SLACK]
+        fits = [p for p, a in ((a.log_prob(classes, n, a.lowest - SLACK), a) for a in self.automata.values()) if p >= a.lowest - SLACK]
         if not fits:
             return -math.inf
         low = self.bg_lengths[min(n, LONGEST)]
@@ -276,8 +314,9 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> SecretModel:
     counts = found.where(F.col("kind") == "format").groupBy("kind", "value").agg(F.sum("h").alias("h")).select("kind", "h", "value")
     rows = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(counts).collect()
     by = {k: sorted(r.value for r in rows if r.kind == k) for k in KINDS[:3]}
-    chain, lengths = _background({r.value: r.h for r in rows if r.kind == "format"}, LEAST)
-    return SecretModel({k: infer(by[k]) for k in KINDS[:3] if by[k]}, chain, lengths)
+    least = min([LEAST, *(len(v) for values in by.values() for v in values)])
+    chain, lengths = _background({r.value: r.h for r in rows if r.kind == "format"}, least)
+    return SecretModel({k: infer(by[k]) for k in KINDS[:3] if by[k]}, chain, lengths, least)
 
 
 def find(text: str | None, model: SecretModel, min_gain: float = MIN_GAIN) -> list[Span]:
@@ -285,7 +324,17 @@ def find(text: str | None, model: SecretModel, min_gain: float = MIN_GAIN) -> li
     if not text:
         return []
     base = base_spans(text)
-    learned = [(3, a, z, a) for a, z in candidates(text, base) if model.gain(text[a:z]) >= min_gain]
+    learned: list[Span] = []
+    for m in CANDIDATE.finditer(text):
+        if m.end() - m.start() < model.least:
+            continue
+        spans = [s for s in parts(text, *m.span()) if model.may_fit(s[1] - s[0])]
+        scored = sorted((-g, a, z) for a, z in _free(sorted(spans), base) if (g := model.gain(text[a:z])) >= min_gain) if spans else []
+        own: list[Span] = []
+        for _, a, z in scored:  # the best ones that do not overlap
+            if not any(a < s[2] and s[1] < z for s in own):
+                own.append((3, a, z, a))
+        learned += own
     return sorted(base + learned, key=lambda s: (s[1], s[0]))
 
 

@@ -92,3 +92,29 @@ def test_background_counts_all_tokens(spark):
     model = X.fit(util.docs(spark, data), max_train=5)
     assert abs(math.exp(model.bg_lengths[14]) - 2001 / 2104) < 1e-9 and abs(math.exp(model.bg_lengths[17]) - 41 / 2104) < 1e-9
     assert model.bg_lengths[13] == math.log(1 / 2104)
+
+
+def test_values_behind_unlisted_names_are_found(spark):
+    data = [r for r in table() if r[0] is None or r[0] < 2000]
+    model = X.fit(util.docs(spark, data))
+    _, _, short = secrets(random.Random(98), 40)
+    for name in ("pwd=", "AUTH_KEY=", "sig=", "a/b/key=", "x=1/sig=", "path/to/"):
+        text = [f"look {name}{s} here" for s in short]
+        a = 5 + len(name)
+        assert sum((3, a, a + 18, a) in X.find(t, model) for t in text) >= 38, name
+        assert sum(f"look {name}[SECRET] here" == X.redact_text(t, X.find(t, model)) for t in text) >= 38
+    for c in ("pwd=internationalisation", "path/to/characteristically", "day=2024-01-02", "www.example.com/some/path?x=4000000000000123"):
+        assert not X.find(f"look {c} here", model)
+    assert list(X.parts("a=b/c=d", 0, 7)) == [(0, 7), (6, 7), (4, 5), (2, 7), (2, 3), (0, 1)]
+
+
+def test_short_values_are_learned(spark):
+    rng = random.Random(3)
+    value = lambda: "".join(rng.choice("0123456789") if k % 2 else rng.choice("GHJKLMNP") for k in range(10))
+    data = util.rows() + [(3000 + i, f"{util.sentence(rng, 30)} token={value()}", "en", "s", 1) for i in range(200)]
+    model = X.fit(util.docs(spark, data))
+    assert model.least == 10
+    for _ in range(20):
+        v = value()
+        assert X.find(f"a river {v} b", model) == [(3, 8, 18, 8)] and X.find(f"k={v}", model) == [(3, 2, 12, 2)]
+    assert not X.find("alpha_beta gamma2delta 2024-01-02 0123456789 meadowland", model)
