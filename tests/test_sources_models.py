@@ -113,3 +113,27 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     assert got <= want
     open_windows = {w for w, _ in want} - {w for w, _ in got}
     assert open_windows and max(w for w, _ in want) in open_windows and len(open_windows) <= 2
+
+
+def test_search_and_curves_run_at_full_settings(monkeypatch):
+    import contextlib
+
+    from demandlake.operators import models
+    from demandlake.plans import catalog
+
+    class Table:
+        select = unionByName = lambda self, *a: self
+
+    seen = []
+    monkeypatch.setattr(catalog, "_splits", lambda *a: contextlib.nullcontext())
+    monkeypatch.setattr(catalog, "_demand", lambda *a: None)
+    monkeypatch.setattr(catalog.F, "lit", lambda x: Table())
+    monkeypatch.setattr(Table, "alias", lambda self, x: self, raising=False)
+    for name in ("tune_model", "final_validation", "cross_validate", "learning_curve"):
+        monkeypatch.setattr(models, name, lambda *a, own=name, **kw: seen.append((own, a, kw)) or Table())
+        catalog.QUERIES[name](None, None)
+    for own, a, kw in seen:
+        assert not {"n_trials", "hidden", "epochs"} & set(kw)
+        if own == "tune_model":
+            assert [512, 256, 128, 64] in a[2]["hidden"] and min(a[2]["epochs"]) == 30 and max(a[2]["epochs"]) == 100
+    assert [x[0] for x in seen].count("tune_model") == 2 and len(seen) == 7
