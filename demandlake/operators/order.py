@@ -200,7 +200,8 @@ def running_agg(df: DataFrame, keys: list[str], order: list, specs: list[tuple[s
     key puts a hot key's rows in one task; here rows are range-partitioned on
     (key, order) so a hot key spans many partitions ("chunks"), each chunk
     runs its own window, and the aggregate of all earlier chunks of the same
-    key (a table with one row per key and chunk) is joined back.
+    key (a table with one row per key and chunk) is joined back. A null key is
+    a key like any other.
     """
     n = _partitions(df, num_partitions)
     ranged = df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
@@ -220,11 +221,14 @@ def running_agg(df: DataFrame, keys: list[str], order: list, specs: list[tuple[s
     for out, how, _, _ in specs:
         agg, _ = _AGGS[how]
         pre_cols.append(agg(f"_tot_{out}").over(w_chunks).alias(f"_pre_{out}"))
-    prefix = totals.select(*keys, "_pid", *pre_cols)
-    joined = local.join(prefix, [*keys, "_pid"], "left")
+    prefix = totals.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_chunk"), *pre_cols)
+    same = F.col("_pid") == F.col("_chunk")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    joined = local.join(prefix, same, "left")
     result = {}
     for out, how, _, _ in specs:
         _, combine = _AGGS[how]
         result[out] = combine(F.col(f"_pre_{out}"), F.col(f"_loc_{out}"))  # least/greatest skip nulls
-    drop = ["_pid"] + [f"_loc_{o}" for o, *_ in specs] + [f"_pre_{o}" for o, *_ in specs]
+    drop = ["_pid", "_chunk", *[f"_key{i}" for i in range(len(keys))]] + [f"_loc_{o}" for o, *_ in specs] + [f"_pre_{o}" for o, *_ in specs]
     return joined.withColumns(result).drop(*drop)

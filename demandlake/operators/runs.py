@@ -44,8 +44,8 @@ def best_so_far(log: DataFrame, job: str = "job_id", epoch: str = "epoch", loss:
 
 def _cut_at_stop(counted: DataFrame, patience: int, job: str, epoch: str) -> DataFrame:
     """Keep each job's rows up to its first one whose patience_counter reaches ``patience``."""
-    stops = counted.filter(F.col("patience_counter") >= patience).groupBy(job).agg(F.min(epoch).alias("stop_epoch"))
-    out = counted.join(stops, job, "left")
+    stops = counted.filter(F.col("patience_counter") >= patience).groupBy(F.col(job).alias("_of")).agg(F.min(epoch).alias("stop_epoch"))
+    out = counted.join(stops, F.col(job).eqNullSafe(F.col("_of")), "left").drop("_of")
     return (out.filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
             .withColumn("stopped", F.coalesce(F.col(epoch) == F.col("stop_epoch"), F.lit(False))))
 
@@ -138,8 +138,8 @@ def progress_feed(events: DataFrame, job: str = "job_id", seq: str = "seq", ts:
     """
     dedup = events.dropDuplicates([job, seq])
     # duplicates cannot move a minimum: the cut is folded from the raw feed (no second dedupe shuffle)
-    cut = job_status(events, job, seq, ts).select(job, "terminal_ts", "terminal_seq")
-    joined = dedup.join(cut, job, "left")
+    cut = job_status(events, job, seq, ts).select(F.col(job).alias("_of"), "terminal_ts", "terminal_seq")
+    joined = dedup.join(cut, F.col(job).eqNullSafe(F.col("_of")), "left").drop("_of")
     before = (F.col("terminal_ts").isNull() | (F.col(ts) < F.col("terminal_ts"))
               | ((F.col(ts) == F.col("terminal_ts")) & (F.col(seq) <= F.col("terminal_seq"))))
     return joined.filter(before).drop("terminal_ts", "terminal_seq")
