@@ -54,11 +54,10 @@ def write(docs: DataFrame, path: str, vocab: str, drops_space: bool = True, layo
         for b in batches:
             for at in range(0, b.num_rows, ENCODE_STEP):
                 part = b.slice(at, ENCODE_STEP)
-                ids = enc.encode(texts(part))
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = before + np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(ids), shard, np.int32)), pa.array(sizes), pa.array(ends - sizes), lists], names=["doc_id", "shard", "n_tokens", "before", "ids"])
+                ids, cuts = enc.encode_lists(texts(part))
+                sizes, ends = np.diff(cuts, prepend=0), before + cuts
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]), pa.int32()), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(cuts), shard, np.int32)), pa.array(sizes), pa.array(ends - sizes), lists], names=["doc_id", "shard", "n_tokens", "before", "ids"])
                 before = int(ends[-1])
 
     out = arrow_map(ordered, run, f"doc_id {id_type.simpleString()}, shard int, n_tokens long, before long, ids array<int>")
