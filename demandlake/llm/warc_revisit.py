@@ -76,9 +76,9 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def attach_payload(resolved: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``resolved`` with the payload of each response and resolved revisit; ``payloads``: (record_id, payload), ids distinct."""
+    """``resolved`` with the payload of each response and resolved revisit; ``payloads``: (record_id, payload), of a repeated id the greatest counts."""
     source = F.when(F.col("outcome") == "response", F.col("record_id")).when(F.col("outcome") == "resolved", F.col("refers_to"))
-    own = payloads.select(F.col("record_id").alias("payload_of"), "payload")
+    own = payloads.groupBy(F.col("record_id").alias("payload_of")).agg(F.max("payload").alias("payload"))
     return resolved.withColumn("payload_from", source).join(own, F.col("payload_from") == F.col("payload_of"), "left").drop("payload_of", "payload_from")
 
 
@@ -90,9 +90,10 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     section = F.concat(F.regexp_extract("url", r"^([^:]*://[^/?#]*(?:/[^/?#]*)?)", 1), F.regexp_extract("url", r"([?#].*)$", 1))
     key = F.md5(F.coalesce(canonical_url(section), F.lit("")).cast("binary"))
     version = F.when(F.substring(key, 1, 1) < "c", F.lit(0)).otherwise(F.pmod(F.col("page_id"), F.lit(2)))
-    revisit = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1) < "5"
+    revisit = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1) < "5", F.lit(False))
     lines = F.concat_ws("\r\n",
-                        F.when(~revisit, F.concat(F.lit("Content-Type: text/html\r\nContent-Length: "), F.length("html").cast("string"))).otherwise(F.lit("Content-Length: 0")),
+                        F.when(~revisit, F.lit("Content-Type: text/html")),
+                        F.when(revisit, F.lit("Content-Length: 0")).otherwise(F.concat(F.lit("Content-Length: "), F.length("html").cast("string"))),
                         F.concat(F.lit("Cache-Control: max-age="), F.when(revisit, F.lit("600")).otherwise(F.lit("60"))),
                         F.when(F.substring(key, 2, 1) < "a", F.concat(F.when(revisit, F.lit("etag: W/")).otherwise(F.lit("ETag: ")), F.lit('"'), F.substring(key, 1, 8), version.cast("string"), F.lit('"'))),
                         F.when(F.substring(key, 3, 1) < "c", F.concat(F.lit("Last-Modified: Mon, 01 Jan 2024 00:00:0"), version.cast("string"), F.lit(" GMT"))),
@@ -115,12 +116,12 @@ parts AS (SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extra
   regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
   list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=]*|ref|fbclid|gclid)(?:=|$)'))) AS params FROM split),
 keyed AS (SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM parts),
-hashed AS (SELECT *, md5(canonical) AS k, substr(md5(CAST(page_id AS VARCHAR)), 1, 1) < '5' AS revisit FROM keyed),
+hashed AS (SELECT *, md5(coalesce(canonical, '')) AS k, coalesce(substr(md5(CAST(page_id AS VARCHAR)), 1, 1) < '5', false) AS revisit FROM keyed),
 logged AS MATERIALIZED (SELECT *, CASE WHEN substr(k, 1, 1) < 'c' THEN 0 ELSE page_id % 2 END AS v FROM hashed),
 records AS MATERIALIZED (SELECT *, CASE WHEN substr(k, 2, 1) < 'a' THEN '"' || substr(k, 1, 8) || v || '"' END AS etag, CASE WHEN substr(k, 3, 1) < 'c' THEN 'Mon, 01 Jan 2024 00:00:0' || v || ' GMT' END AS modified FROM logged),
 found AS (SELECT r.*, f.page_id AS rid, f.etag AS f_etag, f.modified AS f_modified, f.html AS f_html
   FROM (SELECT * FROM records WHERE revisit) r ASOF LEFT JOIN (SELECT * FROM records WHERE NOT revisit) f ON r.canonical = f.canonical AND r.page_id > f.page_id),
-judged AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN etag IS NOT NULL AND f_etag IS NOT NULL THEN CASE WHEN etag = f_etag THEN 'resolved' ELSE 'changed' END
+judged AS (SELECT *, CASE WHEN canonical IS NULL OR page_id IS NULL THEN 'no_url' WHEN rid IS NULL THEN 'no_response' WHEN etag IS NOT NULL AND f_etag IS NOT NULL THEN CASE WHEN etag = f_etag THEN 'resolved' ELSE 'changed' END
   WHEN modified IS NOT NULL AND f_modified IS NOT NULL THEN CASE WHEN modified = f_modified THEN 'resolved' ELSE 'changed' END ELSE 'unverified' END AS outcome FROM found)
 SELECT page_id, 'response' AS kind, canonical, NULL::BIGINT AS refers_to, 'response' AS outcome,
   concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || length(html), 'content-type: text/html', 'etag: ' || etag, 'last-modified: ' || modified, 'x-capture: ' || page_id) AS headers,
