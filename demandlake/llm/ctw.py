@@ -16,6 +16,9 @@ and 1 (at most 255 and 65,280 nodes) are weighted on the driver and broadcast. E
 the log-probabilities of its own grams and the counts of its own words where they differ from the
 block's. The tree and the vocabulary grow with the corpus and stay distributed.
 
+``bits_per_byte`` is the model's code length, in bits per byte of the text as it is scored, the end byte
+included.
+
 Defined results: null or empty text -> the end token only; no training text -> every bit costs one
 bit; repeated rows count once each; null ids train; other columns are ignored. Words are told apart
 by their 64-bit hash.
@@ -387,7 +390,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_bytes: in
     total = entries.where(F.col("kind") == TOTAL).agg(F.sum("n").alias("n")).first().n or 0
     word_back = words.where("all <> n").select(F.col("block").alias("block_of"), F.lit(WORD).alias("kind"), "key", F.col("all").cast("double").alias("score"))
     out = pa.schema([("doc_id", to_arrow_type(id_type)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -399,10 +402,11 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_bytes: in
         g, w = kind == GRAM, kind == WORD
         got = score_block(bodies, [not h for h in held], key[g], value[g], key[w], value[w], total, vocab, depth)
         own = [ids, pa.array(held, pa.bool_()), pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()),
-               pa.array(np.full(len(held), total, np.int64)), pa.array(got[2], pa.float64()), pa.array(got[3], pa.float64())]
+               pa.array(np.full(len(held), total, np.int64)), pa.array(got[2], pa.float64()), pa.array(got[3], pa.float64()),
+               pa.array(-np.asarray(got[3], float) / math.log10(2) / np.array([len(x) for x in bodies]), pa.float64())]
         return pa.Table.from_arrays(own, schema=out)
 
-    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     texts = blocked.where(F.col("kind") == TEXT).select("block", "ids", "held", "sizes", "blob")
     return texts.groupBy("block").cogroup(gram_back.unionAll(word_back).groupBy("block_of")).applyInArrow(run, schema)
 

@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, raw_texts, save, table
+from .common import arrow_map, raw_texts, save, table, texts, with_columns
 
 MAX_DOCS, MIN_REST = 50, 0.2
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -104,14 +105,43 @@ def profile(docs: DataFrame, host: str = "source") -> DataFrame:
                                 "n_repeat_words long, content long, lines array<long>, line_words array<int>")
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_rest: float = MIN_REST) -> DataFrame:
-    """Base counts, n_removed (words in boilerplate lines) and the verdicts, one row per input row."""
-    rows = save(profile(docs, host).withColumn("host_key", F.xxhash64(F.coalesce("host", F.lit("\0")))), "quality-rows")
+def _common_lines(rows: DataFrame, max_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(host_key, content, line, words) of each distinct document's lines, and (host_of, line_of) of those in over ``max_docs`` of their host's."""
     # one carrier per distinct document of a host gives its lines; all rows of it share its fate
-    texts = rows.groupBy("host_key", "content").agg(F.first(F.struct("lines", "line_words")).alias("t")).select("host_key", "content", "t.lines", "t.line_words")
-    texts = save(texts, "quality-texts")
-    lines = texts.select("host_key", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host_key", "content", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    own = rows.groupBy("host_key", "content").agg(F.first(F.struct("lines", "line_words")).alias("t")).select("host_key", "content", "t.lines", "t.line_words")
+    own = save(own, "quality-texts")
+    lines = own.select("host_key", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host_key", "content", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     common = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs).select(F.col("host_key").alias("host_of"), F.col("line").alias("line_of"))
+    return lines, common
+
+
+def _profiled(docs: DataFrame, host: str) -> DataFrame:
+    return save(profile(docs, host).withColumn("host_key", F.xxhash64(F.coalesce("host", F.lit("\0")))), "quality-rows")
+
+
+def cleaned(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """``docs`` with the lines that over ``max_docs`` documents of their host hold cut out of ``text``; a null text stays null."""
+    lines, common = _common_lines(_profiled(docs, host), max_docs)
+    met = lines.join(common, (F.col("host_key") == F.col("host_of")) & (F.col("line") == F.col("line_of")))
+    cut = met.groupBy(F.col("host_key").alias("__host_of"), F.col("content").alias("__content_of")).agg(F.collect_list("line").alias("__cut"))  # a document's own lines at most
+    keyed = with_columns(docs.withColumn("__host", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0")))),
+                         lambda b: [pa.array([xxhash.xxh64_intdigest(t, 7) - (1 << 63) for t in raw_texts(b)], pa.int64())], [T.StructField("__content", T.LongType())])
+    both = keyed.join(cut, (F.col("__host") == F.col("__host_of")) & (F.col("__content") == F.col("__content_of")), "left")
+
+    def without(text: str | None, gone: list[int] | None) -> str | None:
+        if not gone or text is None:
+            return text
+        drop = set(gone)
+        return "\n".join([x for x in text.split("\n") if not drop.intersection(line_hashes(x.encode("utf-8", "surrogatepass"))[0])])
+
+    out = with_columns(both, lambda b: [pa.array(list(map(without, texts(b), texts(b, "__cut"))), pa.string())], [T.StructField("__text", T.StringType())])
+    return out.select(*[F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_rest: float = MIN_REST) -> DataFrame:
+    """Base counts, n_removed (words in boilerplate lines) and the verdicts, one row per input row."""
+    rows = _profiled(docs, host)
+    lines, common = _common_lines(rows, max_docs)
     removed = lines.join(common, (F.col("host_key") == F.col("host_of")) & (F.col("line") == F.col("line_of"))).groupBy("host_key", "content").agg(F.sum("words").alias("n_removed"))
     removed = removed.withColumnsRenamed({"host_key": "host_r", "content": "content_r"})
     got = rows.drop("lines", "line_words").join(removed, (F.col("host_key") == F.col("host_r")) & (F.col("content") == F.col("content_r")), "left")

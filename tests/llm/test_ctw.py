@@ -92,7 +92,7 @@ def test_empty_and_untrained(spark):
     assert C.score(util.empty(spark), held).count() == 0
     one = spark.createDataFrame([(1, "ab c")], "doc_id long, text string")
     r = C.score(one, held).first()
-    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and abs(r.score - 5 * 8 * math.log10(0.5)) < 1e-9
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and abs(r.score - 5 * 8 * math.log10(0.5)) < 1e-9 and abs(r.bits_per_byte - 8) < 1e-9
 
 
 def test_long_text(spark):

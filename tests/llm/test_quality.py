@@ -67,3 +67,16 @@ def test_query_and_empty(spark, tmp_path):
     data = corpus()
     got = Q.op9_quality_rules(spark, util.write_tables(spark, tmp_path, data)).collect()
     assert len(got) == len(data) and Q.judge(util.empty(spark)).count() == 0
+
+
+def test_cleaned_texts(spark):
+    data = corpus()
+    docs = util.docs(spark, data)
+    got = Q.cleaned(docs, max_docs=3)
+    assert got.columns == docs.columns and got.count() == len(data)
+    by = {r.doc_id: r.text for r in got.collect()}
+    assert by[501] == "unique " + util.WORDS[1] and by[600] == data[-4][1] and by[43] is None and by[44] == ""
+    removed = {r.doc_id: r.n_removed for r in Q.judge(docs, max_docs=3).collect()}
+    words = lambda t: len((t or "").split())
+    assert all(words(text) - words(by[i]) == removed[i] for i, text, *_ in data if i is not None and i != 41)
+    assert Q.cleaned(util.empty(spark)).count() == 0
