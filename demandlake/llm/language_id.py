@@ -138,12 +138,12 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 def fit(labelled: DataFrame, buckets: int = BUCKETS, alpha: float = 0.5) -> LanguageModel:
     """Learn from every row with non-null ``lang`` and text. Bucket -1 carries the number of texts."""
     train = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    if train.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:  # before any task holds a vector per language
+        raise ValueError(f"more than {MAX_LANGS} languages; vectors and the broadcast matrix are sized for as many")
     parts = arrow_map(train, lambda it: _count(it, buckets), "lang string, bucket int, n long")
     got = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang_of, bucket, n = got.column("lang").to_numpy(zero_copy_only=False), got.column("bucket").to_numpy(), got.column("n").to_numpy()
     langs = sorted(set(lang_of.tolist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the broadcast matrix is sized for {MAX_LANGS}")
     counts, docs = np.zeros((buckets, len(langs))), np.zeros(len(langs))
     for j, lang in enumerate(langs):
         own = lang_of == lang
@@ -154,17 +154,16 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS, alpha: float = 0.5) -> Lang
     return LanguageModel(langs, np.ascontiguousarray(log_prob.T, np.float32), np.log(docs / max(docs.sum(), 1)))
 
 
-def score_texts(values: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
-    """Best language and its posterior for each text."""
+def log_likelihood(values: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each text in each language, priors included, and its number of n-grams."""
     n_lang = len(model.langs)
-    if not n_lang:
-        return [UND] * len(values), np.zeros(len(values))
-    ll = np.tile(model.log_prior, (len(values), 1))
+    ll, n_grams = np.tile(model.log_prior, (len(values), 1)), np.zeros(len(values), np.int64)
     for first, n_texts, points in _blocks(values):
         if n_texts <= 0:
             for n in ORDERS:
                 h = _grams(points, n_texts, n, model.log_prob.shape[1])
                 ll[first] += model.log_prob[:, h].sum(1, dtype=np.float64)
+                n_grams[first] += len(h)
             continue
         keep = _squeeze(points)
         ends = np.cumsum([len(values[first + k] or "") + 1 for k in range(n_texts)])  # each text's closing space
@@ -175,9 +174,18 @@ def score_texts(values: list[str | None], model: LanguageModel) -> tuple[list[st
         for n in ORDERS:
             h = _hashes(points, n, model.log_prob.shape[1])
             a, z = np.minimum(lo, len(h)), np.clip(hi - n + 1, 0, len(h))
+            n_grams[first:first + n_texts] += np.maximum(z - a, 0)
             for j in range(n_lang):
                 run = np.concatenate([[0.0], np.cumsum(model.log_prob[j][h], dtype=np.float64)])
                 ll[first:first + n_texts, j] += np.where(z > a, run[z] - run[a], 0.0)
+    return ll, n_grams
+
+
+def score_texts(values: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
+    """Best language and its posterior for each text."""
+    if not model.langs:
+        return [UND] * len(values), np.zeros(len(values))
+    ll, _ = log_likelihood(values, model)
     best = ll.argmax(1)
     post = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
     letters = np.array([v is not None and any(map(str.isalpha, v)) for v in values], bool)
@@ -203,7 +211,25 @@ def op1_language_id(spark, sf_dir):
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents without letters, or whose best language has under ``min_score``, go."""
-    out = predict(docs, fit(docs), out=("__lid_lang", "__lid_score"))
-    return out.where((F.col("__lid_lang") != UND) & (F.col("__lid_score") >= min_score)).select(*docs.columns)
+def above_floor(values: list[str | None], model: LanguageModel) -> np.ndarray:
+    """Whether a text's n-grams are likelier in its best language than if all buckets were equally likely.
+
+    A posterior cannot tell: over a whole text some learned language always wins by far, also for
+    noise or for a script that no training text has. Its n-grams are rare in all of them.
+    """
+    if not model.langs:
+        return np.zeros(len(values), bool)
+    ll, n = log_likelihood(values, model)
+    return (ll - model.log_prior).max(1) > -np.log(model.log_prob.shape[1]) * n
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: documents without letters, and those whose best language explains them worse than chance, go."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    def run(b: pa.RecordBatch) -> list[pa.Array]:
+        values = texts(b)
+        letters = np.array([v is not None and any(map(str.isalpha, v)) for v in values], bool)
+        return [pa.array(letters & above_floor(values, shared.value), pa.bool_())]
+
+    return with_columns(docs, run, [T.StructField("__lid_kept", T.BooleanType())]).where("__lid_kept").select(*docs.columns)

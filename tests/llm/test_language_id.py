@@ -1,3 +1,4 @@
+import pytest
 import zlib
 
 import numpy as np
@@ -62,3 +63,21 @@ def test_empty_and_unlabelled(spark):
     assert L.predict(none, L.fit(none), out=("p", "q")).count() == 0 and L.keep_identified(none).count() == 0
     bare = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert L.predict(bare, L.fit(bare)).first().lang_pred == "und"
+
+
+def test_floor_rejects_what_no_language_explains(spark):
+    import random
+
+    rng = random.Random(5)
+    words = {"en": "the river runs over stone and under the old bridge".split(), "de": "der fluss liegt unter einer alten bruecke und daneben steht ein haus".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    noise = [(900, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(400)), "en"), (901, " ".join("".join(chr(rng.randint(0x400, 0x44F)) for _ in range(9)) for _ in range(60)), None), (902, "12 34 ...", "de")]
+    short = [(903, "the old bridge", "en"), (904, "haus", None)]
+    got = {r.doc_id for r in L.keep_identified(spark.createDataFrame(rows + noise + short, "doc_id long, text string, lang string")).collect()}
+    assert got == {i for i, _, _ in rows + short}
+
+
+def test_too_many_languages_are_refused_before_counting(spark):
+    docs = spark.createDataFrame([(f"l{i}", "text") for i in range(L.MAX_LANGS + 1)], "lang string, text string")
+    with pytest.raises(ValueError, match="languages"):
+        L.fit(docs)

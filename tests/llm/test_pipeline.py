@@ -16,8 +16,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
     got = P.run(spark, path).collect()
 
     model = language_id.fit(util.docs(spark, data))
-    lang, score = language_id.score_texts([r[1] for r in data], model)
-    kept = [r for r, x, s in zip(data, lang, score) if x != "und" and s >= 0.5]
+    lang, _ = language_id.score_texts([r[1] for r in data], model)
+    kept = [r for r, x, likely in zip(data, lang, language_id.above_floor([r[1] for r in data], model)) if x != "und" and likely]
     label = brute_components([(r[0], brute_fp(r[1])) for r in kept])
     seen, unique = set(), []
     for r, c in zip(kept, label):
