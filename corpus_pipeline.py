@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 Parquet in the shared checkpoint folder and rereads them as the next one's documents. All but the
 last return the columns of ``documents``.
 
-* language_id: rows without letters, or whose best language has a posterior under 1/2, go.
+* language_id: rows without letters, or that their best language explains worse than chance, go.
 * simhash_near_dedup: one row of each component of fingerprints within 2 bits stays.
 * benchmark_decontamination: rows that hold a benchmark item, as it is, re-parameterised or as a passage, go.
 * secret_scan: every row stays, secret values are replaced by ``[SECRET]`` and n_chars follows.
