@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +48,7 @@ _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", r
 BUDGET, HISTORY = 2048, 256
 BLOCK_BYTES = 1 << 20
 TURN_BYTES = 32  # that a turn takes besides role and text
+TOGETHER_BYTES = 1 << 20  # of turns that are encoded together, at least
 BYTES_A_TOKEN = 16  # history reaches back HISTORY tokens and as many times these bytes at most
 
 
@@ -132,32 +134,47 @@ def _blocks(conversations: DataFrame, layout: Layout) -> tuple[DataFrame, DataFr
     return tuple(x.repartition("conv_id", "block").sortWithinPartitions(*order) for x in (short, own.unionAll(history).unionAll(system)))
 
 
-def _block_windows(turns: list[tuple[str, str, int, int]], enc, layout: Layout) -> list[tuple]:
-    """(window, text, n_tokens, n_turns, n_repeated, loss_spans) of the windows of one block's (role, text, copy, before)."""
+@dataclass
+class _Block:
+    """The written turns of a block: those before ``first`` are history; ``inside``: the system turn is the block's first."""
+
+    key: tuple
+    turns: list[tuple[str, str, int, int]]
+    written: list[tuple[str, int]]
+    first: int
+    system: str | None
+    inside: bool
+
+
+def _block(key: tuple, turns: list[tuple[str, str, int, int]], layout: Layout) -> _Block | None:
+    """From (role, text, copy, before) rows in order; None for history of a block in which no turn begins."""
     system = next((format_turn(*t[:2])[0] for t in turns if t[2] == 2), None)
     turns = [t for t in turns if t[2] != 2]
     first = sum(t[2] == 1 for t in turns)
     if first == len(turns):
-        return []  # history of a block in which no turn begins
+        return None
     skip = sum(turns[first][3] - t[3] > layout.history_bytes for t in turns[:first])
     turns, first = turns[skip:], first - skip
     written = [format_turn(role, text) for role, text, _, _ in turns]
     inside = system is None and first == 0 and turns[0][3] == 0 and turns[0][0] == "system"
-    system = written[0][0] if inside else system
-    sizes = [len(x) // 4 - 1 for x in enc.encode([w for w, _ in written] + ([] if system is None else [system]))]
-    opens = 0 if system is None else sizes[-1]
+    return _Block(key, turns, written, first, written[0][0] if inside else system, inside)
+
+
+def _block_windows(b: _Block, sizes: np.ndarray, opens: int, layout: Layout) -> list[tuple]:
+    """(window, text, n_tokens, n_turns, n_repeated, loss_spans) of a block; ``sizes``: tokens of its turns, ``opens``: of its system turn."""
+    system, inside = b.system, b.inside
     if 2 * opens > layout.budget:
         system, opens, inside = None, 0, False
-    ends, out = np.concatenate([[0], np.cumsum(sizes[:len(written)])]), []
-    for number, (back, at, to) in enumerate(spans(ends, first, opens, inside, layout)):
+    ends, out = np.concatenate([[0], np.cumsum(sizes)]), []
+    for number, (back, at, to) in enumerate(spans(ends, b.first, opens, inside, layout)):
         head = [] if system is None or (inside and at == 0) else [system]
         place, marks = sum(map(len, head)), []
         for k in range(back, to):
-            body, text_at = written[k]
-            if k >= at and turns[k][0] == "assistant":
+            body, text_at = b.written[k]
+            if k >= at and b.turns[k][0] == "assistant":
                 marks.append({"start": place + text_at, "end": place + len(body) - len(END) - 1})
             place += len(body)
-        out.append((number, "".join(head + [w for w, _ in written[back:to]]), int(ends[to] - ends[back]) + opens * len(head), len(head) + to - back, len(head) + at - back, marks))
+        out.append((number, "".join(head + [w for w, _ in b.written[back:to]]), int(ends[to] - ends[back]) + opens * len(head), len(head) + to - back, len(head) + at - back, marks))
     return out
 
 
@@ -169,24 +186,37 @@ WINDOW = "block long, window int, text string, n_tokens long, n_turns int, n_rep
 def _cut(dealt: DataFrame, vocab: str, layout: Layout) -> DataFrame:
     """The windows of dealt rows, block after block."""
 
-    def made(key, held, enc):
-        cols = list(zip(*_block_windows(held, enc, layout)))
-        if cols:
-            n = len(cols[0])
-            yield pa.RecordBatch.from_arrays([key[2].take(pa.array([0] * n)), pa.array([key[1]] * n, pa.int64()), *[pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)]], names=["conv_id", "block", *[f for f, _ in _FIELDS]])
+    def made(blocks: list[_Block], enc) -> Iterator[pa.RecordBatch]:
+        """The windows of some blocks, all their turns encoded at once."""
+        if not blocks:
+            return
+        _, cuts = enc.encode_lists([w for b in blocks for w, _ in b.written] + [b.system for b in blocks])
+        sizes = np.diff(cuts, prepend=0) - 1  # without the end id
+        opens, rows, at = sizes[len(sizes) - len(blocks):].tolist(), [], 0
+        for b, own in zip(blocks, opens):
+            got = _block_windows(b, sizes[at:at + len(b.written)], own, layout)
+            rows += [(b.key[2], b.key[1], *w) for w in got]
+            at += len(b.written)
+        cols = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(cols[0]), pa.array(cols[1], pa.int64()), *[pa.array(c, t) for c, (_, t) in zip(cols[2:], _FIELDS)]], names=["conv_id", "block", *[f for f, _ in _FIELDS]])
 
     def run(batches):
-        enc, key, held = encoder(vocab, False), None, []
+        enc, key, held, waiting, size = encoder(vocab, False), None, [], [], 0
         for b in batches:
             ids, blocks = b.column(0).to_pylist(), b.column(4).to_pylist()
             for i, turn in enumerate(zip(*[b.column(c).to_pylist() for c in (2, 3, 5, 6)])):
                 if key is None or (ids[i], blocks[i]) != key[:2]:
                     if held:
-                        yield from made(key, held, enc)
+                        waiting.append(_block(key, held, layout))
+                    if size > TOGETHER_BYTES:
+                        yield from made([w for w in waiting if w is not None], enc)
+                        waiting, size = [], 0
                     key, held = (ids[i], blocks[i], b.column(0).slice(i, 1)), []
                 held.append(turn)
+                size += len(turn[1]) + TURN_BYTES
         if held:
-            yield from made(key, held, enc)
+            waiting.append(_block(key, held, layout))
+        yield from made([w for w in waiting if w is not None], enc)
 
     return arrow_map(dealt, run, f"conv_id {dealt.schema['conv_id'].dataType.simpleString()}, {WINDOW}")
 
