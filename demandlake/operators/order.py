@@ -13,8 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from .select import keys_at, selectable
 
 _PID_SHIFT = 33  # monotonically_increasing_id = (partition id << 33) + position
 
@@ -80,19 +82,26 @@ def time_split(df: DataFrame, order_cols: list, test_size: float = 0.2, val_size
 def rows_at(df: DataFrame, order_cols: list[str], positions, num_partitions: int | None = None) -> DataFrame:
     """One row: ``n`` and ``keys``, the order keys at the given positions of the total order.
 
-    ``positions(total)`` gives an array column. Only the key columns are indexed.
+    ``positions(n)`` gives a list. Keys of numbers and times are selected by counting
+    (``select.keys_at``); of keys of other types the key columns alone are indexed.
     """
+    if selectable(df, order_cols):
+        n, keys = keys_at(df, order_cols, positions)
+        got = [F.struct(*[k.alias(c) for k, c in zip(keys[r], order_cols)]) for r in sorted(keys)]
+        none = F.array().cast(T.ArrayType(df.select(*order_cols).schema))
+        return df.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), (F.array(*got) if got else none).alias("keys"))
+    n = df.count()
     ix = with_row_index(df.select(*order_cols), order_cols, "_idx", num_partitions, total_col="_total")
-    hit = F.array_contains(positions(F.col("_total")), F.col("_idx"))
+    hit = F.col("_idx").isin(*positions(n)) if positions(n) else F.lit(False)
     return ix.agg(F.max("_total").alias("n"), F.array_sort(F.collect_list(F.when(hit, F.struct(*order_cols)))).alias("keys"))
 
 
 def label_split(df: DataFrame, order_cols: list[str], test_size: float = 0.2, val_size: float = 0.2,
                 name: str = "split", num_partitions: int | None = None) -> DataFrame:
     """``time_split``'s label by two boundary keys: a projection, no shuffle of the rows themselves."""
-    def starts(total):
-        n_train, n_head = split_bounds(total, test_size, val_size)
-        return F.array(n_train, n_head)
+    def starts(n: int) -> list[int]:
+        n_test, n_val = int(n * test_size // 1), int(n * val_size // 1)
+        return [n - n_test - n_val, n - n_test]
 
     at = rows_at(df, order_cols, starts, num_partitions)
     n_train, n_head = split_bounds(F.col("n"), test_size, val_size)
@@ -107,9 +116,9 @@ def label_split(df: DataFrame, order_cols: list[str], test_size: float = 0.2, va
 
 def label_folds(df: DataFrame, order_cols: list[str], k: int = 5, num_partitions: int | None = None) -> DataFrame:
     """``ts_folds``' columns by k boundary keys: a projection, no shuffle of the rows themselves."""
-    def starts(total):
-        b = F.floor(total / F.lit(k + 1))
-        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: total - F.lit(k) * b + f * b)
+    def starts(n: int) -> list[int]:
+        b = n // (k + 1)
+        return [n - k * b + f * b for f in range(k)] if b else []
 
     at = rows_at(df, order_cols, starts, num_partitions)
     few = F.floor(F.col("n") / F.lit(k + 1)) <= 0
@@ -146,30 +155,44 @@ def fold_sets(folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return (folded.filter(F.col("train_from_fold") <= fold), folded.filter(F.col("test_fold") == fold))
 
 
-def tail_slice(df: DataFrame, order_cols: list, n: int = 5000, num_partitions: int | None = None) -> DataFrame:
-    """Last n rows, ascending in time (ties broken by the key in order_cols), for every n alike."""
-    ix = with_row_index(df, order_cols, "_idx", num_partitions, total_col="_total")
-    return ix.filter(F.col("_idx") >= F.col("_total") - n).orderBy("_idx").drop("_idx", "_total")
+def _from_key(df: DataFrame, order_cols: list[str], at: DataFrame, below: bool) -> DataFrame:
+    """Rows before (or from) the first key of ``at``; all (or none) if it has no key: a filter, no shuffle."""
+    bound = at.select(F.get("keys", F.lit(0)).alias("_key"))
+    key = F.struct(*order_cols)
+    keep = (F.col("_key").isNull() | (key < F.col("_key"))) if below else key >= F.col("_key")
+    return df.crossJoin(F.broadcast(bound)).where(keep).drop("_key")
+
 
+def tail_slice(df: DataFrame, order_cols: list[str], n: int = 5000, num_partitions: int | None = None) -> DataFrame:
+    """Last n rows, ascending in time (ties broken by the key in order_cols), for every n alike.
+
+    The key at which they begin is selected by counting; only the n rows are sorted.
+    """
+    at = rows_at(df, order_cols, lambda total: [max(0, total - n)] if n else [], num_partitions)
+    return _from_key(df, order_cols, at, below=False).orderBy(*order_cols)
 
-def head_slice(df: DataFrame, order_cols: list, n: int = 168, num_partitions: int | None = None) -> DataFrame:
+
+def head_slice(df: DataFrame, order_cols: list[str], n: int = 168, num_partitions: int | None = None) -> DataFrame:
     """First n rows, ascending in time, for every n alike."""
-    ix = with_row_index(df, order_cols, "_idx", num_partitions)
-    return ix.filter(F.col("_idx") < n).orderBy("_idx").drop("_idx")
+    at = rows_at(df, order_cols, lambda total: [n], num_partitions)
+    return _from_key(df, order_cols, at, below=True).orderBy(*order_cols)
+
+
+def sample_hash(key: str, seed: int) -> Column:
+    """60 bits of md5 of seed and key, as a long: the order in which samples take rows."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def exact_sample(df: DataFrame, key: str, n: int | None = None, fraction: float | None = None,
                  seed: int = 42, num_partitions: int | None = None) -> DataFrame:
-    """Repeatable sample without replacement of exactly n (or floor(N*fraction)) rows.
+    """Repeatable sample without replacement of exactly n (or floor(N*fraction)) rows of distinct keys.
 
-    Rows are ranked by a seeded hash of the key with the distributed row index,
-    so nested sizes nest.
+    Rows are taken in the order of a seeded hash of the key, so nested sizes nest; the hash at which a
+    sample ends is selected by counting, and the rows are filtered by it.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed)).alias("_h")
-    hashed = df.select("*", h)
-    ix = with_row_index(hashed, ["_h", key], "_rank", num_partitions, total_col="_total")
-    limit = F.lit(n) if n is not None else F.floor(F.col("_total") * F.lit(float(fraction)))
-    return ix.filter(F.col("_rank") < limit).drop("_h", "_rank", "_total")
+    hashed = df.withColumn("_h", sample_hash(key, seed))
+    at = rows_at(hashed, ["_h", key], lambda total: [n if n is not None else int(total * fraction // 1)], num_partitions)
+    return _from_key(hashed, ["_h", key], at, below=True).drop("_h")
 
 
 def synth_datetime(df: DataFrame, order_cols: list, start: str = "2011-01-01 00:00:00",

@@ -7,6 +7,7 @@ single scan regardless of how many statistics are asked for.
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import DAY_ORDER, SEASON_LABELS, WEATHER_LABELS, lookup
 from ..session import ensure_checkpoint_dir
-from .order import running_agg, with_row_index
+from .select import values_at
 
 QUARTILES = [0.25, 0.5, 0.75]
 MAX_BROADCAST_GROUPS = 10_000
@@ -25,6 +26,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def number(col) -> Column:
+    """The column as a double, NaN as null: statistics skip both alike."""
+    return F.nullif(_c(col).cast("double"), F.lit(float("nan")))
+
+
 def quantiles(col, probs: list[float], method: str = "exact", accuracy: int = 10000) -> Column:
     """Array of quantiles with linear interpolation.
 
@@ -37,51 +43,32 @@ def quantiles(col, probs: list[float], method: str = "exact", accuracy: int = 10
     return F.percentile(_c(col), probs)
 
 
-def rank_quantiles(df: DataFrame, col: str, probs: list[float], num_partitions: int | None = None) -> DataFrame:
-    """Exact interpolated quantiles of an unbounded-domain column without a value map.
+def rank_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
+    """Exact interpolated quantiles of one column; one row out, columns q0..qk."""
+    q = F.col(f"{col}__q")
+    return column_quantiles(df, [col], probs).select(*[q[i].alias(f"q{i}") for i in range(len(probs))])
 
-    Sorts the single column with the distributed row index and reads only the
-    two neighbouring ranks of each quantile; one row out, columns q0..qk.
-    """
-    vals = df.select(_c(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    ix = with_row_index(vals, ["v"], "r", num_partitions, total_col="n")
-    aggs = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [F.max(F.when(F.col("r") == lo, F.col("v"))).alias(f"lo{i}"),
-                 F.max(F.when(F.col("r") == hi, F.col("v"))).alias(f"hi{i}"),
-                 F.max(h - lo).alias(f"fr{i}")]
-    wanted = F.lit(False)
-    for p in probs:
-        h = (F.col("n") - 1) * F.lit(float(p))
-        wanted = wanted | (F.col("r") == F.floor(h)) | (F.col("r") == F.ceil(h))
-    picked = ix.filter(wanted).agg(*aggs)
-    return picked.select(*[(F.col(f"lo{i}") + F.col(f"fr{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}")
-                           for i in range(len(probs))])
-
-
-def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], num_partitions: int | None = None) -> DataFrame:
-    """One row with ``<col>__q``: exact interpolated quantiles of each column, for any number of distinct values.
-
-    Values are counted per column (partial aggregation absorbs coded ones), the
-    distinct values are ranked by a running sum over range partitions, and only
-    the values around each quantile's rank are kept.
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """One row with ``<col>__q``: exact interpolated quantiles of each column, null and NaN skipped (null array if nothing is left).
+
+    The two ranks around each quantile are selected by counting (``select.values_at``): no sort and
+    no shuffle of values, for any number of distinct ones.
     """
-    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols]))
-    counts = df.select(pairs).filter(F.col("_v").isNotNull()).groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_k"))
-    ranked = running_agg(counts, ["_col"], ["_v"], [("_cum", "sum", F.col("_k"), True)], num_partitions)
-    sizes = ranked.groupBy("_col").agg(F.max("_cum").alias("_n"))  # one row per column
-    at = ranked.join(F.broadcast(sizes), "_col")
-    picks, arrays = [], []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        for name, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            picks.append(F.max(F.when((F.col("_cum") - F.col("_k") <= r) & (r < F.col("_cum")), F.col("_v"))).alias(f"{name}{i}"))
-        picks.append(F.max(h - F.floor(h)).alias(f"fr{i}"))
-        arrays.append(F.col(f"lo{i}") + F.col(f"fr{i}") * (F.col(f"hi{i}") - F.col(f"lo{i}")))
-    per_col = at.groupBy("_col").agg(*picks).select("_col", F.array(*arrays).alias("_q"))
-    return per_col.agg(*[F.max(F.when(F.col("_col") == c, F.col("_q"))).alias(f"{c}__q") for c in cols])
+    def ranks(n: int) -> list[int]:
+        return [r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
+
+    got = values_at(df, {c: number(c) for c in cols}, dict.fromkeys(cols, ranks))
+    out = []
+    for c in cols:
+        n, at = got[c]
+        row = []
+        for p in probs if n else []:
+            h = (n - 1) * p
+            lo, hi = at[math.floor(h)][0], at[math.ceil(h)][0]
+            row.append(lo + (h - math.floor(h)) * (hi - lo) if hi != lo else lo)
+        out.append((F.array(*map(F.lit, row)) if n else F.lit(None)).cast("array<double>").alias(f"{c}__q"))
+    return df.sparkSession.range(1).select(*out)
 
 
 def describe_long(df: DataFrame, cols: list[str], ts_col: str | None = None) -> DataFrame:
@@ -96,7 +83,7 @@ def describe_long(df: DataFrame, cols: list[str], ts_col: str | None = None) ->
     quart = F.broadcast(column_quantiles(ranked, ranked.columns, QUARTILES))
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs).crossJoin(quart)
@@ -146,7 +133,7 @@ def quality_checks(df: DataFrame, record_cols: list[str], target: str = "cnt") -
 
 def dataset_summary(df: DataFrame, ts: str = "datetime", target: str = "cnt") -> DataFrame:
     """Shape, date range (ISO text) and target mean/std/min/max."""
-    y = F.col(target).cast("double")
+    y = number(target)
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     return df.agg(
         F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"),
@@ -157,7 +144,7 @@ def dataset_summary(df: DataFrame, ts: str = "datetime", target: str = "cnt") ->
 
 def target_moments(df: DataFrame, target: str = "cnt") -> DataFrame:
     """mean, median, std, min, max, bias-corrected skewness (G1) and excess kurtosis (G2)."""
-    y = F.col(target).cast("double")
+    y = number(target)
     mid = column_quantiles(df.select(y.alias("_y")), ["_y"], [0.5]).select(F.col("_y__q")[0].alias("median"))
     m = df.agg(F.count(y).alias("n"), F.avg(y).alias("mean"),
                F.stddev_samp(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max"),
@@ -171,9 +158,9 @@ def target_moments(df: DataFrame, target: str = "cnt") -> DataFrame:
 def group_profile(df: DataFrame, key, target: str = "cnt", with_std: bool = False, name: str | None = None) -> DataFrame:
     """Mean (and sample std) of the target per key value."""
     k = _c(key).alias(name or (key if isinstance(key, str) else "key"))
-    aggs = [F.avg(F.col(target).cast("double")).alias("mean")]
+    aggs = [F.avg(number(target)).alias("mean")]
     if with_std:
-        aggs.append(F.stddev_samp(F.col(target).cast("double")).alias("std"))
+        aggs.append(F.stddev_samp(number(target)).alias("std"))
     return df.groupBy(k).agg(*aggs)
 
 
@@ -188,14 +175,14 @@ def weekday_profile(df: DataFrame, ts: str = "datetime", target: str = "cnt") ->
 
 def workday_holiday_pivot(df: DataFrame, target: str = "cnt") -> DataFrame:
     """Mean target by workingday x holiday (columns holiday_0, holiday_1); empty cell -> 0."""
-    y = F.col(target).cast("double")
+    y = number(target)
     return df.groupBy("workingday").agg(
         *[F.coalesce(F.avg(F.when(F.col("holiday") == v, y)), F.lit(0.0)).alias(f"holiday_{v}") for v in (0, 1)])
 
 
 def weekend_effect(df: DataFrame, weekend: Column, target: str = "cnt") -> DataFrame:
     """mean(weekend) - mean(weekday) and its direction label."""
-    y = F.col(target).cast("double")
+    y = number(target)
     m = df.agg(F.avg(F.when(weekend, y)).alias("weekend_mean"), F.avg(F.when(~weekend, y)).alias("weekday_mean"))
     diff = F.col("weekend_mean") - F.col("weekday_mean")
     return m.select("weekend_mean", "weekday_mean", diff.alias("difference"),
@@ -203,9 +190,9 @@ def weekend_effect(df: DataFrame, weekend: Column, target: str = "cnt") -> DataF
 
 
 def safe_corr(a, b) -> Column:
-    """Pearson correlation; null (not an error) when either side is constant."""
-    x, y = _c(a).cast("double"), _c(b).cast("double")
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Pearson correlation of the rows where both sides have a value; null (not an error) when either is constant."""
+    x, y = number(a), number(b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -219,10 +206,17 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
             chunks.append([pair])
         else:
             chunks[-1] = own
-    out = None
+    out, gaps = None, df.agg(*[F.count_if(number(c).isNull()).alias(c) for c in cols]).first()
+    whole = {c for c in cols if not gaps[c]}  # deviations of whole columns serve all their pairs
+
+    def corr(a: str, b: str) -> Column:
+        if {a, b} <= whole:
+            return F.try_divide(F.covar_pop(number(a), number(b)), F.stddev_pop(number(a)) * F.stddev_pop(number(b)))
+        return safe_corr(a, b)
+
     for own in chunks:
-        wide = df.agg(*[(F.when(F.stddev_pop(F.col(a).cast("double")) > 0, F.lit(1.0)) if a == b
-                         else safe_corr(a, b)).alias(f"{a}__{b}") for a, b in own])
+        wide = df.agg(*[(F.when(F.stddev_pop(number(a)) > 0, F.lit(1.0)) if a == b
+                         else corr(a, b)).alias(f"{a}__{b}") for a, b in own])
         part = wide.select(F.inline(F.array(*[
             F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"{a}__{b}").alias("corr")) for a, b in own])))
         out = part if out is None else out.unionAll(part)
@@ -231,7 +225,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def target_correlation_rank(df: DataFrame, cols: list[str], target: str = "cnt", top: int = 10) -> DataFrame:
     """|corr| of each column with the target, largest first (target itself included); nulls last."""
-    wide = df.agg(*[(F.when(F.stddev_pop(F.col(c).cast("double")) > 0, F.lit(1.0)) if c == target
+    wide = df.agg(*[(F.when(F.stddev_pop(number(c)) > 0, F.lit(1.0)) if c == target
                      else safe_corr(c, target)).alias(c) for c in cols])
     long = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"),
                                                    F.abs(F.col(c)).alias("abs_corr")) for i, c in enumerate(cols)])))
@@ -252,7 +246,7 @@ def iqr_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
     # one-row bounds broadcast to every row, then one counting pass
     flagged = df.crossJoin(F.broadcast(stats))
     counts = flagged.agg(F.first("_n").alias("_n"), *[
-        F.count_if((F.col(c) < F.col(f"{c}__lo")) | (F.col(c) > F.col(f"{c}__hi"))).alias(c) for c in cols])
+        F.count_if((number(c) < F.col(f"{c}__lo")) | (number(c) > F.col(f"{c}__hi"))).alias(c) for c in cols])
     long = counts.select("_n", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("outliers"))
                                                   for c in cols])))
     return long.select("column", "outliers", (F.col("outliers") * 100.0 / F.col("_n")).alias("percentage"))
@@ -261,7 +255,7 @@ def iqr_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (per group): bin 1..bins, edges, count; max lands in the last bin."""
     by = by or []
-    x = F.col(col).cast("double")
+    x = number(col)
     rng = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")) if by else \
         df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     if by:
@@ -285,7 +279,7 @@ def box_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     joined = df.crossJoin(F.broadcast(column_quantiles(df, cols, QUARTILES)))
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[2]
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         aggs.append(F.struct(F.lit(c).alias("column"), F.first(q1).alias("q1"), F.first(F.col(f"{c}__q")[1]).alias("median"),
@@ -359,6 +353,7 @@ def insights(df: DataFrame, target: str = "cnt") -> DataFrame:
     corr = df.agg(safe_corr("temp", target).alias("tc"))
     wk = weekend_effect(df, F.weekday("datetime").isin(5, 6), target)
     one = peaks.crossJoin(labels).crossJoin(corr).crossJoin(wk)
+    # fixed values: the sentences, which must equal the reference's
     lines = F.array(
         F.concat(F.lit("Peak usage hours: "), F.col("peaks")),
         F.concat(F.lit("Best weather condition: "), F.col("best_weather_label")),
