@@ -1,11 +1,15 @@
-"""Data-parallel neural regressor (ReLU MLP, MSE, Adam) on Spark.
-
-Each epoch is one Spark job: the current weights and Adam moments are
-broadcast, every logical shard runs one pass of mini-batch Adam over its rows
-with NumPy inside ``mapInPandas``, block by block, and the results are
-averaged weighted by row count (model averaging). A second, forward-only job
-gives the validation loss; early stopping restores the best weights. Only
-model-sized vectors, one per shard, travel to the driver.
+"""Data-parallel neural regressors (ReLU MLP, MSE, Adam) on Spark, many models at a time.
+
+``pack`` deals the rows to shards of a fixed number of rows by a hash of their id and writes each
+shard as packed arrays to the shared checkpoint folder, once. An epoch of all models (the trials of a
+search, the folds of a validation, the sizes of a learning curve) is one Spark job; its unit of work
+is a model on a shard. Weights and Adam state are broadcast, a unit runs one pass of mini-batch Adam
+over its rows with NumPy, and results are averaged by rows: tasks add up their shards in a fixed
+order, a tree of Spark aggregations adds up the tasks, and a few model-sized vectors per model reach
+the driver. The same job gives the validation loss of the weights it starts from, so an epoch needs
+no second pass. Models stop singly, by their epochs or their patience, and get their best weights
+back. Shards follow the number of rows alone, so weights depend neither on partitions nor on the
+number of cores, and a table of one shard is trained as on one machine.
 """
 
 from __future__ import annotations
@@ -15,16 +19,22 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURE_COLS
-from ..session import ship_package
+from ..session import scratch_path, ship_package
 from . import evaluate as EV
 
+SHARD_ROWS = 16_384  # rows a unit of work holds
+MOST_GROUPS = 4096  # groups of consecutive shards that tasks work through in order
+FAN = 64  # partial results that one aggregation adds up
+NEVER = 1 << 30
+B1, B2, EPS = 0.9, 0.999, 1e-8
+
 
 def init_weights(n_in: int, hidden: tuple[int, ...], seed: int) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -32,7 +42,7 @@ def init_weights(n_in: int, hidden: tuple[int, ...], seed: int) -> list[np.ndarr
     ws = []
     for a, b in zip(sizes[:-1], sizes[1:]):
         bound = 1.0 / np.sqrt(a)
-        ws += [rng.uniform(-bound, bound, (a, b)), rng.uniform(-bound, bound, b)]
+        ws += [rng.uniform(-bound, bound, (a, b)).astype(np.float32), rng.uniform(-bound, bound, b).astype(np.float32)]
     return ws
 
 
@@ -41,26 +51,42 @@ def forward(ws: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, list[np.nd
     h = x
     n_layers = len(ws) // 2
     for i in range(n_layers):
-        z = h @ ws[2 * i] + ws[2 * i + 1]
-        h = np.maximum(z, 0.0) if i < n_layers - 1 else z
+        z = h @ ws[2 * i]
+        z += ws[2 * i + 1]
+        h = np.maximum(z, 0.0, out=z) if i < n_layers - 1 else z
         acts.append(h)
     return h[:, 0], acts
 
 
-def backward(ws: list[np.ndarray], acts: list[np.ndarray], d_out: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Gradients of the weights and of the inputs for upstream gradient d_out (shape n)."""
+def backward(ws: list[np.ndarray], acts: list[np.ndarray], d_out: np.ndarray, into: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Gradients of the weights (written to ``into`` if given) and of the inputs for upstream gradient d_out (shape n)."""
     n_layers = len(ws) // 2
-    grads = [None] * len(ws)
-    d = d_out[:, None]
+    grads = [np.empty_like(w) for w in ws] if into is None else into
+    d = d_out[:, None].astype(ws[0].dtype, copy=False)
     for i in reversed(range(n_layers)):
-        grads[2 * i] = acts[i].T @ d
-        grads[2 * i + 1] = d.sum(axis=0)
-        d = d @ ws[2 * i].T
-        if i > 0:
-            d = d * (acts[i] > 0)
+        np.matmul(acts[i].T, d, out=grads[2 * i])
+        np.sum(d, axis=0, out=grads[2 * i + 1])
+        if i or into is None:
+            d = d @ ws[2 * i].T
+        if i:
+            d *= acts[i] > 0
     return grads, d
 
 
+def _shapes(n_in: int, hidden: tuple[int, ...]) -> list[tuple[int, ...]]:
+    sizes = [n_in, *hidden, 1]
+    return [s for a, b in zip(sizes[:-1], sizes[1:]) for s in ((a, b), (b,))]
+
+
+def _views(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+    return [p.reshape(s) for p, s in zip(np.split(flat, cuts), shapes)]
+
+
+def _flat(ws: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([w.ravel() for w in ws])
+
+
 def _pack(ws: list[np.ndarray]) -> bytes:
     buf = io.BytesIO()
     np.savez(buf, *ws)
@@ -72,9 +98,9 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [z[f"arr_{i}"] for i in range(len(z.files))]
 
 
-def _frame_xy(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack(pdf["x"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, len(FEATURE_COLS)))
-    return x, pdf["label"].to_numpy(dtype=np.float64)
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths."""
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.zeros((0, len(FEATURE_COLS)))
 
 
 @dataclass
@@ -85,6 +111,7 @@ class MLPResult:
     history: list[tuple[int, float, float, float, bool]] = field(default_factory=list)
     seconds: float = 0.0
     best_epoch: int = 0
+    error: str | None = None
 
     def save(self, spark, path: str) -> None:
         row = (_pack(self.weights), self.y_mean, self.y_std, self.best_epoch)
@@ -103,17 +130,14 @@ class MLPResult:
         mu, sd = self.y_mean, self.y_std
         keep = [c for c in df.columns if c not in ("features",)]
         src = df.select(*keep, vector_to_array("features").alias("x"))
-        schema = src.drop("x").schema.add("y_pred", "double")
 
-        def run(it):
+        def run(batches):
             ws = _unpack(bc.value)
-            for pdf in it:
-                x, _ = _frame_xy(pdf)
-                out = pdf.drop(columns=["x"])
-                out["y_pred"] = forward(ws, x)[0] * sd + mu if len(pdf) else np.zeros(0)
-                yield out
+            for b in batches:
+                y = forward(ws, _matrix(b.column(len(keep))).astype(np.float32))[0].astype(np.float64) * sd + mu
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(y)], names=[*b.schema.names[:-1], "y_pred"])
 
-        return src.mapInPandas(run, schema).withColumn("y_true", F.col("label"))
+        return src.mapInArrow(run, src.drop("x").schema.add("y_pred", "double")).withColumn("y_true", F.col("label"))
 
     def metrics(self, df: DataFrame) -> DataFrame:
         return EV.regression_metrics(self.predict(df))
@@ -124,148 +148,357 @@ class MLPResult:
             "job_id long, epoch int, train_loss double, val_loss double, best_val_loss double, is_best boolean")
 
 
-def _xy(df: DataFrame) -> DataFrame:
-    return df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
+@dataclass(frozen=True)
+class Trial:
+    """One model: its settings, the rows it trains on (``train_from`` <= level) and those it watches (``held`` == watch)."""
 
+    hidden: tuple[int, ...] = (512, 256, 128, 64)
+    epochs: int = 30
+    batch_size: int = 64
+    lr: float = 1e-3
+    weight_decay: float = 1e-5
+    patience: int = 20
+    seed: int = 42
+    level: int = 0
+    watch: int = 0
 
-SHARDS = 8  # logical shards of the training rows; the model depends on them, not on partitions
-BLOCK_ROWS = 4096  # rows of a shard that a task holds and shuffles together
+    @property
+    def cost(self) -> float:
+        return sum(float(np.prod(s)) for s in _shapes(len(FEATURE_COLS), tuple(self.hidden))) * (1 + 64 / max(1, self.batch_size))
 
 
-def _shard_blocks(it, size: int = BLOCK_ROWS):
-    """(shard, number of the block, x, y) of rows sorted by shard, in blocks that end at the same rows however batches fall."""
-    shard, number, held, n = None, 0, [], 0
+@dataclass
+class Packed:
+    """Shards on file and, per level, the mean and deviation of the labels trained on."""
 
-    def flush():
-        return shard, number, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    units: DataFrame
+    shards: int
+    groups: int
+    stats: dict[int, tuple[float, float]]
 
-    for pdf in it:
-        x, y = _frame_xy(pdf)
-        ids = pdf["shard"].to_numpy()
-        at = 0
-        while at < len(ids):
-            if shard is not None and ids[at] != shard and n:
-                yield flush()
-                held, n = [], 0
-            if ids[at] != shard:
-                shard, number = ids[at], 0
-            z = at + min(size - n, int(np.searchsorted(ids[at:] != shard, True)) if (ids[at:] != shard).any() else len(ids) - at)
-            held.append((x[at:z], y[at:z]))
-            n += z - at
-            at = z
-            if n == size:
-                yield flush()
-                number, held, n = number + 1, [], 0
-    if n:
-        yield flush()
 
+def pack(rows: DataFrame, seed: int = 42, shards: int | None = None) -> Packed:
+    """Shards of (features, label, train_from, held): rows train models of level >= train_from (null: none) and are watched by models with watch == held.
 
-def fit_mlp(splits, hidden: tuple[int, ...] = (512, 256, 128, 64), epochs: int = 30, batch_size: int = 64, lr: float = 1e-3,
-            weight_decay: float = 1e-5, patience: int = 20, seed: int = 42, shards: int = SHARDS,
-            on_epoch_end=None) -> MLPResult:
-    """Train on ``splits.train`` with early stopping on ``splits.val`` (none if it is empty).
-
-    Rows belong to ``shards`` logical shards by a hash of their id and are sorted in them once, so
-    the result does not depend on the partitioning. In an epoch each shard runs mini-batch Adam over
-    its rows block by block from the common weights and moments; weights and moments are then
-    averaged by rows, so there is one optimiser state that lives as long as the training.
+    A shard of more than twice its share (many rows of one id) is cut into pieces in order.
     """
-    spark = splits.train.sparkSession
-    sc = spark.sparkContext
+    spark = rows.sparkSession
     ship_package(spark)
-    st = splits.train.agg(F.avg("label").alias("mu"), F.stddev_pop("label").alias("sd")).first()
-    # standardise the target with train statistics; losses are reported in target units
-    mu, sd = float(st["mu"]), float(st["sd"] or 1.0) or 1.0
-    place = F.xxhash64("event_id", F.lit(seed)) if "event_id" in splits.train.columns else F.xxhash64(vector_to_array("features"), "label")
-    train = splits.train.select(vector_to_array("features").alias("x"), ((F.col("label").cast("double") - mu) / sd).alias("label"),
-                                place.alias("place")).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
-    train = train.repartition(shards, "shard").sortWithinPartitions("shard", "place").drop("place").persist(StorageLevel.MEMORY_AND_DISK)
-    val = _xy(splits.val).withColumn("label", (F.col("label") - mu) / sd).persist(StorageLevel.MEMORY_AND_DISK)
-    ws = init_weights(len(FEATURE_COLS), tuple(hidden), seed)
-    ms, vs, steps = [np.zeros_like(w) for w in ws], [np.zeros_like(w) for w in ws], 0.0
-    best_ws, best_loss, since_best = [w.copy() for w in ws], float("inf"), 0
-    result = MLPResult(weights=ws, y_mean=mu, y_std=sd)
-    t0 = time.time()
-    for epoch in range(epochs):
-        bc = sc.broadcast(_pack([*ws, *ms, *vs]))
-
-        def local_epoch(it, bc=bc, epoch=epoch, steps=steps):
-            b1, b2, eps = 0.9, 0.999, 1e-8
-            state = None
-
-            def done():
-                return pd.DataFrame({"shard": [state[0]], "n": [state[1]], "loss_sum": [state[2]], "steps": [state[3]], "blob": [_pack([*state[4], *state[5], *state[6]])]})
-
-            for shard, number, x, y in _shard_blocks(it):
-                if state is None or state[0] != shard:
-                    if state is not None:
-                        yield done()
-                    a = _unpack(bc.value)
-                    k = len(a) // 3
-                    state = [shard, 0, 0.0, steps, a[:k], a[k:2 * k], a[2 * k:]]
-                w, m, v = state[4:]
-                order = np.random.default_rng([seed, epoch, int(shard), number]).permutation(len(y))
-                for s in range(0, len(y), batch_size):
-                    idx = order[s:s + batch_size]
-                    out, acts = forward(w, x[idx])
-                    err = out - y[idx]
-                    state[2] += float(np.sum(err ** 2))
-                    grads, _ = backward(w, acts, 2.0 * err / len(idx))
-                    state[3] += 1
-                    for i in range(len(w)):
-                        g = grads[i] + weight_decay * w[i]
-                        m[i] = b1 * m[i] + (1 - b1) * g
-                        v[i] = b2 * v[i] + (1 - b2) * g * g
-                        mh, vh = m[i] / (1 - b1 ** state[3]), v[i] / (1 - b2 ** state[3])
-                        w[i] = w[i] - lr * mh / (np.sqrt(vh) + eps)
-                state[1] += len(y)
-            if state is not None:
-                yield done()
-
-        # one model-sized row per shard; ``shards`` is a small fixed number
-        rows = sorted(train.mapInPandas(local_epoch, "shard int, n long, loss_sum double, steps double, blob binary").collect(), key=lambda r: r["shard"])
-        total = sum(r["n"] for r in rows)
-        mean = None
-        for r in rows:
-            part = [a * (r["n"] / total) for a in _unpack(r["blob"])]
-            mean = part if mean is None else [a + b for a, b in zip(mean, part)]
-        k = len(ws)
-        ws, ms, vs = mean[:k], mean[k:2 * k], mean[2 * k:]
-        steps = sum(r["steps"] * r["n"] for r in rows) / total
-        train_loss = sum(r["loss_sum"] for r in rows) / total * sd * sd
-        vb = sc.broadcast(_pack(ws))
-
-        def val_sse(it, vb=vb):
-            w = _unpack(vb.value)
-            sse, n = 0.0, 0
-            for pdf in it:
-                x, y = _frame_xy(pdf)
-                if len(y):
-                    sse += float(np.sum((forward(w, x)[0] - y) ** 2))
-                    n += len(y)
-            yield pd.DataFrame({"sse": [sse], "n": [n]})
-
-        agg = val.mapInPandas(val_sse, "sse double, n long").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n")).first()
-        watched = bool(agg["n"])
-        val_loss = float(agg["sse"] / agg["n"]) * sd * sd if watched else float("nan")
-        is_best = val_loss < best_loss or not watched
+    place = F.xxhash64("event_id", F.lit(seed)) if "event_id" in rows.columns else F.xxhash64(vector_to_array("features"), "label")
+    flat = rows.select(vector_to_array("features").cast("array<float>").alias("x"), F.col("label").cast("double").alias("y"), F.coalesce("train_from", F.lit(NEVER)).cast("int").alias("train_from"),
+                       F.coalesce("held", F.lit(-1)).cast("int").alias("held"), place.alias("place"))
+    per_level = flat.groupBy("train_from").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v")).collect()  # a row per fold or size
+    shards = shards or max(1, -(-sum(r.n for r in per_level) // SHARD_ROWS))
+    groups = min(shards, MOST_GROUPS)
+    shard = F.pmod("place", F.lit(shards)).cast("long")
+    dealt = flat.withColumns({"shard": shard, "grp": F.floor(shard * groups / shards).cast("int")}).repartition(groups, "grp").sortWithinPartitions("shard", "place", "y")
+    most = 2 * SHARD_ROWS
+
+    def run(batches):
+        key, held, n, piece = None, [], 0, 0
+
+        def out():
+            t = [np.concatenate([h[i] for h in held]) for i in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array([key[1]], pa.int32()), pa.array([key[0]], pa.int64()), pa.array([piece], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in t]],
+                                              names=["grp", "shard", "piece", "x", "y", "train_from", "held"])
+
+        for b in batches:
+            x = _matrix(b.column(0)).astype("<f4")
+            y, start, watch, of, grp = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("y", "train_from", "held", "shard", "grp"))
+            edges = np.flatnonzero(np.diff(of)) + 1
+            for a, z in zip([0, *edges], [*edges, len(of)]):
+                if a == z:
+                    continue
+                own = (int(of[a]), int(grp[a]))
+                if own != key:
+                    if n:
+                        yield out()
+                    key, held, n, piece = own, [], 0, 0
+                while a < z:
+                    to = min(z, a + most - n)
+                    held.append((x[a:to], y[a:to].astype("<f8"), start[a:to].astype("<i4"), watch[a:to].astype("<i4")))
+                    n, a = n + to - a, to
+                    if n == most:
+                        yield out()
+                        held, n, piece = [], 0, piece + 1
+        if n:
+            yield out()
+
+    path = scratch_path(spark, "mlp-shards")
+    schema = "grp int, shard long, piece int, x binary, y binary, train_from binary, held binary"
+    dealt.mapInArrow(run, schema).write.parquet(path)
+    stats, n, m, v = {}, 0, 0.0, 0.0
+    for r in sorted(per_level, key=lambda r: r.train_from):  # pooled over levels up to this one
+        if r.train_from == NEVER:
+            continue
+        gap, both = r.m - m, n + r.n
+        v = (n * v + r.n * r.v) / both + gap * gap * n * r.n / both**2
+        m, n = m + gap * r.n / both, both
+        stats[r.train_from] = (m, float(np.sqrt(v)) or 1.0)
+    return Packed(spark.read.schema(schema).parquet(path), shards, groups, stats)
+
+
+def _level_stats(packed: Packed, level: int) -> tuple[float, float]:
+    upto = [k for k in packed.stats if k <= level]
+    if not upto:
+        raise ValueError("no rows to train on")
+    return packed.stats[max(upto)]
+
+
+def _unit(row: dict, trial: Trial, mu: float, sd: float, watched: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(x, standardised y) of the rows of a shard that a trial trains on or watches."""
+    x = np.frombuffer(row["x"], "<f4").reshape(-1, len(FEATURE_COLS))
+    y = np.frombuffer(row["y"], "<f8")
+    use = np.frombuffer(row["held"], "<i4") == trial.watch if watched else np.frombuffer(row["train_from"], "<i4") <= trial.level
+    if not use.all():
+        x, y = x[use], y[use]
+    return x, ((y - mu) / sd).astype(np.float32)
+
+
+def _train(trial: Trial, state: tuple[np.ndarray, np.ndarray, np.ndarray, float], x: np.ndarray, y: np.ndarray, key: list[int]) -> tuple[np.ndarray, float, float]:
+    """One pass of mini-batch Adam over a shard: (weights, means and squares end to end, sum of squared errors, steps)."""
+    shapes = _shapes(x.shape[1], tuple(trial.hidden))
+    w, m, v = (a.copy() for a in state[:3])
+    g, tmp = np.empty_like(w), np.empty_like(w)
+    ws, gs, steps, sse = _views(w, shapes), _views(g, shapes), state[3], 0.0
+    order = np.random.default_rng(key).permutation(len(y))
+    for s in range(0, len(y), trial.batch_size):
+        idx = order[s:s + trial.batch_size]
+        out, acts = forward(ws, x[idx])
+        err = out - y[idx]
+        sse += float(err @ err)
+        backward(ws, acts, err * np.float32(2.0 / len(idx)), gs)
+        steps += 1
+        np.multiply(w, np.float32(trial.weight_decay), out=tmp)
+        g += tmp
+        m *= np.float32(B1)
+        m += np.multiply(g, np.float32(1 - B1), out=tmp)
+        v *= np.float32(B2)
+        np.multiply(g, g, out=tmp)
+        v += np.multiply(tmp, np.float32(1 - B2), out=tmp)
+        np.sqrt(v, out=tmp)
+        tmp *= np.float32(1 / np.sqrt(1 - B2**steps))
+        tmp += np.float32(EPS)
+        np.divide(m, tmp, out=tmp)
+        tmp *= np.float32(trial.lr / (1 - B1**steps))
+        w -= tmp
+    return np.concatenate([w, m, v]), sse, steps
+
+
+_PART = "trial int, grp int, train_n long, train_sse double, steps double, val_n long, val_sse double, seconds double, error string, blob binary"
+
+
+def _added(parts: list) -> tuple | None:
+    """Sum of partial results (train_n, train_sse, steps, val_n, val_sse, seconds, error, blob) in the order given; blobs and steps come weighted by rows."""
+    total, blob = [0, 0.0, 0.0, 0, 0.0, 0.0], None
+    error = next((p[6] for p in parts if p[6]), None)
+    for p in parts:
+        total = [a + b for a, b in zip(total, p[:6])]
+        if p[7]:
+            own = np.frombuffer(p[7], "<f8")
+            blob = own.copy() if blob is None else blob + own
+    return (*total, error, None if blob is None else blob.tobytes())
+
+
+def _tree(parts: DataFrame, groups: int) -> list:
+    """Rows per trial and group, added up in Spark until at most FAN groups are left."""
+    names = ["train_n", "train_sse", "steps", "val_n", "val_sse", "seconds", "error", "blob"]
+    schema = pa.schema([("trial", pa.int32()), ("grp", pa.int32()), ("train_n", pa.int64()), ("train_sse", pa.float64()), ("steps", pa.float64()), ("val_n", pa.int64()), ("val_sse", pa.float64()),
+                        ("seconds", pa.float64()), ("error", pa.string()), ("blob", pa.binary())])
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("grp")
+        got = _added(list(zip(*[t.column(c).to_pylist() for c in names])))
+        return pa.Table.from_pylist([{"trial": t.column("trial")[0].as_py(), "grp": t.column("grp")[0].as_py() // FAN, **dict(zip(names, got))}], schema=schema)
+
+    while groups > FAN:
+        parts = parts.groupBy("trial", F.floor(F.col("grp") / FAN).alias("_to")).applyInArrow(add, _PART)
+        groups = -(-groups // FAN)
+    return sorted(parts.collect(), key=lambda r: (r.trial, r.grp))
+
+
+@dataclass
+class _State:
+    trial: Trial
+    result: MLPResult
+    held: tuple[np.ndarray, np.ndarray, np.ndarray, float]  # weights, means, squares, steps
+    trained: int = 0  # epochs trained
+    losses: list[float] = field(default_factory=list)
+    best: np.ndarray | None = None
+    best_loss: float = float("inf")
+    since: int = 0
+    done: bool = False
+
+
+def _failed(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:500]
+
+
+def fit_many(packed: Packed, trials: list[Trial], on_epoch_end=None) -> list[MLPResult]:
+    """Train all trials, one job per epoch; a trial that fails has its ``error`` set and no weights."""
+    spark = packed.units.sparkSession
+    sc = spark.sparkContext
+    states: list[_State] = []
+    for t in trials:
+        try:
+            mu, sd = _level_stats(packed, t.level)
+            ws = init_weights(len(FEATURE_COLS), tuple(t.hidden), t.seed)
+            w = _flat(ws)
+            states.append(_State(t, MLPResult(ws, mu, sd), (w, np.zeros_like(w), np.zeros_like(w), 0.0), best=w, done=t.epochs <= 0))
+        except Exception as e:  # noqa: BLE001 - one model's failure does not end the others
+            states.append(_State(t, MLPResult([], error=_failed(e)), (None, None, None, 0.0), done=True))
+    live = [i for i, s in enumerate(states) if not s.done]
+    # few shards: spread the models over tasks too; costly ones are dealt first
+    decks = max(1, min(len(live), -(-4 * sc.defaultParallelism // packed.groups)))
+    deck_of = {i: k % decks for k, i in enumerate(sorted(live, key=lambda i: -trials[i].cost))}
+    units = packed.units.crossJoin(F.broadcast(spark.range(decks).select(F.col("id").cast("int").alias("deck")))) if decks > 1 else packed.units.withColumn("deck", F.lit(0))
+    slots = max(1, min(packed.groups * decks, 4 * sc.defaultParallelism) if decks > 1 else packed.groups)
+    units = units.withColumn("slot", F.col("grp") * decks + F.col("deck")).repartitionById(slots, F.pmod("slot", F.lit(slots)).cast("int")).sortWithinPartitions("slot", "shard", "piece").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        while live:
+            told = [len(states[i].result.history) for i in live]
+            _epoch(units, packed, states, live, deck_of)
+            for i, n in zip(live, told):
+                for e, tl, vl, best, is_best in states[i].result.history[n:] if on_epoch_end is not None else []:
+                    on_epoch_end({"epoch": e, "train_loss": tl, "val_loss": vl, "best_val_loss": best, "is_best": is_best})
+            live = [i for i in live if not states[i].done]
+    finally:
+        units.unpersist()
+    for s in states:
+        if s.result.error is None:
+            s.result.weights = [w.copy() for w in _views(s.best, _shapes(len(FEATURE_COLS), tuple(s.trial.hidden)))]
+    return [s.result for s in states]
+
+
+def _epoch(units: DataFrame, packed: Packed, states: list[_State], live: list[int], deck_of: dict[int, int]) -> None:
+    """One job: a pass of training for trials with epochs left, and the watched loss of the weights it starts from."""
+    sent = {i: (states[i].trial, deck_of[i], states[i].result.y_mean, states[i].result.y_std, states[i].trained, states[i].held) for i in live}
+    bc = units.sparkSession.sparkContext.broadcast(sent)
+
+    def run(batches):
+        work, slot, sums = bc.value, None, {}
+
+        def done():
+            cols = list(zip(*[(i, grp, *got) for i, (grp, got) in sorted(sums.items())]))
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in _PART.split(", ")])
+
+        for b in batches:
+            for row in b.to_pylist():
+                if slot != row["slot"] and sums:
+                    yield done()
+                    sums = {}
+                slot = row["slot"]
+                for i, (trial, deck, mu, sd, trained, held) in work.items():
+                    if deck != row["deck"]:
+                        continue
+                    start, part = time.perf_counter(), None
+                    try:
+                        part = _unit_result(row, trial, mu, sd, trained, held)
+                    except Exception as e:  # noqa: BLE001 - reported with the trial
+                        part = (0, 0.0, 0.0, 0, 0.0, 0.0, _failed(e), None)
+                    part = (*part[:5], time.perf_counter() - start, *part[6:])
+                    sums[i] = (row["grp"], part if i not in sums else _added([sums[i][1], part]))
+        if sums:
+            yield done()
+
+    parts: dict[int, list] = {}
+    for r in _tree(units.mapInArrow(run, _PART), packed.groups):
+        parts.setdefault(r.trial, []).append(tuple(r)[2:])
+    bc.unpersist()
+    for i in live:
+        _advance(states[i], _added(parts.get(i, [])))
+
+
+def _unit_result(row: dict, trial: Trial, mu: float, sd: float, trained: int, held: tuple) -> tuple:
+    watch_n, watch_sse, train_n, train_sse, steps, blob = 0, 0.0, 0, 0.0, 0.0, None
+    if trained:
+        x, y = _unit(row, trial, mu, sd, watched=True)
+        if len(y):
+            err = (forward(_views(held[0], _shapes(x.shape[1], tuple(trial.hidden))), x)[0] - y).astype(np.float64)
+            watch_n, watch_sse = len(y), float(err @ err)
+    if trained < trial.epochs:
+        x, y = _unit(row, trial, mu, sd, watched=False)
+        if len(y):
+            got, train_sse, steps = _train(trial, held, x, y, [trial.seed, trained, row["shard"], row["piece"]])
+            train_n, steps, blob = len(y), steps * len(y), (got.astype(np.float64) * len(y)).tobytes()
+    return train_n, train_sse, steps, watch_n, watch_sse, 0.0, None, blob
+
+
+def _advance(s: _State, got: tuple) -> None:
+    """Take over an epoch's sums: the loss of the weights before it, early stopping, and the averaged weights."""
+    train_n, train_sse, steps, val_n, val_sse, seconds, error, blob = got
+    r, var = s.result, s.result.y_std ** 2
+    r.seconds += seconds
+    if error:
+        r.error, s.done = error, True
+        return
+    if s.trained:
+        epoch = s.trained - 1
+        loss = val_sse / val_n * var if val_n else float("nan")
+        is_best = loss < s.best_loss or not val_n
         if is_best:
-            best_loss, best_ws, since_best, result.best_epoch = val_loss, [w.copy() for w in ws], 0, epoch
+            s.best, s.best_loss, s.since, r.best_epoch = s.held[0], loss, 0, epoch
         else:
-            since_best += 1
-        result.history.append((epoch, train_loss, val_loss, best_loss, is_best))
-        if on_epoch_end is not None:
-            on_epoch_end({"epoch": epoch, "train_loss": train_loss, "val_loss": val_loss,
-                          "best_val_loss": best_loss, "is_best": is_best})
-        bc.unpersist()
-        vb.unpersist()
-        if watched and since_best >= patience:
-            break
-    result.seconds = time.time() - t0
-    result.weights = best_ws
-    train.unpersist()
-    val.unpersist()
-    return result
+            s.since += 1
+        r.history.append((epoch, s.losses[epoch], loss, s.best_loss, is_best))
+        if s.trained >= s.trial.epochs or (val_n and s.since >= s.trial.patience):
+            s.done = True
+            return
+    if not train_n:
+        r.error, s.done = "no rows to train on", True
+        return
+    w, m, v = np.split((np.frombuffer(blob, "<f8") / train_n).astype(np.float32), 3)
+    s.held, s.trained = (w, m, v, steps / train_n), s.trained + 1
+    s.losses.append(train_sse / train_n * var)
+
+
+def score_many(packed: Packed, trials: list[Trial], results: list[MLPResult]) -> list[dict[str, tuple[int, float]]]:
+    """Per trial (rows, r2) of its best weights on the rows it trained on (``train``) and watched (``held``): one job for all."""
+    sent = {i: (t, r.y_mean, r.y_std, r.weights) for i, (t, r) in enumerate(zip(trials, results)) if r.error is None}
+    bc = packed.units.sparkSession.sparkContext.broadcast(sent)
+
+    def run(batches):
+        sums = {}
+        for b in batches:
+            for row in b.to_pylist():
+                for i, (trial, mu, sd, ws) in bc.value.items():
+                    for watched in (False, True):
+                        x, y = _unit(row, trial, mu, sd, watched)
+                        if len(y):
+                            err, y = (forward(ws, x)[0] - y).astype(np.float64), y.astype(np.float64)
+                            got = np.array([len(y), err @ err, y.sum(), y @ y])
+                            sums[i, watched] = sums.get((i, watched), 0) + got
+        cols = list(zip(*[(i, w, *map(float, v)) for (i, w), v in sums.items()])) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.bool_(), *[pa.float64()] * 4])], names=["trial", "watched", "n", "sse", "s", "q"])
+
+    rows = packed.units.mapInArrow(run, "trial int, watched boolean, n double, sse double, s double, q double").groupBy("trial", "watched").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "s", "q")]).collect()
+    out: list[dict] = [{} for _ in trials]
+    for r in rows:
+        sst = r.q - r.s * r.s / r.n
+        out[r.trial]["held" if r.watched else "train"] = (int(r.n), 1 - r.sse / sst if sst > 0 else float(r.sse == 0))
+    return out
+
+
+def pack_splits(splits, seed: int = 42, shards: int | None = None) -> Packed:
+    """Train rows at level 0, watched by none; validation rows watched by all."""
+    id_cols = ["event_id"] if "event_id" in splits.train.columns else []
+    columns = [*id_cols, "features", "label"]
+    train = splits.train.select(*columns, F.lit(0).alias("train_from"), F.lit(None).cast("int").alias("held"))
+    return pack(train.unionAll(splits.val.select(*columns, F.lit(None).cast("int"), F.lit(0))), seed, shards)
+
+
+def fit_mlp(splits, hidden: tuple[int, ...] = (512, 256, 128, 64), epochs: int = 30, batch_size: int = 64, lr: float = 1e-3,
+            weight_decay: float = 1e-5, patience: int = 20, seed: int = 42, shards: int | None = None,
+            on_epoch_end=None) -> MLPResult:
+    """Train one network on ``splits.train`` with early stopping on ``splits.val`` (none if it is empty)."""
+    trial = Trial(tuple(hidden), epochs, batch_size, lr, weight_decay, patience, seed)
+    t0 = time.time()
+    res = fit_many(pack_splits(splits, seed, shards), [trial], on_epoch_end)[0]
+    if res.error is not None:
+        raise ValueError(res.error)
+    res.seconds = time.time() - t0
+    return res
 
 
 def gradient_importance(result: MLPResult, df: DataFrame, n_rows: int | None = None, seed: int = 42) -> DataFrame:
@@ -282,17 +515,16 @@ def gradient_importance(result: MLPResult, df: DataFrame, n_rows: int | None = N
     sd = result.y_std
     names = list(FEATURE_COLS)
 
-    def grads(it):
+    def grads(batches):
         w = _unpack(bc.value)
         total, n = np.zeros(len(names)), 0
-        for pdf in it:
-            if len(pdf):
-                x, _ = _frame_xy(pdf)
-                _, dx = backward(w, forward(w, x)[1], np.ones(len(x)))
-                total += np.abs(dx).sum(0) * sd
-                n += len(x)
-        yield pd.DataFrame({"feature": names, "total": total, "n": n})
-
-    long = _xy(rows).mapInPandas(grads, "feature string, total double, n long")
+        for b in batches:
+            x = _matrix(b.column(0)).astype(np.float32)
+            _, dx = backward(w, forward(w, x)[1], np.ones(len(x), np.float32))
+            total += np.abs(dx).sum(0, dtype=np.float64) * sd
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array(np.full(len(names), n))], names=["feature", "total", "n"])
+
+    long = rows.select(vector_to_array("features").alias("x")).mapInArrow(grads, "feature string, total double, n long")
     return (long.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("importance"))
             .orderBy(F.col("importance").desc(), "feature"))

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions.features import assemble, feature_table
 from ..schema import FEATURE_COLS, SCALED_COLS
+from ..sources import manifest
 from . import evaluate as EV
-from .order import exact_sample, label_folds, label_split
+from .order import exact_sample, label_folds, label_split, rows_at, sample_hash
 from .scaling import apply_scaler, fit_scaler
 
 
@@ -46,6 +47,18 @@ class Splits:
         self.unpersist()
 
 
+PARTITION_ROWS, PARTITIONS, MOST_PARTITION_ROWS = 16_384, 4096, 1 << 20
+
+
+def deal(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows in partitions that depend on their number and ids alone, so models that sample per partition do not depend on the machine.
+
+    Partitions hold PARTITION_ROWS rows while they are fewer than PARTITIONS, then grow up to MOST_PARTITION_ROWS.
+    """
+    size = max(PARTITION_ROWS, min(-(-n // PARTITIONS), MOST_PARTITION_ROWS))
+    return rows.repartition(max(1, -(-n // size)), key).sortWithinPartitions(key)
+
+
 def prepare_splits(demand: DataFrame, key: str = "event_id", test_size: float = 0.15, val_size: float = 0.15,
                    fit_scaler_on: str = "train", target: str = "cnt") -> Splits:
     """Features, chronological split, scaler fitted on train (or 'all' for parity), assembled vectors."""
@@ -55,11 +68,7 @@ def prepare_splits(demand: DataFrame, key: str = "event_id", test_size: float =
                        SCALED_COLS)
     scaled = apply_scaler(labelled, state, SCALED_COLS, as_float=True)
     ready = assemble(scaled.withColumn("label", F.col(target).cast("double"))).select(key, "split", "features", "label")
-    # an input of a file or two would leave most cores idle in every boosting round
-    few = max(1, demand.sparkSession.sparkContext.defaultParallelism // 2)
-    if ready.rdd.getNumPartitions() < few:
-        ready = ready.repartition(few, key)
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
+    ready = deal(ready, demand.count(), key).persist(StorageLevel.MEMORY_AND_DISK)
     parts = [ready.filter(F.col("split") == s) for s in ("train", "val", "test")]
     return Splits(*parts, scaler=state, held=ready)
 
@@ -178,8 +187,17 @@ def cross_validate(demand: DataFrame, name: str, k: int = 5, key: str = "event_i
     ft = feature_table(demand, keep=[key, "datetime"])
     folded = label_folds(ft, ["datetime", key], k)
     ready = assemble(folded.withColumn("label", F.col("cnt").cast("double"))).select(
-        key, "test_fold", "train_from_fold", "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        key, "test_fold", "train_from_fold", "features", "label")
     scores = []
+    if name == "mlp":  # all folds at a time
+        from . import mlp
+
+        packed = mlp.pack(ready.select(F.col(key).alias("event_id"), "features", "label", F.col("train_from_fold").alias("train_from"), F.col("test_fold").alias("held")))
+        trials = [_trial(kw, level=f, watch=f) for f in range(k)]
+        results = _trained(packed, trials)
+        scores = [(f, own["held"][1], res.seconds) for f, (own, res) in enumerate(zip(mlp.score_many(packed, trials, results), results))]
+        return _cv_table(spark, scores)
+    ready = deal(ready, demand.count(), key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for f in range(k):
             test = ready.filter(F.col("test_fold") == f)
@@ -187,15 +205,25 @@ def cross_validate(demand: DataFrame, name: str, k: int = 5, key: str = "event_i
             scores.append((f, float(metrics(test).first()["r2"]), float(secs)))
     finally:
         ready.unpersist()
+    return _cv_table(spark, scores)
+
+
+def _cv_table(spark: SparkSession, scores: list[tuple[int, float, float]]) -> DataFrame:
     fold_df = spark.createDataFrame(scores, "fold int, r2 double, training_time double")
     return EV.cv_summary(fold_df, "r2", "training_time").crossJoin(
         fold_df.agg(F.sort_array(F.collect_list(F.struct("fold", "r2"))).alias("scores")))
 
 
 def learning_curve(splits: Splits, name: str, sizes=(0.1, 0.25, 0.5, 0.75, 1.0), seed: int = 42, **kw) -> DataFrame:
-    """Fit on nested hash-ranked subsets of train; score train subset and validation r2."""
+    """Fit on nested hash-ranked subsets of train; score train subset and validation r2.
+
+    The networks of all sizes are trained at a time.
+    """
     spark = splits.train.sparkSession
     rows = []
+    if name == "mlp":
+        rows = _network_curve(splits, list(sizes), seed, kw)
+        sizes = ()
     for s in sizes:
         sub = splits.train
         if s < 1.0:  # the sample of the keys alone is ranked; features never move
@@ -209,6 +237,39 @@ def learning_curve(splits: Splits, name: str, sizes=(0.1, 0.25, 0.5, 0.75, 1.0),
     return spark.createDataFrame(rows, "size double, n_train long, train_r2 double, val_r2 double, training_time double")
 
 
+def _trial(params: dict, **own):
+    from .mlp import Trial
+
+    return Trial(**{**params, **({"hidden": tuple(params["hidden"])} if "hidden" in params else {}), **own})
+
+
+def _trained(packed, trials: list) -> list:
+    from .mlp import fit_many
+
+    results = fit_many(packed, trials)
+    for r in results:
+        if r.error is not None:
+            raise ValueError(r.error)
+    return results
+
+
+def _network_curve(splits: Splits, sizes: list[float], seed: int, kw: dict) -> list[tuple]:
+    """(size, rows, train r2, validation r2, seconds) per size: a row's level is the smallest size whose sample holds it."""
+    from . import mlp
+
+    n = splits.train.count()
+    starts = sorted({int(n * s) for s in sizes if int(n * s) < n})  # ranks at which a larger sample begins
+    hashed = splits.train.select("event_id", "features", "label", sample_hash("event_id", seed).alias("_h"))
+    at = rows_at(hashed, ["_h", "event_id"], lambda total: starts).select("keys")  # one key per size
+    key = F.struct("_h", "event_id")
+    level = F.size(F.filter("keys", lambda k: k <= key))
+    train = hashed.crossJoin(F.broadcast(at)).select("event_id", "features", "label", level.alias("train_from"), F.lit(None).cast("int").alias("held"))
+    packed = mlp.pack(train.unionAll(splits.val.select("event_id", "features", "label", F.lit(None).cast("int"), F.lit(0))), kw.get("seed", 42))
+    trials = [_trial(kw, level=starts.index(int(n * s)) if int(n * s) < n else len(starts)) for s in sizes]
+    results = _trained(packed, trials)
+    return [(float(s), own["train"][0], own["train"][1], own["held"][1], res.seconds) for s, own, res in zip(sizes, mlp.score_many(packed, trials, results), results)]
+
+
 def sample_params(space: dict[str, list], n: int, seed: int = 42, method: str = "random") -> list[dict]:
     """Grid (first n combinations) or seeded random draws from a small parameter space (driver side)."""
     import itertools
@@ -239,32 +300,58 @@ def tune_model(splits: Splits, name: str, space: dict[str, list], n_trials: int
                seed: int = 42, timeout_s: float | None = None) -> DataFrame:
     """Search scored by validation r2, for Spark ML models and the network (``mlp``).
 
-    A failed trial scores -inf and says why in ``error``. With ``timeout_s``, a slower trial is
-    marked ``timed_out``; its score stays.
+    The networks of a phase are trained at a time, one job per epoch; a network's ``training_time``
+    is what its units of work took together. A failed trial scores -inf and says why in ``error``.
+    With ``timeout_s``, a slower trial is marked ``timed_out``; its score stays.
     """
     spark = splits.train.sparkSession
     params = sample_params(space, max(1, n_trials // 2), seed) if method == "two_phase" else sample_params(space, n_trials, seed, method)
     results = []
+    run = _network_trials(splits) if name == "mlp" else lambda ps: [_ml_trial(name, splits, p) for p in ps]
 
-    def run(i: int, p: dict, phase: str) -> None:
-        error = None
-        try:
-            metrics, secs = fit_any(name, splits, **p)
-            r2 = float(metrics(splits.val).first()["r2"])
-        except Exception as e:  # noqa: BLE001 - one trial's failure does not end the search
-            r2, secs, error = float("-inf"), 0.0, f"{type(e).__name__}: {e}"[:500]
-        results.append((i, name, json.dumps(p, sort_keys=True), r2, float(secs), phase, timeout_s is not None and secs > timeout_s, error))
-
-    for i, p in enumerate(params):
-        run(i, p, "explore")
+    def phase(label: str, own: list[dict]) -> None:
+        for p, (r2, secs, error) in zip(own, run(own)):
+            results.append((len(results), name, json.dumps(p, sort_keys=True), r2, float(secs), label, timeout_s is not None and secs > timeout_s, error))
+
+    phase("explore", params)
     if method == "two_phase":
         best = json.loads(max(results, key=lambda r: r[3])[2])
-        for j, p in enumerate(refine_params(space, best, n_trials - len(params), seed + 1)):
-            run(len(params) + j, p, "refine")
+        phase("refine", refine_params(space, best, n_trials - len(params), seed + 1))
     return spark.createDataFrame(results, "trial_id int, model_type string, params string, r2 double, "
                                           "training_time double, phase string, timed_out boolean, error string")
 
 
+def _ml_trial(name: str, splits: Splits, params: dict) -> tuple[float, float, str | None]:
+    try:
+        metrics, secs = fit_any(name, splits, **params)
+        return float(metrics(splits.val).first()["r2"]), secs, None
+    except Exception as e:  # noqa: BLE001 - one trial's failure does not end the search
+        return float("-inf"), 0.0, f"{type(e).__name__}: {e}"[:500]
+
+
+def _network_trials(splits: Splits) -> Callable[[list[dict]], list[tuple[float, float, str | None]]]:
+    """(validation r2, seconds, error) of each parameter set; equal sets are trained once. The shards are written once for all phases."""
+    from . import mlp
+
+    packed, known = mlp.pack_splits(splits), {}
+
+    def run(params: list[dict]) -> list[tuple[float, float, str | None]]:
+        keys = [json.dumps(p, sort_keys=True) for p in params]
+        new = {}
+        for k, p in zip(keys, params):
+            if k not in known:
+                try:
+                    new[k] = _trial(p)
+                except TypeError as e:  # a setting that networks do not have
+                    known[k] = (float("-inf"), 0.0, f"TypeError: {e}"[:500])
+        results = mlp.fit_many(packed, list(new.values()))
+        for k, r, own in zip(new, results, mlp.score_many(packed, list(new.values()), results)):
+            known[k] = (own["held"][1], r.seconds, None) if r.error is None and "held" in own else (float("-inf"), r.seconds, r.error or "no validation rows")
+        return [known[k] for k in keys]
+
+    return run
+
+
 def final_validation(splits: Splits, name: str, trials: DataFrame) -> DataFrame:
     """Refit the best trial's parameters on train+val and score the untouched test split.
 
@@ -313,11 +400,21 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[object, DataFrame, str,
     return model, spark.read.parquet(f"{path}/scaler"), about.model_type, list(about.features)
 
 
-def model_roundtrip(model: Model, path: str, df: DataFrame) -> DataFrame:
-    """Save, load and re-score: rows where the reloaded model disagrees (expect none)."""
-    model.write().overwrite().save(path)
-    loaded = type(model).load(path)
-    a = model.transform(df).select("event_id", F.col("prediction").alias("p1"))
-    b = loaded.transform(df).select("event_id", F.col("prediction").alias("p2"))
-    return a.join(b, "event_id").select("event_id", "p1", "p2", (F.abs(F.col("p1") - F.col("p2")) < 1e-9).alias("same"))
+def publish_bundle(root: str, name: str, model, scaler: DataFrame, model_type: str) -> str:
+    """Save a bundle aside and make it the current version of ``name``; the version's name."""
+    return manifest.publish(scaler.sparkSession, root, name, lambda path: save_bundle(path, model, scaler, model_type))
 
+
+def current_bundle(spark: SparkSession, root: str, name: str) -> tuple[object, DataFrame, str, list[str]]:
+    """``load_bundle`` of the published version of ``name``."""
+    return load_bundle(spark, manifest.version_path(root, manifest.current(spark, root, name)))
+
+
+def model_roundtrip(model, scaler: DataFrame, model_type: str, path: str, df: DataFrame) -> DataFrame:
+    """Publish a bundle, load it and re-score: both predictions per row and whether they agree."""
+    publish_bundle(path, model_type, model, scaler, model_type)
+    loaded, _, kind, _ = current_bundle(df.sparkSession, path, model_type)
+    guess = (lambda m: m.predict(df).withColumnRenamed("y_pred", "prediction")) if kind == "mlp" else (lambda m: m.transform(df))
+    a = guess(model).select("event_id", F.col("prediction").alias("p1"))
+    b = guess(loaded).select("event_id", F.col("prediction").alias("p2"))
+    return a.join(b, "event_id").select("event_id", "p1", "p2", (F.abs(F.col("p1") - F.col("p2")) < 1e-9).alias("same"))

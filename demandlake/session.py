@@ -69,11 +69,15 @@ def ship_package(spark: SparkSession) -> None:
 
     Zips the installed package once per driver and adds it with
     ``addPyFile``, which distributes it to every executor of the cluster.
+    Python workers compute with one thread each, unless told otherwise: Spark
+    already runs one per core.
     """
     import os
     import shutil
 
     sc = spark.sparkContext
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        sc.environment.setdefault(name, "1")
     if id(sc) in _SHIPPED or "demandlake" in (spark.conf.get("spark.submit.pyFiles", "") or ""):
         return  # already shipped (e.g. spark-submit --py-files demandlake.zip)
     pkg_dir = os.path.dirname(os.path.abspath(__file__))

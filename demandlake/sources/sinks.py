@@ -7,14 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import manifest
+
 
 def publish_dataset(df: DataFrame, root: str, dataset_id: str | None = None) -> str:
-    """Write a dataset under a fresh 12-hex id; the output committer makes it all-or-nothing."""
+    """Write a dataset aside under a fresh 12-hex id and publish it in the manifest: readers see all of it or nothing."""
     dataset_id = dataset_id or uuid.uuid4().hex[:12]
-    df.withColumn("dataset_id", F.lit(dataset_id)).write.mode("append").partitionBy("dataset_id").parquet(root)
+    manifest.publish(df.sparkSession, root, dataset_id, lambda path: df.write.parquet(path))
     return dataset_id
 
 
+def read_dataset(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
+    """The published rows of a dataset; an id that was never published is an error."""
+    return spark.read.parquet(manifest.version_path(root, manifest.current(spark, root, dataset_id)))
+
+
 def write_predictions(preds: DataFrame, path: str) -> str:
     """Long predictions (key, model, y_true, y_pred) as parquet, partitioned by model."""
     preds.write.mode("overwrite").partitionBy("model").parquet(path)

@@ -1,5 +1,7 @@
 """Sources, sinks, models and plan-shape checks."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,44 +98,73 @@ def test_scan_prunes_columns(spark):
     assert "event_type" in read_schema and "props" not in read_schema
 
 
-def test_hourly_stream_equals_batch(spark, tmp_path):
-    from demandlake.streaming.hourly import hourly_counts
-    from demandlake.streaming.progress import run_available_now
+def test_search_keys_keep_full_settings():
+    from demandlake.operators.mlp import Trial
+    from demandlake.plans import catalog
+
+    assert [512, 256, 128, 64] in catalog.TUNE_SPACE["hidden"] and catalog.TUNE_SPACE["epochs"] == [30, 50, 100] and catalog.TUNE_SPACE["lr"] == [0.0001, 0.001, 0.01]
+    assert (Trial().hidden, Trial().epochs, Trial().lr, Trial().batch_size, Trial().patience) == ((512, 256, 128, 64), 30, 1e-3, 64, 20)
 
-    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "ts", "value")
-    ev.repartition(3).write.parquet(str(tmp_path / "landing"))
-    stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "landing"))
-    # a 1-hour watermark with append mode emits each window once it is closed; all data is old, so
-    # the final availableNow batch closes every window except the newest
-    run_available_now(hourly_counts(stream, watermark="1 hour"), str(tmp_path / "sink"), str(tmp_path / "ckpt"))
-    got = {(r.window_start, r.n_events) for r in spark.read.parquet(str(tmp_path / "sink")).collect()}
-    want = {(r.window_start, r.n_events) for r in hourly_counts(ev).collect()}
-    # every emitted window equals its batch count; only the newest windows (still inside the
-    # 1-hour watermark) may remain open
-    assert got <= want
-    open_windows = {w for w, _ in want} - {w for w, _ in got}
-    assert open_windows and max(w for w, _ in want) in open_windows and len(open_windows) <= 2
 
+def test_search_and_refit_run(spark):
+    from demandlake.plans import catalog
 
-def test_search_and_curves_run_at_full_settings(monkeypatch):
-    import contextlib
+    trials = catalog.QUERIES["tune_model"](spark, SF_SMALL).collect()
+    assert len(trials) == 20 and all(r.error is None and math.isfinite(r.r2) for r in trials) and {r.phase for r in trials} == {"explore", "refine"}
+    (final,) = catalog.QUERIES["final_validation"](spark, SF_SMALL).collect()
+    assert final.params == max(trials, key=lambda r: (r.r2, -r.trial_id)).params and final.r2 > 0.5
 
-    from demandlake.operators import models
+
+def test_learning_curve_runs(spark):
     from demandlake.plans import catalog
 
-    class Table:
-        select = unionByName = lambda self, *a: self
-
-    seen = []
-    monkeypatch.setattr(catalog, "_splits", lambda *a: contextlib.nullcontext())
-    monkeypatch.setattr(catalog, "_demand", lambda *a: None)
-    monkeypatch.setattr(catalog.F, "lit", lambda x: Table())
-    monkeypatch.setattr(Table, "alias", lambda self, x: self, raising=False)
-    for name in ("tune_model", "final_validation", "cross_validate", "learning_curve"):
-        monkeypatch.setattr(models, name, lambda *a, own=name, **kw: seen.append((own, a, kw)) or Table())
-        catalog.QUERIES[name](None, None)
-    for own, a, kw in seen:
-        assert not {"n_trials", "hidden", "epochs"} & set(kw)
-        if own == "tune_model":
-            assert [512, 256, 128, 64] in a[2]["hidden"] and min(a[2]["epochs"]) == 30 and max(a[2]["epochs"]) == 100
-    assert [x[0] for x in seen].count("tune_model") == 2 and len(seen) == 7
+    rows = catalog.QUERIES["learning_curve"](spark, SF_SMALL).collect()
+    assert len(rows) == 10 and {r["size"] for r in rows} == {0.1, 0.25, 0.5, 0.75, 1.0}
+    n = {(r.model, r["size"]): r.n_train for r in rows}
+    assert all(n["mlp", s] == n["linear", s] for s in (0.1, 0.25, 0.5, 0.75, 1.0))
+
+
+def _small(spark, hidden=(16, 8), **kw):
+    from demandlake.operators.mlp import Trial
+
+    return Trial(hidden=hidden, epochs=4, lr=1e-2, **kw)
+
+
+def test_many_networks_equal_single_fits(spark):
+    import numpy as np
+
+    from demandlake.operators import mlp
+    from demandlake.operators.models import prepare_splits
+
+    with prepare_splits(FX.demand(spark, SF_SMALL)) as s:
+        trials = [_small(spark), _small(spark, batch_size=32), _small(spark, hidden=(8,), patience=1), _small(spark, hidden=("x",)), _small(spark, seed=7)]
+        for shards, fan in ((1, mlp.FAN), (9, 2)):
+            old, mlp.FAN = mlp.FAN, fan
+            packed = mlp.pack_splits(s, shards=shards)
+            many = mlp.fit_many(packed, trials)
+            for t, r in zip(trials, many):
+                (one,) = mlp.fit_many(packed, [t])
+                assert (one.error is None) == (r.error is None) == (t.hidden != ("x",))
+                if r.error is None:
+                    assert all(np.allclose(a, b, rtol=1e-5, atol=1e-6) for a, b in zip(one.weights, r.weights)) and len(one.history) == len(r.history)
+            mlp.FAN = old
+            good = [i for i, r in enumerate(many) if r.error is None]
+            scored = mlp.score_many(packed, [trials[i] for i in good], [many[i] for i in good])
+            for i, own in zip(good, scored):
+                want = many[i].metrics(s.val).first()
+                assert own["held"][0] == want.n and abs(own["held"][1] - want.r2) < 1e-4
+        seen = []
+        mlp.fit_mlp(s, hidden=(8,), epochs=3, on_epoch_end=seen.append)
+        assert [e["epoch"] for e in seen] == [0, 1, 2]
+
+
+def test_forest_does_not_depend_on_partitions(spark):
+    from demandlake.operators.models import fit_model, prepare_splits, score
+
+    d = FX.demand(spark, SF_SMALL)
+    got = []
+    for frame in (d.repartition(1), d.repartition(7)):
+        with prepare_splits(frame) as s:
+            model, _ = fit_model("forest", s.train, numTrees=5)
+            got.append({r.event_id: r.y_pred for r in score(model, s.test).select("event_id", "y_pred").collect()})
+    assert got[0] == got[1]
