@@ -127,12 +127,17 @@ def metrics_row(model: Model, df: DataFrame, name: str, fit_seconds: float | Non
 
 
 def fit_any(name: str, splits: Splits, **kw) -> tuple[Callable[[DataFrame], DataFrame], float]:
-    """Fit a Spark ML model or the network (``mlp``) on train: (frame -> metrics, fit seconds)."""
+    """Fit a Spark ML model, the network (``mlp``) or binned boosting (``gbt``) on train: (frame -> metrics, fit seconds)."""
     if name == "mlp":
         from .mlp import fit_mlp
 
         res = fit_mlp(splits, **kw)
         return res.metrics, res.seconds
+    if name == "gbt":
+        from .boosting import fit_boosted
+
+        res = fit_boosted(splits.train, **kw)
+        return res.metrics, res.seconds
     model, secs = fit_model(name, splits.train, **kw)
     return (lambda df: EV.regression_metrics(score(model, df))), secs
 

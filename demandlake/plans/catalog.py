@@ -1,7 +1,9 @@
 """Keyed queries over the driver tables, each with its DuckDB oracle where SQL can express it.
 
 Every query reads the base parquet tables through ``plans.fixtures`` (so its
-work grows with the scale factor) and returns a lazily planned DataFrame.
+work grows with the scale factor). Most return a lazily planned DataFrame;
+those that need an index, a selected rank, a fitted model or a written table
+run Spark jobs for it while they plan.
 """
 
 from __future__ import annotations
