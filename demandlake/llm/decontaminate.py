@@ -471,8 +471,9 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, parts: bool = False) -> DataFrame:
-    """Pipeline stage: rows that hold a leak go, judged row by row where they lie."""
-    for block in blocks(benchmark, block_windows):
+    """Pipeline stage: rows that hold a leak go, judged row by row where they lie; between two blocks they are written, so one is held at a time."""
+    for k, block in enumerate(blocks(benchmark, block_windows)):
+        docs = save(docs, "unleaked") if k else docs
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
