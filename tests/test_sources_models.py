@@ -57,7 +57,7 @@ def test_model_roundtrip_identical(spark, tmp_path):
 
     s = prepare_splits(FX.demand(spark, SF_SMALL))
     model, _ = fit_model("linear", s.train)
-    out = model_roundtrip(model, str(tmp_path / "m"), s.test)
+    out = model_roundtrip(model, s.scaler, "linear", str(tmp_path / "m"), s.test)
     assert out.filter(~F.col("same")).count() == 0 and out.count() > 0
 
 
