@@ -15,7 +15,8 @@ execution can split where one response serves many revisits.
 Defined results: a null url or date is never resolved (``no_url``); no earlier response ->
 ``no_response``; neither validator comparable -> ``unverified``; unequal -> ``changed``; records of
 one date are ordered by record id, responses first; repeated records are resolved alike; header names
-compare without case, and of a repeated name the last value counts; other columns are ignored.
+compare without case, and of a repeated name the last value counts; a record without an id has no
+payload; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ judged AS (SELECT *, CASE WHEN canonical IS NULL OR page_id IS NULL THEN 'no_url
   WHEN modified IS NOT NULL AND f_modified IS NOT NULL THEN CASE WHEN modified = f_modified THEN 'resolved' ELSE 'changed' END ELSE 'unverified' END AS outcome FROM found)
 SELECT page_id, 'response' AS kind, canonical, NULL::BIGINT AS refers_to, 'response' AS outcome,
   concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || length(html), 'content-type: text/html', 'etag: ' || etag, 'last-modified: ' || modified, 'x-capture: ' || page_id) AS headers,
-  sha256(html) AS payload_sha256, CAST(length(html) AS BIGINT) AS payload_chars FROM records WHERE NOT revisit
+  CASE WHEN page_id IS NOT NULL THEN sha256(html) END AS payload_sha256, CASE WHEN page_id IS NOT NULL THEN CAST(length(html) AS BIGINT) END AS payload_chars FROM records WHERE NOT revisit
 UNION ALL
 SELECT page_id, 'revisit', canonical, rid, outcome,
   CASE WHEN outcome = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=600', 'content-length: ' || length(f_html), 'content-type: text/html', 'etag: ' || coalesce('W/' || etag, f_etag), 'last-modified: ' || coalesce(modified, f_modified), 'x-capture: ' || page_id)
