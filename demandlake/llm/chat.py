@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import running_agg
-from .common import arrow_map, table
+from .common import arrow_map, save, table
 from .tokens import encoder, vocab_path
 
 #: Control strings (fixed values): the template's own, then those of widespread chat templates.
@@ -117,6 +117,7 @@ def _blocks(conversations: DataFrame, layout: Layout) -> tuple[DataFrame, DataFr
     """
     rows, size = _ordered(conversations), F.lit(layout.block_bytes).cast("long")
     long = rows.groupBy(F.col("conv_id").alias("_long")).agg(F.sum("bytes").alias("_bytes")).where(F.col("_bytes") > size).select("_long")
+    long = save(long, "long-conversations")  # of known size then: mostly few, and no text moves to be told apart
     of_long = F.col("conv_id").eqNullSafe(F.col("_long"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     short = rows.join(long, of_long, "left_anti").select("conv_id", "turn", "role", "text", zero.alias("block"), F.lit(0).alias("copy"), zero.alias("before"))
