@@ -40,10 +40,10 @@ from .tokens import encoder, vocab_path
 #: Control strings (fixed values): the template's own, then those of widespread chat templates.
 START, END = "<|turn|>", "<|end|>"
 CONTROL = [START, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<|system|>", "<|user|>", "<|assistant|>"]
-_RESTS = "|".join(re.escape(c[0]) + r"(?=\\*" + re.escape(c[1:]) + ")" for c in CONTROL)
-_ESCAPE = re.compile(f"({_RESTS})")
-_UNESCAPE = re.compile("|".join("(?<=" + re.escape(c[0]) + r")\\(?=\\*" + re.escape(c[1:]) + ")" for c in CONTROL))
-_TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
+_RESTS = "|".join(re.escape(first) + r"{}(?=\\*(?:" + "|".join(re.escape(c[1:]) for c in CONTROL if c[0] == first) + "))" for first in sorted({c[0] for c in CONTROL}))
+_ESCAPE = re.compile(_RESTS.replace("{}", ""))
+_UNESCAPE = re.compile(_RESTS.replace("{}", r"\\"))
+_ROLE_ESCAPE = re.compile(r"\\[\\n]")
 
 BUDGET, HISTORY = 2048, 256
 BLOCK_BYTES = 1 << 20
@@ -53,11 +53,11 @@ BYTES_A_TOKEN = 16  # history reaches back HISTORY tokens and as many times thes
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(r"\1\\", text)
+    return _ESCAPE.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub("", text)
+    return _UNESCAPE.sub(lambda m: m[0][0], text) if "\\" in text else text
 
 
 def format_turn(role: str, text: str) -> tuple[str, int]:
@@ -66,10 +66,19 @@ def format_turn(role: str, text: str) -> tuple[str, int]:
     return head + escape(text) + END + "\n", len(head)
 
 
+def _read_role(written: str) -> str:
+    return _ROLE_ESCAPE.sub(lambda m: "\n" if m[0] == "\\n" else "\\", unescape(written)) if "\\" in written else written
+
+
 def read_turns(window: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start, end) of every turn of a window; start and end span its written text."""
-    plain = lambda m: "\n" if m[0] == "\\n" else "\\"
-    return [(re.sub(r"\\[\\n]", plain, unescape(m[1])), unescape(m[2]), m.start(2), m.end(2)) for m in _TURN.finditer(window)]
+    out, at = [], 0
+    while window.startswith(START, at):
+        text_at = window.index("\n", at) + 1
+        end = window.index(END + "\n", text_at)
+        out.append((_read_role(window[at + len(START):text_at - 1]), unescape(window[text_at:end]), text_at, end))
+        at = end + len(END) + 1
+    return out
 
 
 @dataclass(frozen=True)
@@ -236,10 +245,14 @@ def digest(ordered: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from windows whose conversations lie in order in a partition."""
 
     def run(batches):
-        state = None  # conv_id as it came, as a value, turns, hash of turns, loss characters, hash of loss, characters
-
-        def done():
-            return pa.RecordBatch.from_arrays([state[0], *[pa.array([x], t) for x, t in ((state[2], pa.int64()), (state[3].hexdigest(), pa.string()), (state[4], pa.int64()), (state[5].hexdigest(), pa.string()), (state[6], pa.int64()))]],
+        state, ended = None, []  # conv_id as it came, as a value, turns, hash of turns, loss characters, hash of loss, characters
+
+        def rows():
+            """What has ended since the last call, as one batch."""
+            ids, _, turns, turns_hash, loss, loss_hash, chars = zip(*ended)
+            ended.clear()
+            hexed = lambda hashes: pa.array([h.hexdigest() for h in hashes], pa.string())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(turns, pa.int64()), hexed(turns_hash), pa.array(loss, pa.int64()), hexed(loss_hash), pa.array(chars, pa.int64())],
                                               names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for b in batches:
@@ -247,7 +260,7 @@ def digest(ordered: DataFrame) -> DataFrame:
             for i, (text, repeated, marks) in enumerate(zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "n_repeated", "loss_spans")])):
                 if state is None or ids[i] != state[1]:
                     if state is not None:
-                        yield done()
+                        ended.append(state)
                     state = [b.column(0).slice(i, 1), ids[i], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, body, _, _ in read_turns(text)[repeated:]:
                     state[2] += 1
@@ -257,8 +270,11 @@ def digest(ordered: DataFrame) -> DataFrame:
                     state[4] += len(target)
                     state[5].update(target.encode())
                 state[6] += len(text)
+            if ended:
+                yield rows()
         if state is not None:
-            yield done()
+            ended.append(state)
+            yield rows()
 
     return arrow_map(ordered, run, f"conv_id {ordered.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
