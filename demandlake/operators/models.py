@@ -24,6 +24,7 @@ from ..functions.features import assemble, feature_table
 from ..schema import FEATURE_COLS, SCALED_COLS
 from ..sources import manifest
 from . import evaluate as EV
+from . import gram
 from .order import exact_sample, label_folds, label_split, rows_at, sample_hash
 from .scaling import apply_scaler, fit_scaler
 
@@ -186,11 +187,18 @@ def tree_importance(splits: Splits, forest_kw: dict, gbt_kw: dict, top: int | No
 def cross_validate(demand: DataFrame, name: str, k: int = 5, key: str = "event_id", **kw) -> DataFrame:
     """Expanding-window k-fold CV: per fold r2 and fit seconds, then mean / population std and the fold scores.
 
-    The network watches its fold's test rows for early stopping, as the reference's folds do.
+    The network watches its fold's test rows for early stopping, as the reference's folds do. All folds
+    of a linear model are solved from one scan; a fold's seconds are its share of it and its solving.
     """
     spark = demand.sparkSession
     ft = feature_table(demand, keep=[key, "datetime"])
     folded = label_folds(ft, ["datetime", key], k)
+    if _from_sums(name, kw):
+        t0 = time.time()
+        # block 0 lies before every test fold; fold f trains on blocks up to f and tests block f + 1
+        blocks = gram.group_sums(folded.withColumn("_block", F.coalesce(F.col("test_fold") + 1, F.lit(0))), FEATURE_COLS, "cnt", "_block")
+        scan = (time.time() - t0) / k
+        return _cv_table(spark, [(f, line.r2(blocks[f + 1]), scan + secs) for f, (line, secs) in enumerate(_solved(name, blocks, range(k), kw))])
     ready = assemble(folded.withColumn("label", F.col("cnt").cast("double"))).select(
         key, "test_fold", "train_from_fold", "features", "label")
     scores = []
@@ -213,6 +221,19 @@ def cross_validate(demand: DataFrame, name: str, k: int = 5, key: str = "event_i
     return _cv_table(spark, scores)
 
 
+def _from_sums(name: str, kw: dict) -> bool:
+    return name in gram.LINEAR and set(kw) <= {"alpha"}
+
+
+def _solved(name: str, groups: dict[int, gram.Sums], ends, kw: dict) -> list[tuple[gram.Line, float]]:
+    """(model, seconds) of the rows of all groups up to each of ``ends``."""
+    out = []
+    for e in ends:
+        t0 = time.time()
+        out.append((gram.solve(name, gram.prefix(groups, e), **kw), time.time() - t0))
+    return out
+
+
 def _cv_table(spark: SparkSession, scores: list[tuple[int, float, float]]) -> DataFrame:
     fold_df = spark.createDataFrame(scores, "fold int, r2 double, training_time double")
     return EV.cv_summary(fold_df, "r2", "training_time").crossJoin(
@@ -222,12 +243,12 @@ def _cv_table(spark: SparkSession, scores: list[tuple[int, float, float]]) -> Da
 def learning_curve(splits: Splits, name: str, sizes=(0.1, 0.25, 0.5, 0.75, 1.0), seed: int = 42, **kw) -> DataFrame:
     """Fit on nested hash-ranked subsets of train; score train subset and validation r2.
 
-    The networks of all sizes are trained at a time.
+    The networks of all sizes are trained at a time; linear models of all sizes come from one scan.
     """
     spark = splits.train.sparkSession
     rows = []
-    if name == "mlp":
-        rows = _network_curve(splits, list(sizes), seed, kw)
+    if name == "mlp" or _from_sums(name, kw):
+        rows = (_network_curve if name == "mlp" else _linear_curve)(splits, name, list(sizes), seed, kw)
         sizes = ()
     for s in sizes:
         sub = splits.train
@@ -258,23 +279,46 @@ def _trained(packed, trials: list) -> list:
     return results
 
 
-def _network_curve(splits: Splits, sizes: list[float], seed: int, kw: dict) -> list[tuple]:
-    """(size, rows, train r2, validation r2, seconds) per size: a row's level is the smallest size whose sample holds it."""
-    from . import mlp
-
+def _levelled(splits: Splits, sizes: list[float], seed: int) -> tuple[DataFrame, list[int], int]:
+    """(train rows with ``level``, the level of each size, levels): a row's level is the smallest size whose sample holds it."""
     n = splits.train.count()
     starts = sorted({int(n * s) for s in sizes if int(n * s) < n})  # ranks at which a larger sample begins
     hashed = splits.train.select("event_id", "features", "label", sample_hash("event_id", seed).alias("_h"))
     at = rows_at(hashed, ["_h", "event_id"], lambda total: starts).select("keys")  # one key per size
     key = F.struct("_h", "event_id")
-    level = F.size(F.filter("keys", lambda k: k <= key))
-    train = hashed.crossJoin(F.broadcast(at)).select("event_id", "features", "label", level.alias("train_from"), F.lit(None).cast("int").alias("held"))
+    levels = hashed.crossJoin(F.broadcast(at)).select("event_id", "features", "label", F.size(F.filter("keys", lambda k: k <= key)).alias("level"))
+    return levels, [starts.index(int(n * s)) if int(n * s) < n else len(starts) for s in sizes], len(starts) + 1
+
+
+def _network_curve(splits: Splits, name: str, sizes: list[float], seed: int, kw: dict) -> list[tuple]:
+    """(size, rows, train r2, validation r2, seconds) per size."""
+    from . import mlp
+
+    levels, of_size, _ = _levelled(splits, sizes, seed)
+    train = levels.select("event_id", "features", "label", F.col("level").alias("train_from"), F.lit(None).cast("int").alias("held"))
     packed = mlp.pack(train.unionAll(splits.val.select("event_id", "features", "label", F.lit(None).cast("int"), F.lit(0))), kw.get("seed", 42))
-    trials = [_trial(kw, level=starts.index(int(n * s)) if int(n * s) < n else len(starts)) for s in sizes]
+    trials = [_trial(kw, level=level) for level in of_size]
     results = _trained(packed, trials)
     return [(float(s), own["train"][0], own["train"][1], own["held"][1], res.seconds) for s, own, res in zip(sizes, mlp.score_many(packed, trials, results), results)]
 
 
+def _linear_curve(splits: Splits, name: str, sizes: list[float], seed: int, kw: dict) -> list[tuple]:
+    """``_network_curve`` of a linear model: the sums of every level and of the validation rows, in one scan."""
+    from pyspark.ml.functions import vector_to_array
+
+    levels, of_size, held = _levelled(splits, sizes, seed)
+    both = levels.select("features", "label", "level").unionAll(splits.val.select("features", "label", F.lit(held)))
+    x = vector_to_array("features")
+    t0 = time.time()
+    sums = gram.group_sums(both.select(*[x[i].alias(c) for i, c in enumerate(FEATURE_COLS)], "label", "level"), FEATURE_COLS, "label", "level")
+    scan, val = (time.time() - t0) / max(len(sizes), 1), sums.pop(held, None)
+    out = []
+    for s, level, (line, secs) in zip(sizes, of_size, _solved(name, sums, of_size, kw)):
+        own = gram.prefix(sums, level)
+        out.append((float(s), own.n, line.r2(own), None if val is None else line.r2(val), scan + secs))
+    return out
+
+
 def sample_params(space: dict[str, list], n: int, seed: int = 42, method: str = "random") -> list[dict]:
     """Grid (first n combinations) or seeded random draws from a small parameter space (driver side)."""
     import itertools

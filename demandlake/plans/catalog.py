@@ -1020,6 +1020,34 @@ def cross_validate(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+_SUM_COLS = ["temp", "humidity", "windspeed", "hour", "workingday"]
+
+
+@query("fold_sums", f"""
+WITH f AS (SELECT event_id, CAST(CASE WHEN idx < st THEN 0 ELSE (idx - st) // b + 1 END AS INTEGER) AS block FROM (
+    SELECT event_id, idx, t // 6 AS b, t - 5 * (t // 6) AS st FROM (SELECT event_id, idx, count(*) OVER () AS t FROM indexed))),
+r AS (SELECT g.fold, x.* FROM f JOIN features x USING (event_id) JOIN (SELECT unnest(range(5)) AS fold) g ON f.block <= g.fold)
+""" + " UNION ALL ".join(f"""SELECT CAST(fold AS INTEGER) AS fold, '{c}' AS feature, count(*) AS n_train, round(avg({c}::DOUBLE), 4) AS mean,
+  round(covar_pop(cnt::DOUBLE, {c}::DOUBLE), 4) AS label_covariance, round(regr_slope(cnt::DOUBLE, {c}::DOUBLE), 4) AS slope,
+  round(regr_intercept(cnt::DOUBLE, {c}::DOUBLE), 4) AS intercept, round(regr_r2(cnt::DOUBLE, {c}::DOUBLE), 4) AS train_r2 FROM r GROUP BY fold""" for c in _SUM_COLS))
+def fold_sums(spark, sf):
+    """One-feature regressions of every expanding fold, all from one scan of sums."""
+    from ..operators import gram
+
+    folded = OR.label_folds(FE.feature_table(_demand(spark, sf), keep=["event_id", "datetime"]), ORDER, k=5)
+    blocks = gram.group_sums(folded.withColumn("block", F.coalesce(F.col("test_fold") + 1, F.lit(0))), _SUM_COLS, "cnt", "block")
+    rows = []
+    for fold in range(5):
+        own = gram.prefix(blocks, fold)
+        mean, cov = own.covariance()
+        for i, c in enumerate(_SUM_COLS):
+            line = gram.solve("linear", own.only([i]))
+            rows.append((fold, c, own.n, float(mean[i]), float(cov[i, -1]), float(line.weights[0]), line.intercept, line.r2(own.only([i]))))
+    values = ["mean", "label_covariance", "slope", "intercept", "train_r2"]
+    out = spark.createDataFrame(rows, "fold int, feature string, n_train long, " + ", ".join(f"{v} double" for v in values))
+    return out.select("fold", "feature", "n_train", *[F.round(v, 4).alias(v) for v in values])
+
+
 @query("learning_curve")
 def learning_curve(spark, sf):
     from ..operators.models import learning_curve as lc
