@@ -658,6 +658,23 @@ def pair_predictions(spark, sf):
     return EV.pair_predictions(truth, FX.predictions(spark, sf), "event_id", ["rule", "flat", "hour"])
 
 
+@query("colocated_predictions", """
+SELECT d.event_id, CAST(greatest(d.cnt - 5, 0) AS DOUBLE) AS y_true, p.rule, p.flat, p.hour, p.ensemble FROM demand d LEFT JOIN (
+  SELECT event_id, max(CASE WHEN model = 'rule' THEN y_pred END) AS rule, max(CASE WHEN model = 'flat' THEN y_pred END) AS flat,
+         max(CASE WHEN model = 'hour' THEN y_pred END) AS hour, avg(y_pred) AS ensemble FROM predictions GROUP BY event_id) p USING (event_id)""")
+def colocated_predictions(spark, sf):
+    """Pairing and ensemble over tables written by row key: neither moves a row."""
+    from ..session import scratch_path
+    from ..sources.sinks import read_colocated, write_colocated, write_like
+
+    path = write_colocated(FX.predictions(spark, sf), scratch_path(spark, "colocated"))
+    truth = _demand(spark, sf).select("event_id", F.greatest(F.col("cnt") - 5, F.lit(0)).cast("double").alias("y_true"))
+    preds = read_colocated(spark, path)
+    paired = EV.pair_predictions(read_colocated(spark, write_like(truth, scratch_path(spark, "colocated-truth"), path)), preds, "event_id", ["rule", "flat", "hour"])
+    return paired.join(EV.ensemble_mean(preds).select("event_id", F.col("y_pred").alias("ensemble")), "event_id", "left")
+
+
+
 @query("stack_predictions", "SELECT event_id, model, y_true, y_pred FROM predictions")
 def stack_predictions(spark, sf):
     p = FX.predictions(spark, sf)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,52 @@ def write_predictions(preds: DataFrame, path: str) -> str:
     return path
 
 
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 8, 1 << 16
+
+
+def write_colocated(df: DataFrame, path: str, key: str = "event_id") -> str:
+    """Rows as parquet under ``path``, bucketed and sorted by ``key``: a file per bucket.
+
+    The number of buckets is a power of two for BUCKET_ROWS rows each, and written beside the rows;
+    tables of the same number of buckets join on the key where they lie. A table of fewer rows takes
+    the number of another one by ``write_like``.
+    """
+    n = max(1, df.count())
+    return _write_buckets(df, path, key, min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (-(-n // BUCKET_ROWS) - 1).bit_length())))
+
+
+def write_like(df: DataFrame, path: str, other: str) -> str:
+    """``write_colocated`` with the key and the number of buckets of the table at ``other``."""
+    about = df.sparkSession.read.schema(_ABOUT).json(f"{other}/about").first()
+    return _write_buckets(df, path, about["key"], about["buckets"])
+
+
+_ABOUT = "key string, buckets int"
+
+
+def _write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> str:
+    name = _table_name(path)
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")  # the entry of an earlier table at this path; its files are replaced
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{path}/rows").saveAsTable(name)
+    spark.createDataFrame([(key, buckets)], _ABOUT).coalesce(1).write.mode("overwrite").json(f"{path}/about")
+    return path
+
+
+def _table_name(path: str) -> str:
+    return "colocated_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+
+
+def read_colocated(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_colocated`` with its buckets, entered into the session's catalog if another session wrote it."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        about = spark.read.schema(_ABOUT).json(f"{path}/about").first()
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/rows").schema)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{about['key']}`) SORTED BY (`{about['key']}`) INTO {about['buckets']} BUCKETS LOCATION '{path}/rows'")
+    return spark.table(name)
+
+
 def predictions_artifact(preds: DataFrame, metrics: DataFrame, path: str, metadata: dict | None = None) -> str:
     """Every (event_id, y_true, y_pred) row as a Parquet dataset under ``path``/rows, and one JSON row
     {metadata: {..., metrics}, n_samples} under ``path``/metadata."""
