@@ -198,7 +198,7 @@ def cross_validate(demand: DataFrame, name: str, k: int = 5, key: str = "event_i
         # block 0 lies before every test fold; fold f trains on blocks up to f and tests block f + 1
         blocks = gram.group_sums(folded.withColumn("_block", F.coalesce(F.col("test_fold") + 1, F.lit(0))), FEATURE_COLS, "cnt", "_block")
         scan = (time.time() - t0) / k
-        return _cv_table(spark, [(f, line.r2(blocks[f + 1]), scan + secs) for f, (line, secs) in enumerate(_solved(name, blocks, range(k), kw))])
+        return _cv_table(spark, [(f, line.r2(blocks[f + 1]) if f + 1 in blocks else None, scan + secs) for f, (line, secs) in enumerate(_solved(name, blocks, range(k), kw))])
     ready = assemble(folded.withColumn("label", F.col("cnt").cast("double"))).select(
         key, "test_fold", "train_from_fold", "features", "label")
     scores = []
@@ -229,8 +229,10 @@ def _solved(name: str, groups: dict[int, gram.Sums], ends, kw: dict) -> list[tup
     """(model, seconds) of the rows of all groups up to each of ``ends``."""
     out = []
     for e in ends:
-        t0 = time.time()
-        out.append((gram.solve(name, gram.prefix(groups, e), **kw), time.time() - t0))
+        t0, rows = time.time(), gram.prefix(groups, e)
+        if rows is None:
+            raise ValueError(f"{name} has no labelled rows to learn from")
+        out.append((gram.solve(name, rows, **kw), time.time() - t0))
     return out
 
 

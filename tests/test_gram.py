@@ -87,3 +87,9 @@ def test_empty_constant_and_doubled_columns(spark):
     assert gram.solve("linear", flat).r2(flat) == 1.0 and gram.Line(np.zeros(1), 4.0).r2(flat) == 0.0
     with pytest.raises(ValueError):
         gram.solve("forest", sums)
+
+
+def test_rows_without_labels_are_no_crash(spark):
+    demand = FX.demand(spark, SF_SMALL).withColumn("cnt", F.lit(None).cast("int"))
+    with pytest.raises(ValueError, match="no labelled rows"):
+        M.cross_validate(demand, "linear")
