@@ -88,22 +88,30 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(n, first) if len(k) else n
 
 
+def _taken_in(k: np.ndarray, n: np.ndarray, more: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_merge`` of two sorted sets without sorting both anew; ``n`` is changed."""
+    at = np.searchsorted(k, more)
+    known = at < len(k)
+    known[known] = k[at[known]] == more[known]
+    n[at[known]] += count[known]
+    new = ~known
+    at = at[new]
+    return np.insert(k, at, more[new]), np.insert(n, at, count[new])
+
+
 def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
 def block_entries(bodies: list[bytes], train: list[bool], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, distinct keys, training counts) of one block."""
-    keys, counts = [], []
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for flag in (True, False):
         for _, parts in _segments([x for x, t in zip(bodies, train) if t is flag], depth):
             u, n = np.unique(_grams(parts, depth), return_counts=True)
-            keys.append(u)
-            counts.append(n * int(flag))
-            if len(keys) == 16:
-                u, n = _merge(keys, counts)
-                keys, counts = [u], [n]
-    yield GRAM, *_merge(keys, counts)
+            held = _taken_in(*held, u, n * int(flag))
+    yield GRAM, *held
+    del held
     words: Counter = Counter()
     other: set[bytes] = set()
     for x, flag in zip(bodies, train):
