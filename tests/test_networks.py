@@ -45,3 +45,12 @@ def test_pairwise_sums_skip_missing_shards():
         mlp._pushed(held, shard, part(shard))
     assert [(level, k) for level, k, _ in held] == [(0, 1), (0, 4), (1, 3), (0, 8)]
     assert [(level, k, p[0]) for level, k, p in mlp._raised(held, 3)] == [(3, 0, 18), (3, 1, 8)]
+
+
+def test_states_pass_the_driver_as_arrow(splits, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    packed, found = mlp.pack_splits(splits, shards=20), []
+    monkeypatch.setattr(DataFrame, "collect", lambda self: found.append(self.columns) or [])
+    assert [r.error for r in mlp.fit_many(packed, [mlp.Trial((8,), epochs=1)])] == [None]
+    assert not [c for c in found if "blob" in c]
