@@ -47,6 +47,16 @@ def test_pairwise_sums_skip_missing_shards():
     assert [(level, k, p[0]) for level, k, p in mlp._raised(held, 3)] == [(3, 0, 18), (3, 1, 8)]
 
 
+def test_tasks_send_few_states_per_network(splits, monkeypatch):
+    seen, tree = [], mlp._tree
+    monkeypatch.setattr(mlp, "_tree", lambda parts, runs: seen.append((parts.count(), runs)) or tree(parts, runs))
+    packed = mlp.pack_splits(splits, shards=256)
+    mlp.fit_many(packed, [mlp.Trial((8,), epochs=1)])
+    cores = splits.train.sparkSession.sparkContext.defaultParallelism
+    assert packed.groups == 64
+    assert min(64, cores) <= seen[0][0] == seen[0][1] < 2 * cores
+
+
 def test_states_pass_the_driver_as_arrow(splits, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
@@ -54,3 +64,11 @@ def test_states_pass_the_driver_as_arrow(splits, monkeypatch):
     monkeypatch.setattr(DataFrame, "collect", lambda self: found.append(self.columns) or [])
     assert [r.error for r in mlp.fit_many(packed, [mlp.Trial((8,), epochs=1)])] == [None]
     assert not [c for c in found if "blob" in c]
+
+
+def test_rows_of_networks_are_not_dealt(spark, splits):
+    with prepare_splits(FX.demand(spark, SF_SMALL), dealt=False) as own:
+        plan = own.held._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" not in plan
+        one, two = (mlp.fit_mlp(s, hidden=(8,), epochs=2, shards=4) for s in (own, splits))
+        assert all(abs(a - b).max() < 1e-5 for a, b in zip(one.weights, two.weights))
