@@ -140,7 +140,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     left, right = arrow_map(fps, homes, "anchor long, a long"), arrow_map(fps, replicas, "near long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return left.join(right, (F.col("anchor") == F.col("near")) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    # Spark takes the replicas to be as many as the fingerprints and would broadcast them while those are few
+    return left.join(right.hint("merge"), (F.col("anchor") == F.col("near")) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -77,6 +77,14 @@ def test_every_link_is_found(spark):
     assert got == want
 
 
+def test_replicas_are_not_broadcast(spark, tmp_path):
+    spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/nodes")
+    found = S.links(spark.read.parquet(f"{tmp_path}/nodes"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_keep_one(spark):
     docs, data = util.docs(spark), util.rows()
     got = S.keep_one(docs)
