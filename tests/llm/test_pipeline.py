@@ -41,3 +41,10 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert docs.columns == util.empty(spark).columns and docs.count() == 0
     assert P.STAGES[-1][1](spark, docs, path).count() == 0
     assert simhash.MAX_BITS == 2
+
+
+def test_dedup_stage_does_not_broadcast_replicas(spark, monkeypatch):
+    seen, found = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: seen.append(edges) or found(edges))
+    assert P.simhash_near_dedup(spark, util.docs(spark, util.rows()[:10]), "").count() == 10
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
