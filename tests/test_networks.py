@@ -3,8 +3,9 @@
 import pytest
 
 from demandlake.operators import mlp
-from demandlake.operators.models import prepare_splits
+from demandlake.operators.models import _trial, prepare_splits, sample_params
 from demandlake.plans import fixtures as FX
+from demandlake.plans.catalog import TUNE_SPACE
 
 from .conftest import SF_SMALL
 
@@ -72,3 +73,17 @@ def test_rows_of_networks_are_not_dealt(spark, splits):
         assert "RepartitionByExpression" not in plan
         one, two = (mlp.fit_mlp(s, hidden=(8,), epochs=2, shards=4) for s in (own, splits))
         assert all(abs(a - b).max() < 1e-5 for a, b in zip(one.weights, two.weights))
+
+
+def test_tasks_fill_the_cores():
+    packed = lambda shards, run=1: mlp.Packed(None, shards * run, shards, run, 1 << 24, {})
+    # one network: 32 groups on 6 cores took two rounds of 4 groups, 46 (in runs of 8 shards) on 8 cores as well
+    for groups, run, cores, want in ((32, 1, 6, 2), (46, 8, 8, 2), (32, 1, 8, 4), (64, 1, 4, 16)):
+        assert mlp._layout(packed(groups, run), [0], [mlp.Trial()], cores).widths == (want,)
+    trials = [_trial(p) for p in sample_params(TUNE_SPACE, 10, 42)]  # the search's first phase, 1.2 times the ideal before
+    own = mlp.Packed(None, 32, 32, 1, 510_000, {})
+    for cores in (6, 8):
+        layout = mlp._layout(own, list(range(10)), trials, cores)
+        costs = [sum(trials[i].cost for i, d in layout.deck_of.items() if d == k) for k in range(10)]
+        assert mlp._span(costs, layout.widths, 32, cores) < 1.1 * sum(costs) / cores
+        assert sum(-(-32 // w) for w in layout.widths) <= 4 * cores
