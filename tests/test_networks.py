@@ -2,7 +2,7 @@
 
 import pytest
 
-from demandlake.operators import mlp
+from demandlake.operators import mlp, models
 from demandlake.operators.models import _trial, prepare_splits, sample_params
 from demandlake.plans import fixtures as FX
 from demandlake.plans.catalog import TUNE_SPACE
@@ -87,3 +87,40 @@ def test_tasks_fill_the_cores():
         costs = [sum(trials[i].cost for i, d in layout.deck_of.items() if d == k) for k in range(10)]
         assert mlp._span(costs, layout.widths, 32, cores) < 1.1 * sum(costs) / cores
         assert sum(-(-32 // w) for w in layout.widths) <= 4 * cores
+
+
+def _equal(one, two):
+    same = all((a == b).all() for a, b in zip(one.weights, two.weights, strict=True))
+    return same and one.history == two.history and one.best_epoch == two.best_epoch
+
+
+def test_trials_that_differ_in_epochs_alone_are_trained_once(splits, monkeypatch):
+    packed, seen, epoch, advance = mlp.pack_splits(splits, shards=3), [], mlp._epoch, mlp._advance
+    own = {"hidden": (8,), "lr": 1e-2}
+    trials = [mlp.Trial(epochs=1, **own), mlp.Trial(epochs=4, **own), mlp.Trial(epochs=4, **own), mlp.Trial(epochs=2, **own), mlp.Trial(epochs=2, **own, seed=1),
+              mlp.Trial(epochs=0, **own), mlp.Trial((8,), epochs=9, patience=0), mlp.Trial((8,), epochs=8, patience=0)]
+    single = [mlp.fit_many(packed, [t])[0] for t in trials]
+    assert len(single[6].history) == 1  # stops early
+    monkeypatch.setattr(mlp, "_epoch", lambda *a: seen.append(a[3]) or epoch(*a))
+    many = mlp.fit_many(packed, trials)
+    assert all(_equal(a, b) for a, b in zip(many, single)) and all(r.seconds > 0 for r in many if r.history)
+    assert {i for live in seen for i in live} == {1, 4, 6}
+
+    def failing(s, got):
+        advance(s, got)
+        if s.trial.epochs == 4 and s.trained == 2:
+            s.result.error, s.done = "stopped by the test", True
+
+    monkeypatch.setattr(mlp, "_advance", failing)
+    many = mlp.fit_many(packed, trials[:2] + trials[3:4])
+    assert many[1].error and all(r.error is None and _equal(r, w) for r, w in ((many[0], single[0]), (many[2], single[3])))
+
+
+def test_search_takes_shorter_trials_from_longer_ones(splits, monkeypatch):
+    p = {"hidden": [8], "lr": 1e-2}
+    (want, _, _), = models._network_trials(splits)([{**p, "epochs": 1}])
+    run = models._network_trials(splits, [1, 3, 5])
+    run([{**p, "epochs": 3}])
+    monkeypatch.setattr(mlp, "_epoch", None)
+    assert run([{**p, "epochs": 1}, {**p, "epochs": 1}])[0][0] == want
+    assert run([{**p, "epochs": 1, "dropout": 0.5}])[0][0] == float("-inf")
